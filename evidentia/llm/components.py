@@ -1,0 +1,37 @@
+"""Connected components of a graph given by its links, by alternating large-star and small-star steps.
+
+Each step takes the least neighbour of every node by aggregation and joins it back, so a node with very many links is
+split like any skewed join key, and no component is gathered anywhere. The links of each round go to the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evidentia.llm.common import materialize
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every node that has a link to another; links: columns u and v, of one orderable type.
+
+    Links of a node with itself and links with a null end are no links; repeated links count once.
+    """
+    links = links.where("u is not null and v is not null and u <> v")
+    links = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    state = _state(links)
+    while True:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        large = materialize(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("least"))
+        small = large.join(least, "u").where(F.col("v") != F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))
+        links = materialize(small.unionByName(least.select("u", F.col("least").alias("v"))).distinct(), "links")
+        before, state = state, _state(links)
+        if state == before:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

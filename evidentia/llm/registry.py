@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import exact_dedup, license_scan, quality_rules, token_counts
+from evidentia.llm import bpe_tree, exact_dedup, license_scan, packing, quality_rules, simhash, token_counts
 from evidentia.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
@@ -29,14 +33,27 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_tree.encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {}
