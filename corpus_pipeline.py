@@ -1,11 +1,54 @@
-"""Documents, stage by stage: quality rules, toxicity, exact dedup, near-dedup, packing."""
+"""Documents, stage by stage: quality rules, toxicity, exact dedup, SimHash near-dedup, best-fit packing.
+
+Each stage reads what the one before it wrote, and its decisions take effect: rows that it rejects are gone for the stages after
+it. All stages but the last return the columns of `documents`; the last returns the packed pieces. doc_id identifies
+a document. SQL can express neither the tokenizer nor the string-kernel machine, so ORACLE_SQL is None and the tests
+hold run() against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from evidentia.llm import exact_dedup, packing, quality_rules, simhash, toxicity
+from evidentia.llm.common import documents, materialize
+from evidentia.llm.registry import tokenizer_path
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.filter_quality(docs)
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_copies(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("toxicity", keep_civil),
+    ("exact_dedup", keep_one_of_equals),
+    ("simhash_near_dedup", keep_one_of_similar),
+    ("best_fit_packing", pack),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what the stages keep of `documents`; each stage's result is written and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -117,8 +117,8 @@ class Machine:
     def score(self, margin: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40))))
 
-    def without_memo(self) -> Machine:
-        return Machine(self.weights, self.bias, self.slope, self.shift)
+    def parts(self) -> tuple[dict[str, float], float, float, float]:
+        return self.weights, self.bias, self.slope, self.shift
 
 
 def _newton_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -231,17 +231,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
         return None
     # whole toxic words and clean words span the rest of the feature space
     landmarks = list(dict.fromkeys([*stems, *toxic[: TOXIC_LANDMARKS // 2], *clean_first]))
-    machine = fit_machine(landmarks, toxic, clean)
+    first = fit_machine(landmarks, toxic, clean).parts()
 
     def word_margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Machine(*first)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([machine.word_margin(w) for w in batch.column(0).to_pylist()], pa.float64())], names=["word", "margin"])
 
     hard = others.select("word").mapInArrow(word_margins, "word string, margin double").orderBy(F.desc("margin"), "word").limit(SAMPLE_WORDS // 3).toPandas()["word"].tolist()
     machine = fit_machine(landmarks, toxic, list(dict.fromkeys([*clean, *hard])))
 
+    parts = machine.parts()
+
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = machine.without_memo()
+        own = Machine(*parts)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([own.margin(x) for x in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], names=["margin", "toxic"])
 
@@ -254,10 +257,10 @@ def _scored(rows: DataFrame, machine: Machine | None, text: str, score: str) ->
     """`rows` with a column `score` for the column `text`, both by name."""
     schema = T.StructType([*rows.schema.fields, T.StructField(score, T.DoubleType())])
     at = rows.columns.index(text)
-    shared = rows.sparkSession.sparkContext.broadcast(machine)
+    shared = rows.sparkSession.sparkContext.broadcast(machine.parts() if machine else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value.without_memo() if shared.value is not None else None
+        own = Machine(*shared.value) if shared.value else None
         for batch in batches:
             texts = batch.column(at).to_pylist()
             scores = [own.score(own.margin(x or "")) for x in texts] if own else [0.0] * len(texts)
