@@ -22,12 +22,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 10, 20, 5
 MIN_GROUP = 50
 #: Measures as integers: expression over the counts, the fences' width in quartile distances, and the least slack.
 MEASURES = {
-    "word_length": ("word_chars * 100 div n_words", 6, 150, True),
-    "symbols": ("n_symbols * 1000 div n_words", 6, 500, False),
-    "punctuation": ("n_punct * 1000 div n_words", 6, 700, False),
+    "word_length": ("word_chars * 100 div greatest(n_words, 1)", 6, 150, True),
+    "symbols": ("n_symbols * 1000 div greatest(n_words, 1)", 6, 500, False),
+    "punctuation": ("n_punct * 1000 div greatest(n_words, 1)", 6, 700, False),
     "copied_lines": ("n_dup_lines * 1000 div greatest(n_lines, 4)", 6, 500, False),
 }
-HELD = "_quality"
 
 
 def _repeated_words(words: Column, n: Column, grams: Column) -> Column:
@@ -49,116 +48,78 @@ def _repeated_words(words: Column, n: Column, grams: Column) -> Column:
     return covered["sum"]
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """`docs` with a struct column of counts."""
-    held = docs.withColumn(HELD, F.struct(text_or_empty().alias("text")))
-    text = F.col(HELD)["text"]
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
-    held = held.withColumn(HELD, F.struct(text.alias("text"), space_words(text).alias("words"), lines.alias("lines")))
-    words, text, lines = F.col(HELD)["words"], F.col(HELD)["text"], F.col(HELD)["lines"]
-    n = F.size(words)
-    grams = F.when(
-        n >= WINDOW_WORDS,
-        F.transform(F.sequence(F.lit(0), n - WINDOW_WORDS), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW_WORDS)])),
-    ).otherwise(F.array().cast("array<bigint>"))
-    held = held.withColumn(
-        HELD,
-        F.struct(
-            words.alias("words"),
-            grams.alias("grams"),
-            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-            (F.length(text) - F.length(F.regexp_replace(text, r"[!-/:-@\[-`{-~]+", ""))).cast("long").alias("n_punct"),
-            F.size(lines).cast("long").alias("n_lines"),
-            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        ),
-    )
-    c = F.col(HELD)
-    any_twice = F.size(F.array_distinct(c["grams"])) < F.size(c["grams"])
-    repeated = F.when(any_twice, _repeated_words(c["words"], F.size(c["words"]), c["grams"])).otherwise(F.lit(0))
-    return held.withColumn(
-        HELD,
-        F.struct(F.size(c["words"]).cast("long").alias("n_words"), *[c[x].alias(x) for x in ("word_chars", "n_symbols", "n_punct", "n_lines", "n_dup_lines")], repeated.cast("long").alias("n_repeat_words")),
+def measured(docs: DataFrame, own: list[str]) -> DataFrame:
+    """The columns `own` of every row as a struct `own`, with lang, source (no nulls) and the counts."""
+    key = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+    rows = docs.select(F.struct(*own).alias("own"), key("lang"), key("source"), text_or_empty().alias("text"))
+    text, words, lines, grams, n = (F.col(x) for x in ("text", "words", "lines", "grams", "n"))
+    rows = rows.select("own", "lang", "source", "text", space_words(text).alias("words"), F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{SPACE}]")).alias("lines"))
+    rows = rows.select("*", F.size(words).alias("n"))
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW_WORDS), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW_WORDS)]))
+    rows = rows.select("*", F.when(n >= WINDOW_WORDS, hashes).otherwise(F.array().cast("array<bigint>")).alias("grams"))
+    any_twice = F.size(F.array_distinct(grams)) < F.size(grams)
+    return rows.select(
+        "own",
+        "lang",
+        "source",
+        n.cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"[!-/:-@\[-`{-~]+", ""))).cast("long").alias("n_punct"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.when(any_twice, _repeated_words(words, n, grams)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
 def _edge(value: Column) -> Column:
     """The lower edge of a value's bucket."""
-    bits = F.length(F.bin(value))
-    shift = F.greatest(bits - 6, F.lit(0))
-    return F.expr("1").cast("long") * F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
-
-
-def _keys() -> list[Column]:
-    return [F.coalesce(F.col(x).cast("string"), F.lit("")).alias(f"{HELD}_{x}") for x in ("lang", "source")]
+    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
 def _measures() -> Column:
     """The measures of texts that have words, as an array of (measure, value)."""
-    parts = []
-    for k, (formula, *_rest) in enumerate(MEASURES.values()):
-        for name in ("word_chars", "n_words", "n_symbols", "n_punct", "n_dup_lines", "n_lines"):
-            formula = formula.replace(name, f"{HELD}.{name}")
-        parts.append(F.struct(F.lit(k).alias("measure"), F.expr(formula).cast("long").alias("value")))
-    return F.array(*parts)
+    return F.array(*[F.struct(F.lit(k).alias("measure"), F.expr(m[0]).cast("long").alias("value")) for k, m in enumerate(MEASURES.values())])
 
 
 def fences(rows: DataFrame) -> DataFrame:
     """Language and source with their fences, as arrays in the order of MEASURES, from the sketches of measured rows."""
-    keys = [f"{HELD}_{x}" for x in ("lang", "source")]
-    sketch = (
-        rows.where(F.col(HELD)["n_words"] > 0)
-        .select(*_keys(), F.explode(_measures()).alias("m"))
-        .groupBy(*keys, F.col("m.measure").alias("measure"), _edge(F.col("m.value")).alias("edge"))
-        .agg(F.count("*").alias("n"))
-    )
-    group = Window.partitionBy(*keys, "measure")
+    keys = ["lang", "source", "measure"]
+    values = rows.where("n_words > 0").select("lang", "source", F.explode(_measures()).alias("m")).select("lang", "source", "m.measure", "m.value")
+    sketch = values.groupBy(*keys, _edge(F.col("value")).alias("edge")).agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*keys)
     so_far = F.sum("n").over(group.orderBy("edge").rowsBetween(Window.unboundedPreceding, 0))
-    at = sketch.select(*keys, "measure", "edge", so_far.alias("so_far"), F.sum("n").over(group).alias("total"))
+    at = sketch.select(*keys, "edge", so_far.alias("so_far"), F.sum("n").over(group).alias("total"))
     quarter = lambda q: F.min(F.when(F.col("so_far") * 4 >= F.col("total") * q, F.col("edge")))
-    quartiles = at.groupBy(*keys, "measure").agg(quarter(1).alias("q1"), quarter(3).alias("q3"), F.max("total").alias("total"))
-    width = F.element_at(F.array(*[F.lit(m[1]) for m in MEASURES.values()]), F.col("measure") + 1)
-    slack = F.element_at(F.array(*[F.lit(m[2]) for m in MEASURES.values()]), F.col("measure") + 1)
-    reach = width * (F.col("q3") - F.col("q1")) + slack
-    enough = F.col("total") >= MIN_GROUP
-    fenced = quartiles.where(enough).select(*keys, "measure", (F.col("q3") + reach).alias("high"), (F.col("q1") - reach).alias("low"))
-    ordered = F.sort_array(F.collect_list(F.struct("measure", "low", "high")))
-    return fenced.groupBy(*keys).agg(ordered.alias(f"{HELD}_fences"))
-
-
-def _verdict() -> tuple[Column, Column]:
-    """base_failed and kept, over measured rows joined with fences."""
-    c, found = F.col(HELD), F.col(f"{HELD}_fences")
-    failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-    values = _measures()
+    quartiles = at.groupBy(*keys).agg(quarter(1).alias("q1"), quarter(3).alias("q3"), F.max("total").alias("total"))
+    of_measure = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in MEASURES.values()]), F.col("measure") + 1)
+    reach = of_measure(1) * (F.col("q3") - F.col("q1")) + of_measure(2)
+    fenced = quartiles.where(F.col("total") >= MIN_GROUP).select(*keys, (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    return fenced.groupBy("lang", "source").agg(F.sort_array(F.collect_list(F.struct("measure", "low", "high"))).alias("fences"))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """Measured rows with base_failed and kept."""
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     inside = F.lit(True)
-    for k, (_, _, _, both) in enumerate(MEASURES.values()):
-        value, fence = F.get(values, k)["value"], F.get(found, k)
+    for k, (formula, _, _, both) in enumerate(MEASURES.values()):
+        value, fence = F.expr(formula), F.get("fences", F.lit(k))
         inside = inside & (value <= fence["high"])
         if both:
             inside = inside & (value >= fence["low"])
-    return failed, ~failed & F.when(found.isNull() | (c["n_words"] == 0), F.lit(True)).otherwise(inside)
-
-
-def _judged(rows: DataFrame) -> DataFrame:
-    keys = [f"{HELD}_{x}" for x in ("lang", "source")]
-    failed, kept = _verdict()
-    joined = rows.select("*", *_keys()).join(fences(rows), keys, "left")
-    return joined.withColumns({f"{HELD}_failed": failed, f"{HELD}_kept": kept})
+    joined = rows.join(fences(rows), ["lang", "source"], "left")
+    kept = F.when(failed, F.lit(False)).when(F.col("fences").isNull(), F.lit(True)).otherwise(inside)
+    return joined.withColumns({"base_failed": failed, "kept": kept})
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the counts, base_failed and kept of every row; docs needs doc_id, text, lang and source."""
-    rows = materialize(measured(docs.select("doc_id", "text", "lang", "source")).drop("text"), "measured")
-    return _judged(rows).select(
-        "doc_id",
-        *[F.col(HELD)[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        F.col(f"{HELD}_failed").alias("base_failed"),
-        F.col(f"{HELD}_kept").alias("kept"),
-    )
+    rows = materialize(measured(docs, ["doc_id"]), "measured")
+    return _judged(rows).select("own.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns."""
-    rows = materialize(measured(docs), "measured")
-    return _judged(rows).where(f"{HELD}_kept").select(*docs.columns)
+    rows = materialize(measured(docs, docs.columns), "measured")
+    return _judged(rows).where("kept").select("own.*")
