@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import bpe_tree, exact_dedup, license_scan, lm_scoring, packing, quality_rules, simhash, token_counts, toxicity, warc
+from evidentia.llm import bpe_tree, exact_dedup, license_scan, lm_scoring, oracles, packing, quality_rules, simhash, token_counts, toxicity, warc
 from evidentia.llm.common import documents
 
 
@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
