@@ -2,8 +2,9 @@
 
 All rolling 3-word hashes of every text are joined with the word positions of the templates; hits are counted by
 diagonal (position in the text less position in the template); diagonals at most MAX_SHIFT words apart are merged, which
-bridges inserted and missing words; and a span counts if it covers enough of its template in not too many words. The base
-phrases are templates too: a phrase stands where its diagonal has all its hashes. Hashes that match are confirmed by their words.
+bridges inserted and missing words; and a span counts if it covers enough of its template in not too many words. Notices differ
+by single words, so of verified spans that overlap only those with the most hashes stay. The base phrases are templates too: a
+phrase stands where its diagonal has all its hashes. Hashes that match are confirmed by their words.
 
 The templates are constants of this module, a few hundred rows at any size of input, so they are broadcast; texts aren't
 shuffled, only hits and a row of each text are, by row.
@@ -107,7 +108,15 @@ def license_scan(docs: DataFrame) -> DataFrame:
     )
     cover = F.col("covered") / F.col("t_grams")
     base = F.col("base") & (F.col("places") > 0)
-    verified = F.col("template").isNotNull() & ~F.col("base") & (cover >= LEAST_COVER) & (F.col("end") - F.col("start") <= MOST_STRETCH * F.col("t_words"))
+    enough = F.col("template").isNotNull() & ~F.col("base") & (cover >= LEAST_COVER) & (F.col("end") - F.col("start") <= MOST_STRETCH * F.col("t_words"))
+    in_text = Window.partitionBy("rid").orderBy(F.desc("enough"), "start", "end", "template")
+    before = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("enough", F.coalesce(enough, F.lit(False)))
+    spans = spans.withColumn("first", F.coalesce(~F.col("enough") | (F.col("start") >= before), F.lit(True)).cast("int"))
+    spans = spans.withColumn("cluster", F.sum("first").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
+    most = F.max("covered").over(Window.partitionBy("rid", "cluster"))
+    spans = spans.withColumn("verified", F.col("enough") & (F.col("covered") == most))
+    verified = F.col("verified")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return (
         spans.groupBy("rid", "doc_id", "n_words")

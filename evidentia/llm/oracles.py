@@ -89,9 +89,14 @@ WITH d AS (
 ), grouped AS (
   SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal, j ROWS UNBOUNDED PRECEDING) AS span FROM gap
 ), span AS (
-  SELECT doc_id, label, count(DISTINCT j) / (t_words - {_G - 1}) AS cover, max(i) + {_G} - min(i) AS length, t_words FROM grouped GROUP BY doc_id, template, label, t_words, span
+  SELECT doc_id, template, label, count(DISTINCT j) AS covered, count(DISTINCT j) / (t_words - {_G - 1}) AS cover, min(i) AS first, max(i) + {_G} AS last, t_words FROM grouped GROUP BY doc_id, template, label, t_words, span
+), enough AS (
+  SELECT *, max(last) OVER (PARTITION BY doc_id ORDER BY first, last, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM span WHERE cover >= {license_scan.LEAST_COVER} AND last - first <= {license_scan.MOST_STRETCH} * t_words
+), clustered AS (
+  SELECT *, sum(coalesce(first >= before, true)::INT) OVER (PARTITION BY doc_id ORDER BY first, last, template ROWS UNBOUNDED PRECEDING) AS cluster FROM enough
 ), verified AS (
-  SELECT doc_id, label, cover FROM span WHERE cover >= {license_scan.LEAST_COVER} AND length <= {license_scan.MOST_STRETCH} * t_words
+  SELECT doc_id, label, cover FROM clustered QUALIFY covered = max(covered) OVER (PARTITION BY doc_id, cluster)
 ), every AS (
   SELECT doc_id, label, 1.0::DOUBLE AS score FROM place UNION ALL SELECT doc_id, label, cover FROM verified
 ), named AS (

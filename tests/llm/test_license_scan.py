@@ -7,7 +7,7 @@ from evidentia.llm.registry import ORACLES
 EXTRA = [
     (1, "x Licensed under the APACHE License, version 2.0; under the MIT license!", "en", "web"),
     (2, "under the mit license under the mit license under the mit", "en", "web"),
-    (3, "this work is licensed under a creative commons attribution noncommercial international license", "en", "web"),
+    (3, "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "en", "web"),
     (4, "redistribution and use in any source and binary forms with or without modification are permitted provided that the following conditions hold", "en", "web"),
     (5, "under the license mit", "en", "web"),
     (6, "CC-BY-NC cc by nc, cc by nd", "en", "web"),
@@ -34,7 +34,8 @@ def brute(rows):
                 base.add(label)
                 score = 1.0
         labels |= base
-        for notice, label in license_scan.NOTICES:
+        enough = []
+        for k, (notice, label) in enumerate(license_scan.NOTICES):
             t = notice.split()
             hits = {}
             for i in range(len(words) - 2):
@@ -51,11 +52,21 @@ def brute(rows):
                 last = d
             spans += [span] if span else []
             for s in spans:
-                cover = len({j for d in s for j in hits[d]}) / (len(t) - 2)
-                length = max(d + max(hits[d]) + 3 for d in s) - min(d + min(hits[d]) for d in s)
-                if cover >= license_scan.LEAST_COVER and length <= license_scan.MOST_STRETCH * len(t):
-                    labels.add(label)
-                    score = max(score, cover)
+                covered = len({j for d in s for j in hits[d]})
+                first, end = min(d + min(hits[d]) for d in s), max(d + max(hits[d]) + 3 for d in s)
+                if covered / (len(t) - 2) >= license_scan.LEAST_COVER and end - first <= license_scan.MOST_STRETCH * len(t):
+                    enough.append((first, end, k, covered, covered / (len(t) - 2), label))
+        clusters, reach = [], -1
+        for span in sorted(enough):
+            if span[0] >= reach:
+                clusters.append([])
+            clusters[-1].append(span)
+            reach = max(reach, span[1])
+        for cluster in clusters:
+            for span in cluster:
+                if span[3] == max(x[3] for x in cluster):
+                    labels.add(span[5])
+                    score = max(score, span[4])
         out[doc_id, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 9)] += 1
     return out
 
