@@ -133,9 +133,10 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     Of equal texts the row with the most code points in its own text stays, then the smallest doc_id (nulls last).
     """
-    named = block_names(docs, block_bytes)
+    named = materialize(block_names(docs, block_bytes), "named")
     first = F.min(F.struct((-F.col("n_points")).alias("points"), F.col("doc_id").isNull().alias("absent"), "doc_id", "rid"))
-    groups = named.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), first.alias("first"))
+    # written, so that the join below reads both sides anew and a group of very many copies can be split there
+    groups = materialize(named.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), first.alias("first")), "groups")
     return named.join(groups, ["n_blocks", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
