@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from evidentia.plans.oracles import ORACLES
+from evidentia.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
