@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from evidentia.llm.common import SPACE_BYTES, materialize, text_or_empty
+from evidentia.llm.common import SPACE_BYTES, text_or_empty
+from evidentia.storage import materialize
 
 BLOCK_BYTES = 4096
 #: Bytes of distinct blocks that a task remembers; then it forgets them, and a block may be sent again.

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidentia.llm.common import SPACE, materialize, space_words, text_or_empty
+from evidentia.llm.common import SPACE, space_words, text_or_empty
+from evidentia.storage import materialize
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 10, 20, 5
 MIN_GROUP = 50
