@@ -8,10 +8,11 @@ Training: from a bounded sample of labelled documents outside the held-out fold,
 frequent in toxic documents are the toxic ones, and sentences of other documents the clean ones. A sentence stands for its most telling word (its
 witness). The landmarks are telling words and word beginnings, and frequent clean words; the machine (squared hinge, solved in the
 primal) works on the Nyström features of witnesses; clean words that it finds most toxic are added and it is fitted again. A
-logistic curve over the documents' largest margins turns margins into scores.
+logistic curve over the documents' margins turns them into scores.
 
 Scoring: since the kernel is a product over subsequences, the fitted machine folds into one weight for each subsequence of the
-landmarks. A text's margin is the largest of its words' margins, so whole texts are read in one pass and nothing is shuffled.
+landmarks, and a word's margin is a sum over a table of them, taken for many words at once. A text is judged by its words'
+largest margins and the share of words on the toxic side, so whole texts are read in one pass and nothing is shuffled.
 Broadcast: the folded weights, bounded by the number of landmarks.
 
 Rows: one per input row. Null and empty texts have no word and score as a word that shares nothing with any landmark. Labels
@@ -40,25 +41,31 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS = 96, 32
 DECAY, SPAN, WINDOW = 0.6, 5, 24
 #: A word is telling if it is in so many toxic documents, and so much more often (log-odds).
 LEAST_DOCS, LEAST_ODDS = 5, 3.0
-SIGNS = re.compile(r"[\W_]+")
+#: The share of toxic documents that scores are meant for, whatever it is in the sample.
+PRIOR = 0.11
+SIGNS = re.compile(r"[^\w\s]+|_+")
 APART = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-MEMO_WORDS, MEMO_CHARS = 600_000, 64
+#: Letters that the folded machine tells apart; landmarks' rarer ones count as a letter of no landmark.
+MOST_LETTERS = 100
+#: Characters of words that are scored at once.
+SCORED_CHARS = 1 << 18
 
 _STEPS = [(j, k, DECAY ** (k + 1)) for k in range(2, SPAN) for j in range(1, k)]
+#: A word's length in feature space if no subsequence repeats, by its letters: what its features are divided by.
+_NORMS = np.array([max(sum(max(0, n + 2 - k) * w * w for _, k, w in _STEPS), 1e-12) ** 0.5 for n in range(WINDOW + 1)])
+_GAP = "$" + "\0" * (SPAN - 1) + "^"
 
 
 def subsequences(word: str) -> dict[str, float]:
-    """The gapped three-letter subsequences of a word between its two ends, with weights of unit length."""
+    """The gapped three-letter subsequences of a word of up to WINDOW letters between its two ends, with their weights."""
     marked = f"^{word}$"
     found: dict[str, float] = {}
     for j, k, weight in _STEPS:
         for a, b, c in zip(marked, marked[j:], marked[k:]):
             key = a + b + c
             found[key] = found.get(key, 0.0) + weight
-    if not found:
-        return found
-    norm = sum(v * v for v in found.values()) ** -0.5
-    return {key: v * norm for key, v in found.items()}
+    norm = _NORMS[len(word)]
+    return {key: v / norm for key, v in found.items()}
 
 
 def kernel(a: dict[str, float], b: dict[str, float]) -> float:
@@ -67,59 +74,87 @@ def kernel(a: dict[str, float], b: dict[str, float]) -> float:
     return sum(v * b[key] for key, v in a.items() if key in b)
 
 
-def spellings(token: str) -> list[str]:
-    """A token's letters and digits; of long ones, overlapping stretches."""
-    word = SIGNS.sub("", token.lower())
-    if len(word) <= WINDOW:
-        return [word] if word else []
-    return [word[at : at + WINDOW] for at in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+def spellings(text: str) -> list[str]:
+    """The words of a text in lower case without signs; letters set apart by spaces as one word; of long words, overlapping stretches."""
+    words = SIGNS.sub("", text.lower()).split()
+    words += [SIGNS.sub("", "".join(run[0].split())).lower() for run in APART.finditer(text)]
+    if max(map(len, words), default=0) <= WINDOW:
+        return words
+    return [part for word in words for part in ([word] if len(word) <= WINDOW else [word[at : at + WINDOW] for at in range(0, len(word) - WINDOW // 2, WINDOW // 2)])]
 
 
 class Machine:
-    """The fitted machine, folded: a weight for each subsequence, a bias, and the logistic curve over margins."""
-
-    def __init__(self, weights: dict[str, float], bias: float, slope: float = 1.0, shift: float = 0.0):
-        self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
-        self.known: dict[str, float] = {}
-
-    def word_margin(self, word: str) -> float:
-        get = self.weights.get
-        marked = f"^{word}$"
-        own: dict[str, float] = {}
-        for j, k, weight in _STEPS:
-            for a, b, c in zip(marked, marked[j:], marked[k:]):
-                key = a + b + c
-                own[key] = own.get(key, 0.0) + weight
-        hit = 0.0
-        for key, v in own.items():
-            w = get(key)
-            if w is not None:
-                hit += v * w
-        return self.bias + (hit * sum([v * v for v in own.values()]) ** -0.5 if hit else 0.0)
-
-    def _token_margin(self, token: str) -> float:
-        return max(map(self.word_margin, spellings(token)), default=self.bias)
-
-    def margin(self, text: str) -> float:
-        tokens = set(text.split())
-        known = self.known
-        for token in tokens - known.keys():
-            known[token] = self._token_margin(token)
-        best = max(map(known.__getitem__, tokens), default=self.bias)
-        if len(known) > MEMO_WORDS:
-            self.known = {}
-        else:
-            for token in [t for t in tokens if len(t) > MEMO_CHARS]:
-                del known[token]
-        for run in APART.finditer(text):
-            best = max(best, self._token_margin("".join(run[0].split())))
-        return best
-
-    def score(self, margin: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40))))
-
-    def parts(self) -> tuple[dict[str, float], float, float, float]:
-        return self.weights, self.bias, self.slope, self.shift
+    """The fitted machine, folded: a weight for each subsequence, a bias, and the logistic curve over a text's margins."""
+
+    def __init__(self, weights: dict[str, float], bias: float, curve: tuple[float, ...] = (0.0,) * 5):
+        self.weights, self.bias, self.curve = weights, bias, curve
+        letters: dict[str, float] = {}
+        for key, v in weights.items():
+            for letter in key:
+                letters[letter] = letters.get(letter, 0.0) + abs(v)
+        kept = sorted(letters, key=lambda x: (-letters[x], x))[:MOST_LETTERS]
+        self.size = len(kept) + 1
+        self.number = np.zeros(0x110000, np.uint8)
+        self.number[[ord(x) for x in kept]] = range(1, self.size)
+        self.table = np.zeros(self.size**3, np.float32)
+        for key, v in weights.items():
+            a, b, c = (int(self.number[ord(x)]) for x in key)
+            if a and b and c:
+                self.table[(a * self.size + b) * self.size + c] = v
+
+    def word_margins(self, words: list[str]) -> np.ndarray:
+        """The margins of words of 1 to WINDOW letters."""
+        out = np.empty(len(words))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        at = 0
+        while at < len(words):
+            end = max(at + 1, int(np.searchsorted(np.cumsum(lengths[at:]) + 6 * np.arange(len(words) - at), SCORED_CHARS)) + at)
+            own = lengths[at:end]
+            flat = "^" + _GAP.join(words[at:end]) + "$" + "\0" * SPAN
+            code = self.number[np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int32)
+            n = len(code) - SPAN + 1
+            hit = np.zeros(n, np.float32)
+            first, second = code * (self.size * self.size), code * self.size
+            for j, k, weight in _STEPS:
+                hit += np.float32(weight) * self.table[first[:n] + second[j : j + n] + code[k : k + n]]
+            # letters without a number stand in no weighted subsequence, and the gaps keep words apart
+            starts = np.concatenate([[0], np.cumsum(own[:-1] + 2 + SPAN - 1)])
+            out[at:end] = np.add.reduceat(hit.astype(np.float64), starts) / _NORMS[own]
+            at = end
+        return self.bias + out
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Of each text the three largest margins of its words, and the logarithm of the share of words on the toxic side."""
+        best = np.full((len(texts), 3), self.bias)
+        toxic, total = np.zeros(len(texts)), np.zeros(len(texts))
+        held: list[str] = []
+        ends: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            margins, start = self.word_margins(held) if held else np.empty(0), 0
+            for row, end in ends:
+                own, start = margins[start:end], end
+                best[row] = np.sort(np.concatenate([best[row], own]) if len(own) <= 3 else np.concatenate([best[row], np.partition(own, -3)[-3:]]))[-3:][::-1]
+                toxic[row] += (1 / (1 + np.exp(-4 * (own - 0.2)))).sum()
+                total[row] += len(own)
+            held.clear()
+            ends.clear()
+
+        for row, text in enumerate(texts):
+            words = spellings(text)
+            for at in range(0, len(words), SCORED_CHARS):
+                held += words[at : at + SCORED_CHARS]
+                ends.append((row, len(held)))
+                if len(held) >= SCORED_CHARS // 8:
+                    flush()
+        flush()
+        return np.column_stack([best, np.log((toxic + 0.05) / (total + 10))])
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.curve[:-1] + self.curve[-1], -40, 40)))
+
+    def parts(self) -> tuple[dict[str, float], float, tuple[float, ...]]:
+        return self.weights, self.bias, self.curve
 
 
 def _newton_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -165,20 +200,22 @@ def fit_machine(landmarks: list[str], toxic: list[str], clean: list[str]) -> Mac
     return Machine({key: float(folded[k]) for key, k in names.items()}, float(w[-1]))
 
 
-def _logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by damped Newton steps, with targets kept off 0 and 1."""
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([margins, np.ones_like(margins)], 1)
-    w = np.zeros(2)
+def _logistic(features: np.ndarray, labels: np.ndarray, prior: float = PRIOR) -> tuple[float, ...]:
+    """Slopes and shift of a logistic curve, by damped Newton steps on standardised features; classes weigh as `prior` has it."""
+    middle, spread = features.mean(axis=0), features.std(axis=0) + 1e-9
+    x = np.column_stack([(features - middle) / spread, np.ones(len(features))])
+    weight = np.where(labels > 0, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
+    ridge = np.append(np.ones(features.shape[1]), 1e-6)
+    w = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (target - p) - 1e-6 * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(hessian, x.T @ (weight * (labels - p)) - ridge * w)
         w = w + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    slopes = w[:-1] / spread
+    return (*slopes.tolist(), float(w[-1] - slopes @ middle))
 
 
 def _fold(doc_id):
@@ -237,35 +274,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     def word_margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(*first)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([machine.word_margin(w) for w in batch.column(0).to_pylist()], pa.float64())], names=["word", "margin"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.word_margins(batch.column(0).to_pylist()))], names=["word", "margin"])
 
     hard = others.select("word").mapInArrow(word_margins, "word string, margin double").orderBy(F.desc("margin"), "word").limit(SAMPLE_WORDS // 3).toPandas()["word"].tolist()
     machine = fit_machine(landmarks, toxic, list(dict.fromkeys([*clean, *hard])))
 
     parts = machine.parts()
 
-    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Machine(*parts)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([own.margin(x) for x in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], names=["margin", "toxic"])
+            found = own.features(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, found.T.copy())], names=["toxic", "a", "b", "c", "d"])
 
-    found = sample.select("text", "toxic").mapInArrow(margins, "margin double, toxic int").toPandas()
-    machine.slope, machine.shift = _logistic(found["margin"].to_numpy(), found["toxic"].to_numpy().astype(float))
+    found = sample.select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double, d double").toPandas().to_numpy(float)
+    machine.curve = _logistic(found[:, 1:], found[:, 0])
     return machine
 
 
-def _scored(rows: DataFrame, machine: Machine | None, text: str, score: str) -> DataFrame:
-    """`rows` with a column `score` for the column `text`, both by name."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(score, T.DoubleType())])
+def _mapped(rows: DataFrame, machine: Machine | None, text: str, schema: T.StructType, keep):
+    """`rows` through `keep`, which makes a batch of a batch and the scores of its column `text`."""
     at = rows.columns.index(text)
     shared = rows.sparkSession.sparkContext.broadcast(machine.parts() if machine else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Machine(*shared.value) if shared.value else None
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            scores = [own.score(own.margin(x or "")) for x in texts] if own else [0.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=schema.names)
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            yield keep(batch, own.scores(texts) if own else np.zeros(len(texts)))
 
     return rows.mapInArrow(run, schema)
 
@@ -273,10 +309,11 @@ def _scored(rows: DataFrame, machine: Machine | None, text: str, score: str) ->
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of `docs`."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    scored = _scored(rows, fit(docs, labels), "text", "score")
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    scored = _mapped(rows, fit(docs, labels), "text", schema, lambda batch, scores: pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"]))
     return scored.select("doc_id", (_fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that aren't predicted toxic, with all columns."""
-    return _scored(docs, fit(docs, labels), "text", "_toxicity").where(F.col("_toxicity") < TOXIC_SCORE).select(*docs.columns)
+    return _mapped(docs, fit(docs, labels), "text", docs.schema, lambda batch, scores: batch.filter(pa.array(scores < TOXIC_SCORE)))
