@@ -5,17 +5,19 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from evidentia.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def own_ids(text):
-    from tokenizers import Tokenizer
+WHOLE = Tokenizer.from_file(PATH)
+BY_PARTS, BY_RANKS = packing.library_encoder(PATH), packing.text_encoder(PATH)
+
 
-    tokenizer = own_ids.__dict__.setdefault("tokenizer", Tokenizer.from_file(PATH))
-    return [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+def own_ids(text):
+    return [*WHOLE.encode(text, add_special_tokens=False).ids, 2]
 
 
 def test_pieces_and_places(edge_docs, edge_rows):
@@ -77,6 +79,21 @@ def test_best_fit_chooses_the_tightest_open_bin(lengths, open_bins):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab 1'st\n\t  .你\U0001f600"), max_size=60))
 def test_parts_encode_as_the_whole(text):
-    encoder = test_parts_encode_as_the_whole.__dict__.setdefault("encoder", packing.library_encoder(PATH))
-    ids = np.frombuffer(encoder.encode([text])[0], "<u4").tolist()
+    ids = np.frombuffer(BY_PARTS.encode([text])[0], "<u4").tolist()
     assert ids == own_ids(text)[:-1]
+
+
+COMMON = st.one_of(st.sampled_from("ab 1'sS.,!?-\n\t\r  \xa0éßñäöüØ€–…жщΩω你好のカ\U0001f600<|>_"), st.characters(max_codepoint=0x4E80, exclude_categories=["Cs"]), st.characters(exclude_categories=["Cs"]))
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.text(alphabet=COMMON, max_size=60))
+def test_ranks_encode_as_the_tokenizer(text):
+    assert isinstance(BY_RANKS, packing.RankEncoder)
+    assert np.frombuffer(BY_RANKS.encode([text])[0], "<u4").tolist() == own_ids(text)[:-1]
+    if not BY_RANKS.added.search(text) and packing.COMMON.fullmatch(text):
+        assert BY_RANKS.encode_ordinary(text) == own_ids(text)[:-1]
+
+
+def test_other_tokenizers_have_no_ranks():
+    assert packing.byte_level_ranks(public_tokenizers.path("word_bpe_49k.json")) is None

@@ -52,6 +52,13 @@ def test_against_brute_force(edge_docs, edge_rows):
     assert Counter(map(tuple, quality_rules.quality(edge_docs).collect())) == brute(edge_rows)
 
 
+def test_many_groups_are_joined_by_a_shuffle(edge_docs):
+    rows = quality_rules.measured(edge_docs, ["doc_id"]).cache()
+    columns = ["own.doc_id", "base_failed", "kept"]
+    few, many = (Counter(map(tuple, quality_rules._judged(rows, n).select(*columns).collect())) for n in (100, 0))
+    assert few == many
+
+
 def test_filter_keeps_columns(edge_docs, edge_rows):
     left = quality_rules.filter_quality(edge_docs)
     assert left.columns == edge_docs.columns

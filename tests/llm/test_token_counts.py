@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from evidentia.llm import token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-WHOLE = Tokenizer.from_file(PATH)
+WHOLE, COUNTER = Tokenizer.from_file(PATH), token_counts.library_counter(PATH)
 
 
 def test_counts_of_whole_texts(edge_docs, edge_rows):
@@ -27,8 +27,7 @@ def test_empty_table(no_docs):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab 1'sSt\n\t\r  .你\U0001f600İß́<|>endoftx"), max_size=60))
 def test_parts_count_as_the_whole(text):
-    counter = test_parts_count_as_the_whole.__dict__.setdefault("counter", token_counts.library_counter(PATH))
-    assert counter.count([text]) == [len(WHOLE.encode(text, add_special_tokens=False).ids)]
+    assert COUNTER.count([text]) == [len(WHOLE.encode(text, add_special_tokens=False).ids)]
 
 
 def test_memo_is_bounded():
