@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evidentia.functions import text as t
 
@@ -73,3 +74,31 @@ def verify_rounds(answer: str, pack: list[str], supported: Callable[[str, list[s
     for sentence in bad:
         answer = answer.replace(sentence, f"⚠️{sentence}")
     return answer, bad, rounds
+
+
+def question_items(assertions: DataFrame, human_levels: list[str], least: int = 2) -> DataFrame:
+    """Questions for an evaluation: a component and family with enough human evidence must be answered with it; one without any evidence of its own but with that of others must be refused.
+
+    assertions: assertion_id, ingredient_id, family, level.
+    """
+    human = F.col("level").isin(human_levels)
+    by_pair = assertions.groupBy("ingredient_id", "family").agg(F.array_sort(F.collect_set(F.when(human, F.col("assertion_id")))).alias("must_cite"))
+    checks = by_pair.where(F.size("must_cite") >= least).select("ingredient_id", "family", "must_cite", F.lit("fact_check").alias("kind"))
+    weak = by_pair.where(F.size("must_cite") == 0).select("ingredient_id", "family")
+    refusals = weak.join(checks.select("ingredient_id").distinct(), "ingredient_id", "left_anti").select("ingredient_id", "family", F.array().cast("array<bigint>").alias("must_cite"), F.lit("refusal").alias("kind"))
+    return checks.unionByName(refusals)
+
+
+def exclusive_quartiles(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, q1, q2, q3 by the (n + 1) q rule; null under two values. Equal values are counted first, so only different ones meet."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    own = Window.partitionBy(key)
+    placed = counted.select(key, F.col(value).alias("v"), F.sum("n").over(own.orderBy(value)).alias("upto"), F.sum("n").over(own).alias("total"))
+
+    def at(q: int) -> Column:
+        place = (F.col("total") + 1) * q
+        low = F.least(F.greatest(F.floor(place / 4), F.lit(1)), F.col("total") - 1)
+        first, second = (F.min(F.when(F.col("upto") >= x, F.col("v"))) for x in (low, low + 1))
+        return F.when(F.max("total") >= 2, first + (second - first) * F.max((place - low * 4) / 4.0))
+
+    return placed.groupBy(key).agg(*[at(q).alias(f"q{q}") for q in (1, 2, 3)])

@@ -107,3 +107,29 @@ def ordered_text(links: DataFrame, key: str, value: str, position: str, separato
     first = links.groupBy(key, value).agg(F.min(F.coalesce(F.col(position), F.lit(2**31 - 1))).alias("place"))
     listed = F.sort_array(F.collect_list(F.struct("place", value)))
     return first.groupBy(key).agg(F.array_join(listed[value], separator).alias("text"))
+
+
+def decode(lists: DataFrame, key: str, words: str, register: DataFrame, name: str, value: str) -> DataFrame:
+    """A row for each word of a pasted list: its place and whether it is a hit (one value), a doubt (several) or a miss."""
+    known = register.select(collapse(F.col(name)).alias("_key"), F.col(value).alias("_value")).groupBy("_key").agg(F.count_distinct("_value").alias("n_values"), F.min("_value").alias("value"))
+    rows = lists.select(key, F.posexplode(words).alias("place", "word")).withColumn("_key", collapse(F.col("word")))
+    status = F.when(F.col("n_values") == 1, "hit").when(F.col("n_values") > 1, "doubt").otherwise("miss")
+    return rows.join(known, "_key", "left").select(key, "place", "word", status.alias("status"), F.when(F.col("n_values") == 1, F.col("value")).alias("value"))
+
+
+def search_all(query: str, k: int, **tables: tuple[DataFrame, str, str]) -> DataFrame:
+    """The k best names of each table: kind, id, name and rank; better are equal names, then beginnings, shorter names, smaller ids."""
+    found = None
+    for kind, (rows, key, name) in tables.items():
+        order = fuzzy_rank(F.lit(query), F.col(name))
+        own = rows.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.col(name).alias("name"), order.alias("tier")).where("tier is not null")
+        own = own.orderBy("tier", F.length("name"), "id").limit(k)
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def merged_names(register: DataFrame, name: Column, key: str) -> DataFrame:
+    """key, keeper: the smallest key that has the same clean name. Rows whose clean name is empty keep themselves."""
+    named = register.select(F.col(key), name.alias("_name"))
+    first = named.where("_name <> ''").groupBy("_name").agg(F.min(key).alias("keeper"))
+    return named.join(first, "_name", "left").select(key, F.coalesce("keeper", key).alias("keeper"))

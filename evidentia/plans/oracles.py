@@ -249,3 +249,22 @@ KEEPERS = "placed AS (SELECT id, cluster_id, row_number() OVER (PARTITION BY clu
 ORACLES["dedup_keepers"] = f"WITH RECURSIVE {CLUSTERS}, {KEEPERS} SELECT * FROM placed"
 ORACLES["dedup_repoint"] = f"""WITH RECURSIVE {CLUSTERS}, {KEEPERS}, m AS (SELECT a.id, b.id AS keeper FROM placed a JOIN placed b ON a.cluster_id = b.cluster_id AND b.place = 1)
 SELECT coalesce(keeper, doc_id) AS id, count(*) AS n_labels, max(toxic) AS toxic FROM labels LEFT JOIN m ON m.id = doc_id GROUP BY ALL"""
+
+ORACLES["link_orphans"] = f"WITH {SNAPSHOTS} SELECT source, count(*) AS n FROM snapshots WHERE product_id * 997 NOT IN (SELECT o_orderkey FROM orders) GROUP BY ALL"
+ORACLES["recompute_families"] = f"""WITH {ASSERTIONS} SELECT assertion_id, CASE WHEN kind IN ('patent', 'supplier', 'book') AND ingredient_id % 4 = 0 THEN '保湿' WHEN kind IN ('patent', 'supplier', 'book') AND ingredient_id % 4 = 2 THEN '' ELSE {RULES.format(e="effect")} END AS family FROM assertions"""
+ORACLES["name_cleanup"] = "SELECT l_orderkey, count(*) AS n_links, count(DISTINCT upper(p_name)) AS n_components FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"
+ORACLES["decode_lists"] = """WITH k AS (SELECT p_name, count(DISTINCT p_brand) AS n FROM part WHERE p_name NOT LIKE 'blue%' GROUP BY ALL), w AS (SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT l_orderkey, sum((coalesce(n, 0) = 1)::INT)::BIGINT AS n_hit, sum((coalesce(n, 0) > 1)::INT)::BIGINT AS n_doubt, sum((n IS NULL)::INT)::BIGINT + 1 AS n_miss FROM w LEFT JOIN k USING (p_name) GROUP BY ALL"""
+ORACLES["global_search"] = f"""WITH {ORDERS}, r AS (SELECT 'product' AS kind, product_id AS id, name FROM items UNION ALL SELECT 'component', p_partkey, p_name FROM part),
+t AS (SELECT *, CASE WHEN lower(name) = 'ring' THEN 0 WHEN lower(name) LIKE 'ring%' THEN 1 ELSE 2 END AS tier FROM r WHERE lower(name) LIKE '%ring%')
+SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY kind ORDER BY tier, length(name), id) <= 8"""
+ORACLES["question_items"] = f"""WITH {ASSERTIONS}, p AS (SELECT ingredient_id, family, list(assertion_id ORDER BY assertion_id) FILTER (level IN ('human_rct', 'human_ct', 'human_open')) AS cite FROM assertions GROUP BY ALL)
+SELECT ingredient_id, family, 'fact_check' AS kind, array_to_string(cite, ',') AS must_cite FROM p WHERE cite IS NOT NULL
+UNION ALL SELECT ingredient_id, family, 'refusal', '' FROM p WHERE cite IS NULL AND ingredient_id NOT IN (SELECT ingredient_id FROM p WHERE cite IS NOT NULL)"""
+ORACLES["evidence_coverage"] = f"""WITH {ASSERTIONS}, {O}, h AS (SELECT DISTINCT ingredient_id FROM assertions WHERE level IN ('human_rct', 'human_ct', 'human_open'))
+SELECT product_id, round(avg((h.ingredient_id IS NOT NULL)::INT), 4) AS coverage FROM links LEFT JOIN h USING (ingredient_id) GROUP BY ALL"""
+ORACLES["effect_union"] = f"WITH {ASSERTIONS} SELECT ingredient_id, array_to_string(list_sort(list(DISTINCT effect)), '|') AS effects FROM assertions GROUP BY ALL"
+ORACLES["price_quartiles"] = f"""WITH {ORDERS}, s AS (SELECT brand, list(price ORDER BY price) AS v, count(*) AS n FROM items GROUP BY ALL), q AS (SELECT *, unnest([1, 2, 3]) AS q FROM s), l AS (SELECT *, least(greatest((n + 1) * q // 4, 1), n - 1) AS low FROM q),
+x AS (SELECT brand, q, round(v[low] + (v[low + 1] - v[low]) * ((n + 1) * q - low * 4) / 4, 4) AS y FROM l)
+SELECT brand, max(y) FILTER (q = 1) AS q1, max(y) FILTER (q = 2) AS q2, max(y) FILTER (q = 3) AS q3 FROM x GROUP BY ALL"""
+ORACLES["event_windows"] = "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(avg(value), 4) AS avg_value, max(value) AS max_value FROM events GROUP BY ALL"

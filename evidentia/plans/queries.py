@@ -415,6 +415,53 @@ def normalize_names(spark, sf):
     return rows.select("p_partkey", name.alias("normalized"), t.collapse(name).alias("collapsed"), t.fold(name).alias("folded"))
 
 
+@query
+def decode_lists(spark, sf):
+    lists = text_agg(spark, sf).select("l_orderkey", t.list_words(F.concat("text", F.lit("，Unknown thing"))).alias("words"))
+    register = table(spark, sf, "part").where("p_name not like 'blue%'")
+    return matching.decode(lists, "l_orderkey", "words", register, "p_name", "p_brand").groupBy("l_orderkey").agg(*[F.sum((F.col("status") == x).cast("int")).alias(f"n_{x}") for x in ("hit", "doubt", "miss")])
+
+
+@query
+def global_search(spark, sf):
+    return matching.search_all("Ring", 8, product=(domain.orders(spark, sf), "product_id", "name"), component=(domain.components(spark, sf), "ingredient_id", "inci_name"))
+
+
+@query
+def question_items(spark, sf):
+    rows = domain.assertions(spark, sf)
+    used = rows.withColumn("family", rules.family_or_canonical(F.col("family"), F.col("effect")))
+    items = evaluation.question_items(used, rules.HUMAN_LEVELS, 1)
+    return items.select("ingredient_id", "family", "kind", F.array_join(F.transform("must_cite", lambda x: x.cast("string")), ",").alias("must_cite"))
+
+
+@query
+def evidence_coverage(spark, sf):
+    """Share of each order's links whose component has human evidence."""
+    human = domain.assertions(spark, sf).where(F.col("level").isin(rules.HUMAN_LEVELS)).select("ingredient_id").distinct().withColumn("covered", F.lit(1.0))
+    joined = domain.links(spark, sf, "l_orderkey").join(human, "ingredient_id", "left")
+    return joined.groupBy("product_id").agg(F.round(F.avg(F.coalesce("covered", F.lit(0.0))), 4).alias("coverage"))
+
+
+@query
+def effect_union(spark, sf):
+    rows = domain.assertions(spark, sf).groupBy("ingredient_id").agg(F.array_join(F.sort_array(F.collect_set("effect")), "|").alias("effects"))
+    return rows
+
+
+@query
+def price_quartiles(spark, sf):
+    rows = evaluation.exclusive_quartiles(domain.orders(spark, sf), "brand", "price")
+    return rows.select("brand", *[F.round(q, 4).alias(q) for q in ("q1", "q2", "q3")])
+
+
+@query
+def event_windows(spark, sf):
+    """The stream's windows over the whole table."""
+    rows = table(spark, sf, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("avg_value"), F.max("value").alias("max_value"))
+    return rows.select(F.col("window.start").alias("window_start"), "event_type", "n", "avg_value", "max_value")
+
+
 # changes ------------------------------------------------------------------------------------------------------------
 
 
@@ -462,6 +509,29 @@ def resume_not_done(spark, sf):
     return changes.not_done(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels"), ["doc_id"])
 
 
+@query
+def link_orphans(spark, sf):
+    """Snapshots of items that no order has, by source."""
+    orphans = changes.orphans(domain.snapshots(spark, sf).withColumn("product_id", F.col("product_id") * 997), domain.orders(spark, sf), "product_id")
+    return changes.action_counts(orphans, "source")
+
+
+@query
+def recompute_families(spark, sf):
+    """Families worked out anew, but for kinds that were set by hand."""
+    rows = domain.assertions(spark, sf)
+    fixed = F.col("kind").isin("patent", "supplier", "book") & F.col("family").isNotNull()
+    return rows.select("assertion_id", F.when(fixed, F.col("family")).otherwise(rules.canonical_family(F.col("effect"))).alias("family"))
+
+
+@query
+def name_cleanup(spark, sf):
+    """Links of each order before and after components with one clean name became one."""
+    keepers = matching.merged_names(table(spark, sf, "part"), t.collapse(t.normalize_name(F.col("p_name"))), "p_partkey")
+    links = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(keepers, F.col("l_partkey") == F.col("p_partkey"))
+    return links.groupBy("l_orderkey").agg(F.count("*").alias("n_links"), F.count_distinct("keeper").alias("n_components"))
+
+
 # duplicates and doses -----------------------------------------------------------------------------------------------
 
 

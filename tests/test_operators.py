@@ -308,3 +308,26 @@ def test_reading_order(spark):
     rows = [("title", 10.0, 90.0, 0.0), ("r1", 55.0, 90.0, 10.0), ("l1", 5.0, 45.0, 12.0), ("l2", 5.0, 45.0, 20.0), ("wide", 10.0, 90.0, 30.0), ("l3", 5.0, 45.0, 40.0), ("r2", 55.0, 95.0, 35.0)]
     boxes = spark.createDataFrame([(1, t, a, b, y, y + 5, 100.0) for t, a, b, y in rows], "page int, text string, left double, right double, top double, bottom double, width double")
     assert [r.text for r in pages.reading_order(boxes, ["page"]).orderBy("reading_no").collect()] == ["title", "l1", "l2", "r1", "wide", "l3", "r2"]
+
+
+def test_quartiles(spark):
+    rows = spark.createDataFrame([("a", float(x)) for x in (1, 2, 2, 4, 9)] + [("b", 3.0), ("c", None)], "k string, v double")
+    assert {tuple(r) for r in evaluation.exclusive_quartiles(rows, "k", "v").collect()} == {("a", 1.5, 2.0, 6.5), ("b", None, None, None)}
+
+
+def test_decoding(spark):
+    register = spark.createDataFrame([("Aqua", 1), ("Rose Oil", 2), ("rose-oil", 3)], "name string, value long")
+    lists = spark.createDataFrame([(1, ["AQUA", "rose oil", "x"])], "id long, words array<string>")
+    found = matching.decode(lists, "id", "words", register, "name", "value").orderBy("place").collect()
+    assert [(r.word, r.status, r.value) for r in found] == [("AQUA", "hit", 1), ("rose oil", "doubt", None), ("x", "miss", None)]
+
+
+def test_search_all(spark):
+    items = spark.createDataFrame([(1, "Oil rose"), (2, "rose oil"), (3, "ROSE"), (4, "rosehip"), (5, "x")], "id long, name string")
+    assert [r.id for r in matching.search_all("rose", 3, item=(items, "id", "name")).collect()] == [3, 4, 2]
+
+
+def test_question_items(spark):
+    rows = spark.createDataFrame([(1, 1, "a", "human_rct"), (2, 1, "a", "human_open"), (3, 2, "a", "animal"), (4, 1, "b", "animal"), (5, 3, "a", "human_ct")], "assertion_id long, ingredient_id long, family string, level string")
+    found = {(r.ingredient_id, r.family): (r.kind, r.must_cite) for r in evaluation.question_items(rows, ["human_rct", "human_open", "human_ct"]).collect()}
+    assert found == {(1, "a"): ("fact_check", [1, 2]), (2, "a"): ("refusal", [])}
