@@ -1,8 +1,10 @@
 """Best-fit packing of tokenized documents into sequences of fixed capacity.
 
-Tokenizing: a text is split before single spaces that stand between other characters, where the byte-level pre-tokenizer
-always starts a token; the ids of parts met before come from a bounded memo. Only the placing data of the pieces is
-shuffled (about 40 bytes each), by a hash, so partitions are even whatever the documents' sizes or sources.
+Tokenizing: where a tokenizer is plain byte-level BPE, its own vocabulary goes to an encoder over ranks, which gives the same ids
+of texts in common scripts several times faster; all other texts, and other tokenizers, go to the tokenizer itself. There a text
+is split before single spaces that stand between other characters, where the byte-level pre-tokenizer always starts a
+token, and the ids of parts met before come from a bounded memo. Only the placing data of the pieces is shuffled (about 40
+bytes each), by a hash, so partitions are even whatever the documents' sizes or sources.
 
 Packing: bounded-space online best-fit within a partition. A bitset over free space tells the tightest open bin that
 takes a piece; when more than OPEN_BINS are open, the fullest closes. Pieces come in the order of a hash of their place, so
@@ -14,9 +16,12 @@ doc_ids and repeated rows are packed each. Other columns are ignored. An empty t
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -72,6 +77,54 @@ class PartEncoder:
         return encoded
 
 
+#: Fixed value: the pattern that splits texts in byte-level BPE.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose classes (letter, number, space) no version of Unicode disputes; and runs that only trees take well.
+COMMON = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u0233\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u2013-\u2026\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\U0001f600-\U0001f64f]*")
+LONG_RUN = re.compile(r"\S{400}|\s{400}")
+
+
+def byte_level_ranks(path: str) -> tuple[dict[bytes, int], list[str]] | None:
+    """Ranks and added tokens of a tokenizer file if it is plain byte-level BPE whose ids follow its merges; else None."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    model, before = held["model"], held.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not held.get("normalizer")
+    plain = plain and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not plain:
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    vocab = model["vocab"]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if [vocab.get(m) for m in merged] != list(range(256, 256 + len(merged))) or {vocab.get(c) for c in byte_of} != set(range(256)):
+        return None
+    ranks = {bytes(map(byte_of.__getitem__, token)): vocab[token] for token in [*byte_of, *merged]}
+    return ranks, [token["content"] for token in held.get("added_tokens", [])]
+
+
+class RankEncoder:
+    """Ids of texts by ranks where that is sure to give the tokenizer's ids, and by `other` elsewhere."""
+
+    def __init__(self, ranks: dict[bytes, int], added: list[str], other: PartEncoder):
+        import tiktoken
+
+        self.encode_ordinary = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.other = other
+
+    def sure(self, text: str) -> bool:
+        return COMMON.fullmatch(text) is not None and LONG_RUN.search(text) is None and (self.added is None or self.added.search(text) is None)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", self.encode_ordinary(text)).tobytes() if self.sure(text) else self.other.encode([text])[0] for text in texts]
+
+
+def text_encoder(path: str) -> RankEncoder | PartEncoder:
+    other, found = library_encoder(path), byte_level_ranks(path)
+    return RankEncoder(*found, other) if found and sys.byteorder == "little" and array("I").itemsize == 4 else other
+
+
 def library_encoder(path: str) -> PartEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
     from tokenizers import Tokenizer
@@ -100,7 +153,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer_path)
+        encoder = text_encoder(tokenizer_path)
         for batch in batches:
             own, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
