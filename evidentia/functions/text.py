@@ -15,7 +15,7 @@ INVISIBLE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\xad\x{200b}-\x{200f}\x{202a}-\x{20
 #: Words that all mean water, and words that limit a claim.
 WATER_NAMES = ["AQUA", "WATER", "EAU"]
 HEDGES = "估计|文献|实验|研究|临床"
-#: The leading volume units' and claim sentences' separators.
+#: Separators of phrases and of claims.
 PHRASE_SPLIT, CLAIM_SPLIT = "[、，,；;\n]", "[。；;！？!?\n]+"
 
 
@@ -164,3 +164,68 @@ def same_name(a: Column, b: Column) -> Column:
     repeated = (F.size(F.array_except(more_a, tb)) == 0) & (F.size(F.array_except(more_b, ta)) == 0)
     near = F.forall(F.zip_with(more_a, more_b, lambda x, y: F.levenshtein(x, y)), lambda d: d <= 2)
     return repeated | ((F.size(more_a) == F.size(more_b)) & (F.size(more_a) <= 2) & near)
+
+
+#: Words of names that stand for mixtures, as parts of a name and as whole words; and single mixtures.
+MIXTURE_PARTS = "EXTRACT|FERMENT| OIL|BUTTER|WAX|HYDROLYZED|CROSSPOLYMER"
+MIXTURE_NAMES = ["HYALURONIC ACID", "COLLAGEN", "SODIUM HYALURONATE"]
+MIXTURE_WORDS = ["EXTRACT", "OIL", "BUTTER", "FERMENT", "COLLAGEN", "HYALURONATE", "HYALURONIC", "POLYSACCHARIDE", "PROTEIN"]
+#: What the category of an evaluation says about its evidence.
+EVALUATION_TIERS = {"人体功效评价试验": "真人实测", "消费者使用测试": "真人实测", "实验室试验": "实验室试验", "研究数据": "研究数据", "文献资料": "仅文献资料"}
+
+
+def page_name(shown: Column) -> Column:
+    """A component's name as pages show it: no entities, double quotes, invisible spaces and trailing (n %); upper case."""
+    text = shown
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", ""), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = F.regexp_replace(F.regexp_replace(text, r'["\x{200b}-\x{200d}\x{feff}]', ""), r"\s*\(\s*\d+(?:\.\d+)?\s*%\s*\)\s*$", "")
+    return F.upper(F.btrim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def slash_in_parentheses(name: Column) -> Column:
+    """Whether a slash stands inside an open parenthesis or bracket."""
+    step = lambda depth, c: F.when(c.isin("(", "["), depth + 1).when(c.isin(")", "]"), F.greatest(depth - 1, F.lit(0))).otherwise(depth)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("found"))
+    walked = F.aggregate(F.split(name, ""), start, lambda a, c: F.struct(step(a["depth"], c).alias("depth"), (a["found"] | ((c == "/") & (a["depth"] > 0))).alias("found")))
+    return walked["found"]
+
+
+def plain_number(value: Column) -> Column:
+    """A number with up to ten decimals, without trailing zeros and exponents."""
+    return F.regexp_replace(F.format_string("%.10f", value), r"\.?0+$", "")
+
+
+def mixture_part(name: Column) -> Column:
+    """Whether a name tells a mixture by one of its parts, or is one that is known."""
+    return F.upper(name).rlike(MIXTURE_PARTS) | F.upper(name).isin(MIXTURE_NAMES)
+
+
+def mixture_word(name: Column) -> Column:
+    """Whether a whole word of a name tells a mixture."""
+    return F.arrays_overlap(F.split(F.btrim(F.upper(name)), r"\s+"), F.array(*map(F.lit, MIXTURE_WORDS)))
+
+
+def evaluation_tier(category: Column) -> Column:
+    tiers = F.create_map(*[F.lit(x) for pair in EVALUATION_TIERS.items() for x in pair])
+    return F.coalesce(F.element_at(tiers, category), F.lit("研究数据"))
+
+
+def opinion_sentences(text: Column, most: int = 12) -> Column:
+    """Sentences of an opinion's own section (or the whole text) that judge a safety and give a dose or a limit."""
+    section = F.regexp_extract(text, r"(?ims)^[ \t]*OPINION[ \t]*$(.*)", 1)
+    sentences = F.split(F.when(section != "", section).otherwise(text), r"(?<=[.!?])\s+")
+    telling = F.filter(sentences, lambda x: x.rlike("(?i)safe|unsafe|risk") & x.rlike("%|concentration|not considered|cannot"))
+    return F.slice(F.transform(telling, lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "))), 1, most)
+
+
+def snapshot_note(url: Column, title: Column, year_inferred: Column, expired: Column, up: Column, down: Column) -> Column:
+    """The note of a price snapshot: its page and title, and what is only estimated; parts that don't hold are left out."""
+    return F.concat_ws(
+        "；",
+        F.concat(F.lit("页面 "), url),
+        F.concat(F.lit("标题「"), F.left(F.coalesce(title, F.lit("")), F.lit(80)), F.lit("」")),
+        F.when(year_inferred, F.lit("日期仅月日，年份按采集日推断（估计）")),
+        F.when(expired, F.lit("好价已过期（促销价有时效）")),
+        F.concat(F.lit("值投票 "), up.cast("string"), F.lit(":"), down.cast("string")),
+    )

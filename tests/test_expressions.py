@@ -137,3 +137,16 @@ def test_parsing(spark):
 def test_set_jaccard(spark):
     rows = values(spark, [([1, 2], [2, 3]), ([], [])], "a array<int>, b array<int>", t.set_jaccard(F.col("a"), F.col("b")))
     assert [r[0] for r in rows] == pytest.approx([1 / 3, 0.0])
+
+
+def test_small_texts(spark):
+    assert one(spark, t.page_name, ' niacin&amp;amide "x" (2.5%) ') == 'NIACIN&AMIDE X'
+    assert [one(spark, t.slash_in_parentheses, x) for x in ("(A/B) C", "A/B (C)", "A (B (C) /D)", "")] == [True, False, True, False]
+    assert [r[0] for r in values(spark, [(0.5,), (10.0,), (1e-7,), (0.0,)], "x double", t.plain_number(F.col("x")))] == ["0.5", "10", "0.0000001", "0"]
+    assert [one(spark, t.mixture_part, x) for x in ("Rose Oil", "Collagen", "Foil", "Niacinamide")] == [True, True, False, False]
+    assert [one(spark, t.mixture_word, x) for x in ("rose oil", "Foil", "Soy Protein")] == [True, False, True]
+    assert [one(spark, t.evaluation_tier, x) for x in ("消费者使用测试", "文献资料", "x", None)] == ["真人实测", "仅文献资料", "研究数据", "研究数据"]
+    text = "It is safe at 1%.\nOPINION\nX is safe at 2 %. Nothing here. The risk cannot be told!\nEnd."
+    assert one(spark, t.opinion_sentences, text) == ["X is safe at 2 %.", "The risk cannot be told!"]
+    note = t.snapshot_note(F.lit("u"), F.lit("T"), F.lit(True), F.lit(False), F.lit(3), F.lit(None).cast("int"))
+    assert spark.range(1).select(note).first()[0] == "页面 u；标题「T」；日期仅月日，年份按采集日推断（估计）"
