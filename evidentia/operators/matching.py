@@ -61,23 +61,31 @@ def majority(rows: DataFrame, key: str, value: str) -> DataFrame:
     return first.where("n = 1").drop("n")
 
 
-def phrases_in_texts(texts: DataFrame, phrases: DataFrame, width: int = 3) -> DataFrame:
-    """text_id, phrase_id of every phrase that stands in a text word by word; texts: text_id, text; phrases: phrase_id, phrase.
+def phrases_in_texts(texts: DataFrame, phrases: DataFrame, width: int = 12, by_words: bool = False) -> DataFrame:
+    """text_id, phrase_id of every phrase that stands in a text; texts: text_id, text; phrases: phrase_id, phrase.
 
-    Both sides meet by their first `width` words, so no text is compared with phrases that don't begin in it. Phrases of fewer
-    words meet by all of them. What meets is confirmed on the words themselves. White space of any length separates words.
+    A phrase stands in a text as a run of characters, or (by_words) of whole words, whatever white space parts them. Both sides meet
+    by hashes of their first `width` units, so no text is compared with phrases that don't begin in it; shorter phrases meet
+    by all of their units. Only ids, places and hashes are shuffled; what meets is confirmed on the text itself.
     """
-    words = lambda text: F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
-    asked = phrases.select("phrase_id", words(F.col("phrase")).alias("p_words")).withColumn("n", F.size("p_words")).where("n > 0")
-    asked = asked.withColumn("w", F.least(F.col("n"), F.lit(width))).withColumn("key", F.array_join(F.slice("p_words", F.lit(1), F.col("w")), " "))
-    split = texts.select("text_id", words(F.col("text")).alias("t_words")).where(F.size("t_words") > 0)
-    starts = split.select("text_id", "t_words", F.posexplode("t_words").alias("at", "first"))
-    # the words from each start, as far as the longest phrase goes, are looked up by their first ones
-    longest = asked.select(F.coalesce(F.max("n"), F.lit(1)).alias("n")).scalar()
-    run = starts.select("text_id", F.slice("t_words", F.col("at") + 1, longest).alias("run"))
-    keyed = run.select("text_id", "run", F.explode(F.filter(F.array_distinct(F.array(*[F.array_join(F.slice("run", 1, k), " ") for k in range(1, width + 1)])), lambda x: x != "")).alias("key"))
-    met = keyed.join(asked, "key").where(F.slice("run", F.lit(1), F.col("n")) == F.col("p_words"))
-    return met.select("text_id", "phrase_id").distinct()
+    held = lambda text: F.coalesce(text, F.lit(""))
+    units = (lambda text: F.filter(F.split(held(text), r"\s+"), lambda x: x != "")) if by_words else (lambda text: F.filter(F.split(held(text), ""), lambda x: x != ""))
+    start = lambda own, at, k: F.xxhash64(F.array_join(F.slice(own, at, k), " " if by_words else ""))
+    asked = phrases.select("phrase_id", units(F.col("phrase")).alias("p_units")).withColumn("n", F.size("p_units")).where("n > 0")
+    asked = asked.withColumn("w", F.least(F.col("n"), F.lit(width)))
+    asked = asked.withColumn("key", start(F.col("p_units"), F.lit(1), F.col("w")))
+    split = texts.select("text_id", units(F.col("text")).alias("t_units")).where(F.size("t_units") > 0)
+    size = F.size("t_units")
+
+    def places(k: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1))), lambda at: F.struct(at.alias("at"), start(F.col("t_units"), at, k).alias("key")))
+        return F.when(size >= k, found).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
+
+    widths = sorted(r.w for r in asked.select("w").distinct().collect())  # at most `width` numbers
+    every = F.concat(*[places(k) for k in widths or [width]])
+    met = split.select("text_id", F.explode(every).alias("p")).select("text_id", "p.at", "p.key").join(asked.select("phrase_id", "key"), "key")
+    both = met.join(split, "text_id").join(asked.select("phrase_id", "p_units", "n"), "phrase_id")
+    return both.where(F.slice("t_units", F.col("at"), F.col("n")) == F.col("p_units")).select("text_id", "phrase_id").distinct()
 
 
 def evidence_pack(hits: DataFrame, evidence: DataFrame, max_entities: int = 3, max_items: int = 8) -> DataFrame:

@@ -187,8 +187,7 @@ shared AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id
 every AS (SELECT query_id, count(*) AS n FROM (SELECT query_id, product_id FROM l1 UNION SELECT query_id, product_id FROM near) GROUP BY ALL)
 SELECT e.query_id, round(count(pa) / any_value(n), 4) AS jaccard, count(pa) AS shared, CASE WHEN count(pa) >= 2 THEN round(corr(pa, pb), 4) END AS spearman FROM every e LEFT JOIN shared USING (query_id) GROUP BY e.query_id"""
 
-HELD = r"""held AS (SELECT doc_id AS text_id, item_id AS phrase_id FROM
-  (SELECT doc_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS t FROM documents) JOIN (SELECT item_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS p FROM benchmark) ON contains(t, p))"""
+HELD = "held AS (SELECT doc_id AS text_id, item_id AS phrase_id FROM documents JOIN benchmark b ON contains(documents.text, b.text))"
 ORACLES["alias_in_text"] = f"WITH {HELD} SELECT * FROM held"
 ORACLES["evidence_pack"] = f"""WITH {HELD}, hits AS (SELECT phrase_id AS question_id, text_id AS entity_id, text_id % 3 + 1 AS stage, length(text) AS length, max((text_id % 3 + 1 <= 2)::INT) OVER (PARTITION BY phrase_id) AS early FROM held JOIN documents ON doc_id = text_id),
 chosen AS (SELECT question_id, entity_id, row_number() OVER (PARTITION BY question_id ORDER BY stage, length DESC, entity_id) AS entity_rank FROM hits WHERE stage <= 2 OR early = 0 QUALIFY entity_rank <= 3),

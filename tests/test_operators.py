@@ -161,7 +161,12 @@ def test_votes_and_gaps(spark):
 def test_phrases(spark):
     texts = spark.createDataFrame([(1, "one two  three four"), (2, "two three"), (3, None), (4, "xone two three")], "text_id long, text string")
     phrases = spark.createDataFrame([(1, "two three"), (2, "one two three four"), (3, ""), (4, "four"), (5, "three four five")], "phrase_id long, phrase string")
-    assert {tuple(r) for r in matching.phrases_in_texts(texts, phrases).collect()} == {(1, 1), (1, 2), (1, 4), (2, 1), (4, 1)}
+    assert {tuple(r) for r in matching.phrases_in_texts(texts, phrases, 3, by_words=True).collect()} == {(1, 1), (1, 2), (1, 4), (2, 1), (4, 1)}
+    want = {(1, 4), (2, 1), (4, 1)}
+    assert {tuple(r) for r in matching.phrases_in_texts(texts, phrases).collect()} == want
+    chinese = spark.createDataFrame([(1, "含烟酰胺和维生素C吗"), (2, "水")], "text_id long, text string")
+    names = spark.createDataFrame([(1, "烟酰胺"), (2, "维生素C"), (3, "水"), (4, "维生素E")], "phrase_id long, phrase string")
+    assert {tuple(r) for r in matching.phrases_in_texts(chinese, names, 2).collect()} == {(1, 1), (1, 2), (2, 3)}
 
 
 def test_pack(spark):
