@@ -89,13 +89,15 @@ class _Page(HTMLParser):
         self.text: list[str] = []
         self.title: list[str] = []
         self.links: list[str] = []
-        self.hidden, self.in_title = 0, False
+        self.hidden, self.in_title, self.kept = 0, False, 0
 
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN:
             self.hidden += 1
         if tag == "body":
             self.hidden = 0
+        if tag == "pre":
+            self.kept += 1
         self.in_title = self.in_title or tag == "title"
         if tag in BREAKING:
             self.text.append("\n")
@@ -106,6 +108,8 @@ class _Page(HTMLParser):
             self.hidden = max(0, self.hidden - 1)
         if tag == "title":
             self.in_title = False
+        if tag == "pre":
+            self.kept = max(0, self.kept - 1)
         if tag in BREAKING:
             self.text.append("\n")
 
@@ -113,11 +117,11 @@ class _Page(HTMLParser):
         if self.in_title:
             self.title.append(data)
         if not self.hidden:
-            self.text.append(data)
+            self.text.append(data if self.kept else data.replace("\r", " ").replace("\n", " "))
 
 
 def read_page(html: str) -> tuple[str, str, list[str]]:
-    """The shown text (a line for each block, single spaces), the title, and the links in order, each once."""
+    """The shown text (a line for each block and each line of preformatted text, single spaces), the title, and the links in order, each once."""
     page = _Page()
     page.feed(html)
     page.close()

@@ -10,6 +10,7 @@ PAGES = [
     (3, "http://a.example/y", ""),
     (None, "http://a.example/z", "plain \r\n\r\n text"),
     (1, "http://a.example/x", "<p>again</p>"),
+    (4, "http://a.example/p", "<pre>a\n b</pre>c\nd"),
 ]
 
 
@@ -21,7 +22,7 @@ def test_linked_records(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "1 as record", "2 as record_id")
     responses = warc.page_responses(pages)
     rows = warc.derive(responses).collect()
-    assert Counter(r.record_type for r in rows) == {"metadata": 5, "conversion": 5}
+    assert Counter(r.record_type for r in rows) == {"metadata": 6, "conversion": 6}
     by_source = {warc.parse(bytes(r.record))[0]["warc-record-id"]: warc.parse(bytes(r.record)) for r in responses.collect()}
     for r in rows:
         headers, block = warc.parse(bytes(r.record))
@@ -34,7 +35,7 @@ def test_linked_records(spark):
         if r.record_type == "metadata":
             assert b"source-status: HTTP/1.1 200 OK" in block and b"source-header-content-type: text/html; charset=utf-8" in block
     texts = Counter(warc.parse(bytes(r.record))[1].decode() for r in rows if r.record_type == "conversion")
-    assert texts == {"One & two\nlink": 1, "": 2, "plain text": 1, "again": 1}
+    assert texts == {"One & two\nlink": 1, "": 2, "plain text": 1, "again": 1, "a\nb\nc d": 1}
     # the same input makes the same records
     assert Counter(map(str, rows)) == Counter(map(str, warc.derive(warc.page_responses(pages)).collect()))
 
