@@ -1,7 +1,8 @@
 """Doses of listed components by constrained sampling: lists are in falling order and add up to 100 %.
 
-One item is one group, its list is bounded by the item's own components, and its draws depend on nothing else, so the work
-spreads over items and a lost task repeats exactly. Contradicting constraints give a row with a reason, never a loosened one.
+One item is one group and its draws depend on nothing else, so the work spreads over items and a lost task repeats exactly.
+Main components have at least the trace line each, so lists with more than MAX_MAIN of them contradict 100 %; they are told by a
+count and never gathered into a group. Contradicting constraints give a row with a reason, never a loosened one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from evidentia.functions import dose, rules
 
 #: The trace line, priors of water, rounds of draws, and the calibrated settings.
 TRACE_LINE, WATER_LEAVE_ON, WATER_RINSE_OFF, MAX_ROUNDS = 0.1, (50.0, 95.0), (40.0, 90.0), 20
+MAX_MAIN = round(100 / TRACE_LINE)
 CALIBRATED = {"alpha": 0.44, "floor": 0.15, "water_leave_on": (30.0, 95.0), "n_samples": 10_000, "seed": 42}
 WATER = ["WATER", "AQUA"]
 
@@ -122,7 +124,10 @@ def estimate(listed: DataFrame, n_samples: int = 2000, seed: int = 42, alpha: fl
         out["confidence"] = np.clip(0.5 + 0.3 * prior + 0.2 * (1 - (high - low) / 100), 0, 1)
         return out
 
-    return listed.groupBy("product_id").applyInPandas(one, schema)
+    mains = listed.groupBy("product_id").agg(F.sum((~F.col("is_trace")).cast("int")).alias("_mains"))
+    counted = listed.join(mains, "product_id")
+    too_long = counted.where(F.col("_mains") > MAX_MAIN).select("product_id", "ingredient_id", "position", *[F.lit(None).cast("double").alias(x) for x in ("low", "high", "confidence")], F.lit("more main components than 100 % can hold").alias("reason"))
+    return counted.where(F.col("_mains") <= MAX_MAIN).drop("_mains").groupBy("product_id").applyInPandas(one, schema).unionByName(too_long)
 
 
 def anchor_coverage(estimates: DataFrame, disclosed: DataFrame) -> DataFrame:

@@ -292,7 +292,10 @@ def test_contradictions(trace, water, cap):
 def test_estimates(spark):
     schema = "product_id long, ingredient_id long, position int, is_trace boolean, cap double, water boolean, leave_on boolean"
     rows = [(1, 10, 1, False, None, True, True), (1, 11, 2, False, None, False, True), (1, 12, 3, False, 5.0, False, True), (2, 10, 1, True, None, False, True)]
+    rows += [(3, i, i, False, None, False, True) for i in range(1001)]
     found = {(r.product_id, r.ingredient_id): r for r in concentration.estimate(spark.createDataFrame(rows, schema), 200).collect()}
+    assert {r.reason for (p, _), r in found.items() if p == 3} == {"more main components than 100 % can hold"}
+    found = {key: r for key, r in found.items() if key[0] != 3}
     assert found[2, 10].low is None and found[2, 10].reason == "no main components"
     assert 50 <= found[1, 10].low < found[1, 10].high <= 95 and found[1, 12].high <= 5 and found[1, 10].reason is None
     disclosed = spark.createDataFrame([(1, 10, 70.0), (2, 10, 1.0)], "product_id long, ingredient_id long, disclosed double")
