@@ -3,7 +3,8 @@
 Each text is measured once. For each language and source, each measure gets a mergeable quantile sketch: counts of
 log-linear buckets (exact below 64, then 64 to an octave), so merging is adding and the result doesn't depend on
 the order of rows or tasks. Fences beyond the sketch's quartiles replace fixed cutoffs; the measured rows are then
-joined with the fences of their language and source and filtered. Groups under MIN_GROUP rows have no fences.
+joined with the fences of their language and source and filtered. Groups under MIN_GROUP rows have no fences. Rows aren't
+shuffled for that, only sketches are, unless there are very many groups.
 
 Rows: one per input row. Null text has no words, and fails as all texts of few words do. Null language or source is a
 group value of its own, shared with the empty string. Nothing is compared between rows but sketches, so ties and repeated rows
@@ -21,6 +22,8 @@ from evidentia.storage import materialize
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 10, 20, 5
 MIN_GROUP = 50
+#: Languages and sources whose fences are broadcast (about 150 bytes each); more of them are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 #: Measures as integers: expression over the counts, the fences' width in quartile distances, and the least slack.
 MEASURES = {
     "word_length": ("word_chars * 100 div greatest(n_words, 1)", 6, 150, True),
@@ -100,7 +103,7 @@ def fences(rows: DataFrame) -> DataFrame:
     return fenced.groupBy("lang", "source").agg(F.sort_array(F.collect_list(F.struct("measure", "low", "high"))).alias("fences"))
 
 
-def _judged(rows: DataFrame) -> DataFrame:
+def _judged(rows: DataFrame, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """Measured rows with base_failed and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     inside = F.lit(True)
@@ -109,7 +112,9 @@ def _judged(rows: DataFrame) -> DataFrame:
         inside = inside & (value <= fence["high"])
         if both:
             inside = inside & (value >= fence["low"])
-    joined = rows.join(fences(rows), ["lang", "source"], "left")
+    found = materialize(fences(rows), "fences")
+    # few groups, as counted here, go to the rows; beyond that the rows of a large source are split by the skew join
+    joined = rows.join(F.broadcast(found) if found.count() <= broadcast_groups else found, ["lang", "source"], "left")
     kept = F.when(failed, F.lit(False)).when(F.col("fences").isNull(), F.lit(True)).otherwise(inside)
     return joined.withColumns({"base_failed": failed, "kept": kept})
 
