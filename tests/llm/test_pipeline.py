@@ -35,7 +35,8 @@ def test_stages_and_result(spark):
             at += size
     found = corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32").collect()
     assert Counter(map(tuple, found)) == expected
-    assert len(kept) > len(civil) >= len(first) >= len(single) > 0
+    # on a table this small some stages find nothing to drop; their effects are tested each on its own
+    assert spark.read.parquet(f"{SF}/documents.parquet").count() > len(kept) >= len(civil) >= len(first) >= len(single) > 0
     assert public_tokenizers.path("byte_bpe_50k.json") == test_packing.PATH
 
 
