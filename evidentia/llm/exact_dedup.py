@@ -10,7 +10,7 @@ the first move only integers, and pairs are made distinct before they are named.
 written to the shared folder.
 
 Rows: one per input row, copies and repeated rows too. Null text counts as empty; all empty texts are one group. Null
-doc_ids stay, and lose ties to others. Other columns are ignored. An empty table gives an empty result.
+doc_ids lose ties to others. Dropping goes by rows, not by doc_ids, so of each group one row stays, whatever ids repeat or are null. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def _cut(id_type: T.DataType, block_bytes: int):
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
-        rid = local = base
+        local = base
         seen: dict[bytes, int] = {}
         remembered = 0
         for batch in batches:
@@ -73,7 +73,7 @@ def _cut(id_type: T.DataType, block_bytes: int):
                 parts.append(own)
             n, m = batch.num_rows, len(fresh)
             columns = [
-                pa.array(range(rid, rid + n), pa.int64()),
+                batch.column(2),
                 batch.column(0),
                 pa.compute.utf8_length(batch.column(1)).cast(pa.int64()),
                 pa.array(shas, pa.string()),
@@ -81,7 +81,6 @@ def _cut(id_type: T.DataType, block_bytes: int):
                 pa.array([None] * n, pa.int64()),
                 pa.array([None] * n, pa.binary()),
             ]
-            rid += n
             names = [f.name for f in schema.fields]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             if fresh:
@@ -102,7 +101,11 @@ def _named(distinct_rows: DataFrame, keys: list[str]) -> Column:
 
 def block_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """rid, doc_id, n_points, text_sha256 of every row, with `n_blocks` and `name`, which are equal for equal texts only."""
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    return _block_names(docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("rid")), block_bytes)
+
+
+def _block_names(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """The same for doc_id, text and rid, which differs from row to row."""
     cut, schema = _cut(rows.schema["doc_id"].dataType, block_bytes)
     table = materialize(rows.mapInArrow(cut, schema), "blocks")
     meta = table.where("rid is not null").select("rid", "doc_id", "n_points", "text_sha256", F.size("parts").cast("long").alias("n_blocks"))
@@ -134,11 +137,17 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     Of equal texts the row with the most code points in its own text stays, then the smallest doc_id (nulls last).
     """
-    named = materialize(block_names(docs, block_bytes), "named")
+    return _groups(block_names(docs, block_bytes)).drop("rid")
+
+
+def _groups(names: DataFrame) -> DataFrame:
+    """The same with rid, from block names."""
+    named = materialize(names, "named")
     first = F.min(F.struct((-F.col("n_points")).alias("points"), F.col("doc_id").isNull().alias("absent"), "doc_id", "rid"))
     # written, so that the join below reads both sides anew and a group of very many copies can be split there
     groups = materialize(named.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), first.alias("first")), "groups")
     return named.join(groups, ["n_blocks", "name"]).select(
+        "rid",
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
@@ -148,6 +157,9 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns. doc_id identifies a row here; rows without one stay."""
-    gone = exact_groups(docs, block_bytes).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` that stay, with all their columns: one row of each group of equal texts."""
+    # written with the ids of its rows, so that they are the same for both readers
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("own")), "rows")
+    texts = rows.select("own.doc_id", text_or_empty("own.text").alias("text"), "rid")
+    gone = _groups(_block_names(texts, block_bytes)).where(~F.col("kept")).select("rid")
+    return rows.join(gone, "rid", "left_anti").select("own.*")

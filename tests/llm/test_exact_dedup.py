@@ -41,6 +41,13 @@ def test_dropping_keeps_columns_and_rows(edge_docs, edge_rows):
     assert {r.doc_id for r in left.select("doc_id").collect()} - {None} == kept - {None}
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    # a repeated row that keeps its own group, a keeper with the id of a dropped copy of another text, and copies without an id
+    rows = [(1, "a b"), (1, "a b"), (2, "c  d"), (3, "c d"), (3, "e"), (None, "f"), (None, "f"), (None, None), (None, "")]
+    left = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.text or "") for r in left.collect()) == Counter([(1, "a b"), (2, "c  d"), (3, "e"), (None, "f"), (None, "")])
+
+
 def test_empty_table(no_docs):
     assert exact_dedup.exact_groups(no_docs).count() == 0
     assert exact_dedup.drop_exact_copies(no_docs).count() == 0
