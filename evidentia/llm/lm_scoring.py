@@ -4,12 +4,13 @@ Counts come from all training texts. Texts are turned into numbers chunk by chun
 input), each chunk with its own lexicon; lexicons meet in one shuffle by word, which gives every word's count in
 the whole corpus, and go back to their chunks. So no table of all words is ever broadcast or held by one task.
 
-The model interpolates, by absolute discounting, 3-grams and 2-grams of frequent words with add-one 1-grams of all words:
-p(w|h) = max(c(hw) - D, 0) / c(h) + weight(h) * p(w|shorter h), where only n-grams over a share of the corpus are kept, so what
-is broadcast is bounded at any size: words over 1/MAX_WORDS and n-grams over 1/MAX_GRAMS of all training tokens. Each
-kept context is a state, each kept n-gram an arc with its log-probability, and the failure arc of a state bears its backoff weight and
-leads to its longest suffix. One left-to-right traversal carries the state; words that aren't frequent are in no kept n-gram,
-so they lead to the root, and their 1-gram log-probabilities are summed with the chunk's lexicon.
+The model interpolates, by absolute discounting, 3-grams and 2-grams with add-one 1-grams of all words:
+p(w|h) = max(c(hw) - D, 0) / c(h) + weight(h) * p(w|shorter h), where n-grams that occur LEAST_COUNT times or more in all training texts are
+kept, whatever the size of the corpus. Nothing of the model is broadcast: 2-grams of each chunk meet those of the others in one
+shuffle by their words, 3-grams in one by the names of their two 2-grams, and what is kept goes back to the chunks that have it, with
+what follows each context in the whole corpus. There each kept context is a state, each kept n-gram an arc with its log-probability, and the
+failure arc of a state bears its backoff weight and leads to its longest suffix. States and arcs are sorted arrays, and the state before
+a word is told by the two words before it, so that all words of a chunk are traversed at once.
 
 Probabilities of all words and one unknown word sum to one after any history. A text's score includes its end token.
 
@@ -35,8 +36,8 @@ from evidentia.storage import materialize
 
 FOLDS, HELD_OUT = 7, 2
 CHUNK_BYTES = 24 << 20
-#: Bounds of the model: frequent words, n-grams of each order, and the least count of an n-gram.
-MAX_WORDS, MAX_GRAMS, LEAST_COUNT = 8192, 200_000, 3
+#: The least count of an n-gram, at every size of the corpus.
+LEAST_COUNT = 3
 DISCOUNT = 0.75
 #: White space is never part of a word, so this one can stand for the end.
 END = b"\n"
@@ -108,163 +109,212 @@ def _numbered(id_type: T.DataType, chunk_bytes: int):
     return number, schema
 
 
-def _counted(id_type: T.DataType, n_tokens: int, n_words: int):
-    """For each chunk: its documents with what the lexicon gives them, and the n-grams of frequent words in training texts."""
-    schema = T.StructType(
-        [
-            T.StructField("doc_id", id_type),
-            T.StructField("held_out", T.BooleanType()),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("n_known", T.LongType()),
-            T.StructField("base_score", T.DoubleType()),
-            T.StructField("rare_score", T.DoubleType()),
-            T.StructField("frequent", T.BinaryType()),
-            T.StructField("size", T.IntegerType()),
-            T.StructField("gram", T.LongType()),
-            T.StructField("n", T.LongType()),
-        ]
-    )
+def _run(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all documents one after another, each followed by a gap of -1; the document and whether it is trained on, of each place."""
+    texts = docs["ids"].to_pylist()
+    sizes = np.array([len(x) // 4 + 1 for x in texts], np.int64)
+    run = np.frombuffer(b"".join(x + b"\xff\xff\xff\xff" for x in texts), "<i4").astype(np.int64)
+    return run, np.repeat(np.arange(len(texts)), sizes), np.repeat(~docs["held_out"].to_numpy(), sizes)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The places of what is wanted in sorted keys, -1 for what isn't there."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
 
-    def count(docs: pa.Table, lexicon: pa.Table) -> pa.Table:
-        local = lexicon["local"].to_numpy()
-        counts = np.zeros(len(local), np.int64)
-        number = np.zeros(len(local), np.int64)
-        counts[local] = lexicon["c"].to_numpy()
-        number[local] = lexicon["number"].to_numpy()
-        score = np.log10((counts + 1) / (n_tokens + n_words + 1))
-        known = counts > 0
-        held = docs["held_out"].to_pylist()
-        out: list[list] = [[], [], [], [], []]
-        train = []
-        for row, ids in enumerate(docs["ids"].to_pylist()):
-            ids = np.frombuffer(ids, dtype="<u4")
-            own, frequent = score[ids], number[ids]
-            for column, value in zip(out, (len(ids), int(known[ids].sum()), float(own.sum()), float(own[frequent == 0].sum()), frequent.astype("<u2").tobytes())):
-                column.append(value)
-            if not held[row]:
-                train += [frequent, np.zeros(1, np.int64)]
-        m = docs.num_rows
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-        columns = [docs["doc_id"], docs["held_out"], *[pa.chunked_array([pa.array(x, t)]) for x, t in zip(out, types)], pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
-        tables = [pa.table(columns, names=schema.names)]
-        if train:
-            run = np.concatenate(train)
-            key, whole = run, run > 0
-            for size in (2, 3):
-                key, whole = (key[:-1] << 16) | run[size - 1 :], whole[:-1] & (run[size - 1 :] > 0)
-                gram, n = np.unique(key[whole], return_counts=True)
-                k = len(gram)
-                empty = [pa.nulls(k, c.type) for c in tables[0].columns[:7]]
-                tables.append(pa.table([*empty, pa.array([size] * k, pa.int32()), pa.array(gram), pa.array(n)], names=schema.names))
-        return pa.concat_tables(tables)
-
-    return count, schema
+def _key(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high.astype(np.int64) << 32 | low.astype(np.int64)
+
+
+def _grams(chunk, key: np.ndarray, train: np.ndarray, names: np.ndarray, low_names: np.ndarray) -> pa.Table:
+    gram, place = np.unique(key, return_inverse=True)
+    n = np.bincount(place, weights=train, minlength=len(gram)).astype(np.int64)
+    x, y = gram >> 32, gram & 0xFFFFFFFF
+    columns = [np.full(len(gram), chunk, np.int64), x.astype(np.int32), y.astype(np.int32), names[x], low_names[y], n]
+    return pa.table([pa.array(c) for c in columns], names=GRAMS.names)
+
+
+#: N-grams of a chunk: both parts as numbered in the chunk and as named in the corpus, and the count in training texts.
+GRAMS = T.StructType([T.StructField(k, t) for k, t in (("chunk", T.LongType()), ("x", T.IntegerType()), ("y", T.IntegerType()), ("a", T.LongType()), ("b", T.LongType()), ("n", T.LongType()))])
+
+
+def _twos(docs: pa.Table, words: pa.Table) -> pa.Table:
+    """The 2-grams of the chunk's documents, of words that are frequent enough for any; held-out texts' own have count 0."""
+    run, _, train = _run(docs)
+    names = np.full(int(run.max()) + 2, -1, np.int64)  # the last is the gap's
+    names[words["local"].to_numpy()] = words["name"].to_numpy()
+    open_ = names[run] >= 0
+    both = open_[:-1] & open_[1:]
+    return _grams(docs["chunk"][0].as_py(), _key(run[:-1][both], run[1:][both]), train[1:][both], names, names)
+
+
+def _threes(docs: pa.Table, twos: pa.Table) -> pa.Table:
+    """The 3-grams of the chunk's documents as pairs of kept 2-grams, numbered by their order in the chunk."""
+    run, _, train = _run(docs)
+    keys = _key(twos["x"].to_numpy(), twos["y"].to_numpy())
+    order = np.argsort(keys)
+    names = twos["name"].to_numpy()[order]
+    pair = _find(keys[order], _key(run[:-1], run[1:]))
+    both = (pair[:-1] >= 0) & (pair[1:] >= 0)
+    return _grams(docs["chunk"][0].as_py(), _key(pair[:-1][both], pair[1:][both]), train[2:][both], names, names)
 
 
 class Automaton:
-    """States are kept contexts, 0 is the empty one. arcs: (state << 16 | word) to (next state, log10 probability)."""
+    """States are kept contexts, 0 is the empty one. Arcs are sorted by (state << 32 | word), with next states and log10 probabilities; the root has one of each word."""
 
     def __init__(self, word_scores: list[float], word_counts: list[int], grams: dict[int, dict[int, int]], discount: float = DISCOUNT):
-        twos, threes = grams.get(2, {}), grams.get(3, {})
-        after: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-        for gram, n in twos.items():
-            after[(gram >> 16,)].append((gram & 0xFFFF, n))
-        for gram, n in threes.items():
-            if gram >> 16 in twos:
-                after[(gram >> 32, gram >> 16 & 0xFFFF)].append((gram & 0xFFFF, n))
-        states = {(): 0} | {context: k for k, context in enumerate(sorted(after, key=lambda c: (len(c), c)), 1)}
-        self.fail, self.fail_score = [0] * len(states), [0.0] * len(states)
-        self.arcs: dict[int, tuple[int, float]] = {0: (0, 0.0)}
-        target = lambda words: next(states[words[k:]] for k in range(len(words) + 1) if words[k:] in states)
-        for word in range(1, len(word_scores)):
-            self.arcs[word] = (target((word,)), word_scores[word])
-        for context, state in states.items():
-            if not context:
-                continue
-            total = word_counts[context[0]] if len(context) == 1 else twos[context[0] << 16 | context[1]]
-            weight = 1 - sum(n - discount for _, n in after[context]) / total
-            self.fail[state] = target(context[1:])
-            self.fail_score[state] = float(np.log10(weight))
-            for word, n in after[context]:
-                p = (n - discount) / total + weight * 10 ** self.log_probability(self.fail[state], word)[1]
-                self.arcs[state << 16 | word] = (target((*context, word)[-2:]), float(np.log10(p)))
+        """From all n-grams of a corpus of few words, 16 bits to a word."""
+        twos, threes = sorted(grams.get(2, {}).items()), sorted((g, n) for g, n in grams.get(3, {}).items() if g >> 16 in grams.get(2, {}))
+        column = lambda values: np.array([*values], np.int64)
+        first, second, n_twos = column(g >> 16 for g, _ in twos), column(g & 0xFFFF for g, _ in twos), column(n for _, n in twos)
+        pair = _find(_key(first, second), _key(column(g >> 32 for g, _ in threes), column(g >> 16 & 0xFFFF for g, _ in threes)))
+        n_threes = column(n for _, n in threes)
+        follow = np.bincount(first, weights=n_twos - discount, minlength=len(word_scores))
+        pair_follow = np.bincount(pair, weights=n_threes - discount, minlength=len(twos))
+        self._build(np.array(word_scores), np.array(word_counts), follow, (first, second, n_twos, pair_follow), (pair, column(g & 0xFFFF for g, _ in threes), n_threes), discount)
+
+    @classmethod
+    def of_chunk(cls, word_scores: np.ndarray, word_counts: np.ndarray, follow: np.ndarray, twos: tuple, threes: tuple, discount: float = DISCOUNT) -> Automaton:
+        """From a chunk's words and n-grams with the corpus's counts, and for each context the discounted counts of all that follow it in the corpus."""
+        self = cls.__new__(cls)
+        self._build(word_scores, word_counts, follow, twos, threes, discount)
+        return self
+
+    def _build(self, word_scores: np.ndarray, word_counts: np.ndarray, follow: np.ndarray, twos: tuple, threes: tuple, discount: float) -> None:
+        first, second, n_twos, pair_follow = twos
+        pair, third, n_threes = threes
+        self.word_scores, self.keys = word_scores, _key(first, second)
+        ones, pairs = np.flatnonzero(follow > 0), np.flatnonzero(pair_follow > 0)
+        self.of_word = np.zeros(len(word_scores), np.int64)
+        self.of_word[ones] = np.arange(1, len(ones) + 1)
+        own = np.zeros(len(first), np.int64)
+        own[pairs] = np.arange(len(ones) + 1, len(ones) + len(pairs) + 1)
+        self.of_pair = np.where(own > 0, own, self.of_word[second])
+        weights = np.ones(len(ones) + len(pairs) + 1)
+        weights[1 : len(ones) + 1] = 1 - follow[ones] / word_counts[ones]
+        weights[len(ones) + 1 :] = 1 - pair_follow[pairs] / n_twos[pairs]
+        self.fail = np.zeros(len(weights), np.int64)
+        self.fail[len(ones) + 1 :] = self.of_word[second[pairs]]
+        self.fail_score = np.log10(weights)
+        base = 10.0**word_scores
+        p_two = (n_twos - discount) / word_counts[first] + weights[self.of_word[first]] * base[second]
+        middle = second[pair]
+        shorter = _find(self.keys, _key(middle, third))
+        known = shorter >= 0
+        below = weights[self.of_word[middle]] * base[third]
+        below[known] = p_two[shorter[known]]
+        p_three = (n_threes - discount) / n_twos[pair] + weights[own[pair]] * below
+        after = self.of_word[third]
+        after[known] = self.of_pair[shorter[known]]
+        arcs = np.concatenate([_key(self.of_word[first], second), _key(own[pair], third)])
+        order = np.argsort(arcs)
+        self.arcs = arcs[order]
+        self.next = np.concatenate([self.of_pair, after])[order]
+        self.scores = np.log10(np.concatenate([p_two, p_three]))[order]
 
     def log_probability(self, state: int, word: int) -> tuple[int, float]:
-        """The next state and the log10 probability of the word; 0, for all other words, has 1 at the root."""
+        """The next state and the log10 probability of the word."""
         total = 0.0
-        while (arc := self.arcs.get(state << 16 | word)) is None:
-            total += self.fail_score[state]
-            state = self.fail[state]
-        return arc[0], total + arc[1]
-
-    def tables(self) -> tuple[dict[int, tuple[int, float]], list[int], list[float]]:
-        return self.arcs, self.fail, self.fail_score
-
-
-def traverse(tables: tuple, words: list[int]) -> float:
-    """The log10 probability of the words, left to right, over an automaton's tables."""
-    arcs, fail, fail_score = tables[0].get, tables[1], tables[2]
-    state, total = 0, 0.0
-    for word in words:
-        arc = arcs(state << 16 | word)
-        while arc is None:
-            total += fail_score[state]
-            state = fail[state]
-            arc = arcs(state << 16 | word)
-        state = arc[0]
-        total += arc[1]
-    return total
-
-
-def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, least_count: int = LEAST_COUNT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; max_words is under 65536."""
-    spark = docs.sparkSession
+        while state:
+            at = int(_find(self.arcs, np.array([state << 32 | word]))[0])
+            if at >= 0:
+                return int(self.next[at]), total + float(self.scores[at])
+            total += float(self.fail_score[state])
+            state = int(self.fail[state])
+        return int(self.of_word[word]), total + float(self.word_scores[word])
+
+    def traverse(self, run: np.ndarray) -> np.ndarray:
+        """The log10 probability of every word of texts with a gap of -1 after each; gaps have 0."""
+        state = np.zeros(len(run), np.int64)
+        word = run[:-1]
+        state[1:] = np.where(word >= 0, self.of_word[word], 0)
+        pair = _find(self.keys, _key(run[:-2], run[1:-1]))
+        state[2:][pair >= 0] = self.of_pair[pair[pair >= 0]]
+        total = np.zeros(len(run))
+        left = np.flatnonzero(run >= 0)
+        while len(left):
+            at = np.where(state[left] > 0, _find(self.arcs, _key(state[left], run[left])), -1)
+            total[left[at >= 0]] += self.scores[at[at >= 0]]
+            root = left[state[left] == 0]
+            total[root] += self.word_scores[run[root]]
+            left = left[(at < 0) & (state[left] > 0)]
+            total[left] += self.fail_score[state[left]]
+            state[left] = self.fail[state[left]]
+        return total
+
+
+def _scored(id_type: T.DataType, n_tokens: int, n_words: int):
+    """The rows of a chunk's documents with their scores, from its words (size 1), kept 2-grams and kept 3-grams with the corpus's counts."""
+    kinds = (("doc_id", id_type), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
+    schema = T.StructType([T.StructField(k, t) for k, t in kinds])
+
+    def score(docs: pa.Table, model: pa.Table) -> pa.Table:
+        size, x, y, c, follow = (model[k].to_numpy() for k in ("size", "x", "y", "c", "follow"))
+        one, two, three = (np.flatnonzero(size == k) for k in (1, 2, 3))
+        counts, word_follow = np.zeros(len(one), np.int64), np.zeros(len(one))
+        counts[x[one]], word_follow[x[one]] = c[one], follow[one]
+        word_scores = np.log10((counts + 1) / (n_tokens + n_words + 1))
+        two = two[np.argsort(_key(x[two], y[two]))]
+        second = y[two].astype(np.int64)
+        automaton = Automaton.of_chunk(word_scores, counts, word_follow, (x[two].astype(np.int64), second, c[two], follow[two]), (x[three].astype(np.int64), second[y[three]], c[three]))
+        run, doc, _ = _run(docs)
+        m, real = docs.num_rows, run >= 0
+        total = lambda values: np.bincount(doc, weights=values, minlength=m)
+        word = np.maximum(run, 0)
+        found = [total(real).astype(np.int64), total(real & (counts[word] > 0)).astype(np.int64), np.full(m, n_tokens, np.int64), total(np.where(real, word_scores[word], 0.0)), total(automaton.traverse(run))]
+        return pa.table([docs["doc_id"], docs["held_out"], *[pa.array(v) for v in found]], names=schema.names)
+
+    return score, schema
+
+
+def _kept(grams: DataFrame, least: int, name: str) -> DataFrame:
+    """N-grams of chunks that occur `least` times or more in all: with the count `c`, a name, and whether a row is its n-gram's first."""
+    same = Window.partitionBy("a", "b")
+    numbered = grams.withColumn("id", F.monotonically_increasing_id())
+    named = numbered.withColumns({"c": F.sum("n").over(same), "name": F.min("id").over(same)}).where(F.col("c") >= least)
+    return materialize(named.select("chunk", "x", "y", "a", "c", "name", (F.col("id") == F.col("name")).alias("first")), name)
+
+
+def _with_follow(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """Rows by name with `follow`, the discounted counts of all n-grams that go on from there."""
+    follow = grams.where("first").groupBy(F.col("a").alias("name")).agg((F.sum("c") - DISCOUNT * F.count("*")).alias("follow"))
+    return rows.join(follow, "name", "left").withColumn("follow", F.coalesce("follow", F.lit(0.0)))
+
+
+def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, max_words: int | None = None, max_grams: int | None = None, least_count: int = LEAST_COUNT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+
+    max_words and max_grams, if given, keep only words and n-grams with at least that fraction of all training tokens.
+    """
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     rows = docs.select("doc_id", text_or_empty().alias("text"), held.alias("held_out"))
     id_type = rows.schema["doc_id"].dataType
     number, schema = _numbered(id_type, chunk_bytes)
     table = materialize(rows.mapInArrow(number, schema), "numbered")
-    words = table.where("word is not null").select("chunk", "local", "word", "n")
+    words = table.where("word is not null").select("chunk", "local", "word", "n", F.monotonically_increasing_id().alias("id"))
     n_tokens = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = lambda most: max(least_count, -(-n_tokens // most) if most else 0)
 
     same = Window.partitionBy("word")
-    lexicon = words.select(
-        "chunk",
-        "local",
-        "word",
-        F.sum("n").over(same).alias("c"),
-        (F.row_number().over(same.orderBy("chunk")) == 1).alias("first"),
-    )
-    often = F.col("c") >= max(least_count, -(-n_tokens // max_words))
-    lexicon = materialize(lexicon.select("chunk", "local", "c", "first", F.when(often, F.col("word")).alias("word")), "lexicon")
+    named = words.select("chunk", "local", "id", F.sum("n").over(same).alias("c"), F.min("id").over(same).alias("name"))
+    lexicon = materialize(named.select("chunk", "local", "c", "name", (F.col("id") == F.col("name")).alias("first")), "lexicon")
     n_words = lexicon.where("first and c > 0").count()
-    # at most max_words rows: each has at least 1/max_words of all tokens
-    frequent = lexicon.where("first and word is not null").select("word", "c").orderBy(F.desc("c"), "word").toArrow()
-    numbers = {word: k for k, word in enumerate(frequent["word"].to_pylist(), 1)}
-    word_counts = [0, *frequent["c"].to_pylist()]
-    word_scores = [0.0, *[float(np.log10((c + 1) / (n_tokens + n_words + 1))) for c in word_counts[1:]]]
-    numbered = F.broadcast(spark.createDataFrame([*numbers.items()], "word binary, number long"))
-    lexicon = lexicon.join(numbered, "word", "left").select("chunk", "local", "c", F.coalesce("number", F.lit(0)).alias("number"))
-
-    count, schema = _counted(id_type, n_tokens, n_words)
-    numbered_docs = table.where("ids is not null").select("chunk", "doc_id", "held_out", "ids")
-    counted = materialize(numbered_docs.groupBy("chunk").cogroup(lexicon.groupBy("chunk")).applyInArrow(count, schema), "counted")
-    grams = counted.where("gram is not null").groupBy("size", "gram").agg(F.sum("n").alias("n"))
-    # at most max_grams rows of each size, for the same reason
-    kept = grams.where(F.col("n") >= max(least_count, -(-n_tokens // max_grams))).toArrow()
-    by_size: dict[int, dict[int, int]] = {2: {}, 3: {}}
-    for size, gram, n in zip(*[kept[x].to_pylist() for x in ("size", "gram", "n")]):
-        by_size[size][gram] = n
-    model = spark.sparkContext.broadcast(Automaton(word_scores, word_counts, by_size).tables())
-
-    fields = counted.schema
-    out = T.StructType([*[fields[x] for x in ("doc_id", "held_out", "n_tokens", "n_known")], T.StructField("train_tokens", T.LongType()), fields["base_score"], T.StructField("score", T.DoubleType())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [traverse(model.value, np.frombuffer(x, "<u2").tolist()) for x in batch.column(6).to_pylist()]
-            total = pa.compute.add(batch.column(5), pa.array(scores, pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([n_tokens] * batch.num_rows, pa.int64()), batch.column(4), total], names=out.names)
 
-    scored = counted.where("frequent is not null").select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "rare_score", "frequent")
-    return scored.mapInArrow(score, out)
+    # no n-gram occurs more often than its words or the shorter n-grams in it, so these are the only ones to look for
+    by_chunk = lambda rows: rows.groupBy("chunk")
+    numbered = table.where("ids is not null").select("chunk", "doc_id", "held_out", "ids")
+    train = by_chunk(numbered.select("chunk", "held_out", "ids"))
+    often = F.col("c") >= least(max_words)
+    twos = _kept(train.cogroup(by_chunk(lexicon.where(often).select("chunk", "local", "name"))).applyInArrow(_twos, GRAMS), least(max_grams), "twos")
+    threes = _kept(train.cogroup(by_chunk(twos.select("chunk", "x", "y", "name"))).applyInArrow(_threes, GRAMS), least(max_grams), "threes")
+
+    part = lambda rows, size, follow: rows.select("chunk", F.lit(size).alias("size"), "x", "y", "c", follow.alias("follow"))
+    places = lexicon.withColumnsRenamed({"local": "x"}).withColumn("y", F.lit(0))
+    nothing, follow = F.lit(0.0), F.col("follow")
+    model = part(_with_follow(places.where(often), twos), 1, follow).unionByName(part(places.where(~often), 1, nothing))
+    model = model.unionByName(part(_with_follow(twos, threes), 2, follow)).unionByName(part(threes, 3, nothing))
+    score, schema = _scored(id_type, n_tokens, n_words)
+    return by_chunk(numbered).cogroup(by_chunk(model)).applyInArrow(score, schema)

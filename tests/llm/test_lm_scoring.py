@@ -97,6 +97,20 @@ def test_model_beats_its_base_on_held_out_texts(spark):
     assert better
 
 
+def test_what_is_kept_does_not_shrink_with_the_corpus(spark):
+    # "qa qb qc" occurs 3 times, among so many other words that it is far below any share of the corpus
+    ids = [i for i in range(200) if not held(i)]
+    texts = ["qa qb qc"] * 3 + ["filler words here " * 12_000] * 4
+    test = next(i for i in range(1000, 2000) if held(i))
+    docs = spark.createDataFrame([*zip(ids, texts), (test, "qa qb qc")], "doc_id long, text string")
+    row = lm_scoring.lm_scores(docs).where(f"doc_id = {test}").first()
+    n, v, d = row.train_tokens, 7, lm_scoring.DISCOUNT
+    base = lambda c: (c + 1) / (n + v + 1)
+    after = lambda low: (3 - d) / 3 + d / 3 * low
+    want = [base(3), after(base(3)), after(after(base(3))), after(after(base(7)))]
+    assert n == 3 * 4 + 4 * 36_001 and row.score == pytest.approx(sum(map(math.log10, want)), rel=1e-9)
+
+
 def test_empty_tables(no_docs, spark):
     assert lm_scoring.lm_scores(no_docs).count() == 0
     one = spark.createDataFrame([(next(i for i in range(1000) if not held(i)), None)], "doc_id long, text string")
