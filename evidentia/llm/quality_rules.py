@@ -24,12 +24,14 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 10, 20, 5
 MIN_GROUP = 50
 #: Languages and sources whose fences are broadcast (about 150 bytes each); more of them are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
-#: Measures as integers: expression over the counts, the fences' width in quartile distances, and the least slack.
+#: Measures as integers: expression over the counts, the fences' width in quartile distances, and the least slack. Where quartiles are
+#: equal the slack alone is the fence, so it is the measure's own step: one symbol or a pair of marks in the shortest text that passes
+#: the base (10 words), one copied line of four.
 MEASURES = {
     "word_length": ("word_chars * 100 div greatest(n_words, 1)", 6, 150, True),
-    "symbols": ("n_symbols * 1000 div greatest(n_words, 1)", 6, 500, False),
-    "punctuation": ("n_punct * 1000 div greatest(n_words, 1)", 6, 700, False),
-    "copied_lines": ("n_dup_lines * 1000 div greatest(n_lines, 4)", 6, 500, False),
+    "symbols": ("n_symbols * 1000 div greatest(n_words, 1)", 6, 100, False),
+    "punctuation": ("n_punct * 1000 div greatest(n_words, 1)", 6, 200, False),
+    "copied_lines": ("n_dup_lines * 1000 div greatest(n_lines, 4)", 6, 250, False),
 }
 
 

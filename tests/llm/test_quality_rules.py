@@ -79,5 +79,16 @@ def test_few_rows_have_no_fences(spark):
     assert quality_rules.quality(docs).first().kept
 
 
+def test_fences_drop_a_mode_of_symbols_and_keep_single_ones(spark):
+    words = "these are plain words of a clean text in prose".split()
+    clean = [(k, " ".join(words), "en", "web") for k in range(60)]
+    single = [(100, " ".join([*words[:-1], "$5"]), "en", "web"), (101, " ".join([*words[:-1], '"prose"']), "en", "web")]
+    # 0.3 to 0.5 symbols a word, and the same share of other marks
+    junk = [(200 + k, " ".join([*words, *(c for c in "#*$%&|<>"[:n])]), "en", "web") for k, n in enumerate((5, 6, 8))]
+    junk += [(300, " ".join([*words, *"(),;:!?"]), "en", "web")]
+    docs = spark.createDataFrame([*clean, *single, *junk], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in quality_rules.filter_quality(docs).select("doc_id").collect()} == {k for k, *_ in [*clean, *single]}
+
+
 def test_oracle_is_registered():
     assert "op6_quality_rules" in ORACLES
