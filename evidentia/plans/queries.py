@@ -565,8 +565,7 @@ def concentration_estimates(spark, sf):
     """Dose intervals of all orders that list 2 components or more, the first of which is taken for water."""
     links = domain.links(spark, sf, "l_orderkey")
     once = changes.first_of_each(links, ["product_id", "position"], [F.asc("ingredient_id"), F.asc_nulls_last("conc_low")])
-    components = domain.components(spark, sf)
-    listed = concentration.listed_components(domain.orders(spark, sf), once, components.withColumns({"legal_cap": F.lit(None).cast("double"), "max_leave_on": F.lit(None).cast("double"), "max_rinse_off": F.lit(None).cast("double")}))
+    listed = concentration.listed_components(domain.orders(spark, sf), once, domain.components(spark, sf))
     first = F.min("position").over(Window.partitionBy("product_id"))
     listed = listed.withColumn("water", (F.col("position") == first) & ~F.col("is_trace"))
-    return concentration.estimate(listed, n_samples=200)
+    return concentration.estimate(listed, **concentration.CALIBRATED)

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from evidentia.operators import concentration
 from evidentia.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +30,12 @@ def test_scans_are_pruned(spark):
 
 def test_all_but_sampling_have_sql():
     assert set(QUERIES) - set(ORACLES) == {"concentration_estimates"}
+
+
+def test_doses_are_estimated_with_calibrated_settings_and_own_caps(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(concentration, "estimate", lambda listed, **settings: given.append((listed, settings)))
+    QUERIES["concentration_estimates"](spark, SF)
+    (listed, settings), = given
+    assert settings == concentration.CALIBRATED
+    assert listed.where("cap is not null").count() > 0
