@@ -159,7 +159,7 @@ def _groups(names: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: one row of each group of equal texts."""
     # written with the ids of its rows, so that they are the same for both readers
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("own")), "rows")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("own")), "rows")
     texts = rows.select("own.doc_id", text_or_empty("own.text").alias("text"), "rid")
     gone = _groups(_block_names(texts, block_bytes)).where(~F.col("kept")).select("rid")
     return rows.join(gone, "rid", "left_anti").select("own.*")

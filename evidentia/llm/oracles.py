@@ -46,13 +46,19 @@ WITH t AS (
 ), m AS ({_measures_sql()}
 ), e AS (
   SELECT *, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS edge FROM m
+), l AS (
+  SELECT level, CASE WHEN level < 2 THEN lang ELSE '' END AS of_lang, CASE WHEN level < 1 THEN source ELSE '' END AS of_source, measure, edge FROM e, range(3) AS _(level)
 ), o AS (
-  SELECT lang, source, measure, edge, row_number() OVER (PARTITION BY lang, source, measure ORDER BY edge) AS rn, count(*) OVER (PARTITION BY lang, source, measure) AS total FROM e
+  SELECT *, row_number() OVER (PARTITION BY level, of_lang, of_source, measure ORDER BY edge) AS rn, count(*) OVER (PARTITION BY level, of_lang, of_source, measure) AS total FROM l
 ), q AS (
-  SELECT lang, source, measure, max(edge) FILTER (rn = (total + 3) // 4) AS q1, max(edge) FILTER (rn = (3 * total + 3) // 4) AS q3 FROM o WHERE total >= {quality_rules.MIN_GROUP} GROUP BY ALL
+  SELECT level, of_lang, of_source, measure, max(edge) FILTER (rn = (total + 3) // 4) AS q1, max(edge) FILTER (rn = (3 * total + 3) // 4) AS q3
+  FROM o WHERE total >= {quality_rules.MIN_GROUP} GROUP BY ALL
+), a AS (
+  SELECT lang, source, min(level) AS level FROM (SELECT DISTINCT lang, source FROM c), (SELECT DISTINCT level, of_lang, of_source FROM q)
+  WHERE (level = 2 OR lang = of_lang) AND (level > 0 OR source = of_source) GROUP BY ALL
 ), f AS (
   SELECT lang, source, measure, q1 - width * (q3 - q1) - slack AS low, q3 + width * (q3 - q1) + slack AS high, both_sides
-  FROM q JOIN (VALUES {_fence_rows()}) AS v(measure, width, slack, both_sides) USING (measure)
+  FROM a JOIN q ON a.level = q.level AND (a.level = 2 OR lang = of_lang) AND (a.level > 0 OR source = of_source) JOIN (VALUES {_fence_rows()}) AS v(measure, width, slack, both_sides) USING (measure)
 ), bad AS (
   SELECT DISTINCT doc_id FROM m JOIN f USING (lang, source, measure) WHERE value > high OR (both_sides AND value < low)
 ), b AS (

@@ -3,8 +3,9 @@
 Each text is measured once. For each language and source, each measure gets a mergeable quantile sketch: counts of
 log-linear buckets (exact below 64, then 64 to an octave), so merging is adding and the result doesn't depend on
 the order of rows or tasks. Fences beyond the sketch's quartiles replace fixed cutoffs; the measured rows are then
-joined with the fences of their language and source and filtered. Groups under MIN_GROUP rows have no fences. Rows aren't
-shuffled for that, only sketches are, unless there are very many groups.
+joined with the fences of their language and source and filtered. A group under MIN_GROUP rows has too few for quartiles: it gets
+the fences of its language's merged sketch, and where that is too small, too, those of the whole table's; a table under MIN_GROUP
+rows has none. Rows aren't shuffled for that, only sketches are, unless there are very many groups.
 
 Rows: one per input row. Null text has no words, and fails as all texts of few words do. Null language or source is a
 group value of its own, shared with the empty string. Nothing is compared between rows but sketches, so ties and repeated rows
@@ -57,7 +58,7 @@ def _repeated_words(words: Column, n: Column, grams: Column) -> Column:
 def measured(docs: DataFrame, own: list[str]) -> DataFrame:
     """The columns `own` of every row as a struct `own`, with lang, source (no nulls) and the counts."""
     key = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
-    rows = docs.select(F.struct(*own).alias("own"), key("lang"), key("source"), text_or_empty().alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in own]).alias("own"), key("lang"), key("source"), text_or_empty().alias("text"))
     text, words, lines, grams, n = (F.col(x) for x in ("text", "words", "lines", "grams", "n"))
     rows = rows.select("own", "lang", "source", "text", space_words(text).alias("words"), F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{SPACE}]")).alias("lines"))
     rows = rows.select("*", F.size(words).alias("n"))
@@ -91,9 +92,14 @@ def _measures() -> Column:
 
 def fences(rows: DataFrame) -> DataFrame:
     """Language and source with their fences, as arrays in the order of MEASURES, from the sketches of measured rows."""
-    keys = ["lang", "source", "measure"]
     values = rows.where("n_words > 0").select("lang", "source", F.explode(_measures()).alias("m")).select("lang", "source", "m.measure", "m.value")
-    sketch = values.groupBy(*keys, _edge(F.col("value")).alias("edge")).agg(F.count("*").alias("n"))
+    own = materialize(values.groupBy("lang", "source", "measure", _edge(F.col("value")).alias("edge")).agg(F.count("*").alias("n")), "sketches")
+    # sketches merge by adding: of the group itself, of its language, of the whole table
+    level = lambda k, lang, source: F.struct(F.lit(k).alias("level"), lang.alias("of_lang"), source.alias("of_source"))
+    levels = F.inline(F.array(level(0, F.col("lang"), F.col("source")), level(1, F.col("lang"), F.lit("")), level(2, F.lit(""), F.lit(""))))
+    merged_keys = ["level", "of_lang", "of_source"]
+    keys = [*merged_keys, "measure"]
+    sketch = own.select(levels, "measure", "edge", "n").groupBy(*keys, "edge").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys)
     so_far = F.sum("n").over(group.orderBy("edge").rowsBetween(Window.unboundedPreceding, 0))
     at = sketch.select(*keys, "edge", so_far.alias("so_far"), F.sum("n").over(group).alias("total"))
@@ -102,7 +108,9 @@ def fences(rows: DataFrame) -> DataFrame:
     of_measure = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in MEASURES.values()]), F.col("measure") + 1)
     reach = of_measure(1) * (F.col("q3") - F.col("q1")) + of_measure(2)
     fenced = quartiles.where(F.col("total") >= MIN_GROUP).select(*keys, (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-    return fenced.groupBy("lang", "source").agg(F.sort_array(F.collect_list(F.struct("measure", "low", "high"))).alias("fences"))
+    merged = fenced.groupBy(*merged_keys).agg(F.sort_array(F.collect_list(F.struct("measure", "low", "high"))).alias("fences"))
+    groups = own.select("lang", "source").distinct().select("lang", "source", levels)
+    return groups.join(merged, merged_keys).groupBy("lang", "source").agg(F.min_by("fences", "level").alias("fences"))
 
 
 def _judged(rows: DataFrame, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:

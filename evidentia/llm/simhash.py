@@ -11,8 +11,8 @@ as near (0 or 1 bit) or far (2 bits); whatever stands where a near one stands is
 bits meet so at some value. So every row of such a place is linked with the place's least near one.
 
 Rows: one per input row. Null text counts as empty: fingerprint zero, linked like any other. Ties don't arise: a component
-is named by its smallest doc_id (nulls aside; null if it has none). Repeated rows share a fingerprint. Other columns
-are ignored. Empty tables give empty results.
+is named by its smallest doc_id (nulls aside; null if it has none). Repeated rows share a fingerprint. Dropping goes by rows, not by
+doc_ids: of each component one row stays, whatever ids repeat or are null. Other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -57,13 +57,17 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEE
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a (signed) long, of every row."""
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())])
+    return _fingerprints(docs.select("doc_id", text_or_empty().alias("text")))
+
+
+def _fingerprints(rows: DataFrame) -> DataFrame:
+    """All columns of `rows` but the text, and fp."""
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "text"), T.StructField("fp", T.LongType())])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(text) for text in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(text) for text in batch.column("text").cast(pa.binary()).to_pylist()], dtype=np.uint64)
+            yield batch.drop_columns(["text"]).append_column("fp", pa.array(found.view(np.int64)))
 
     return rows.mapInArrow(take, schema)
 
@@ -124,19 +128,30 @@ def fingerprint_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     return links.unionByName(met.distinct())
 
 
+def _classes(taken: DataFrame, hot: int) -> DataFrame:
+    """fp and root, equal for what links connect, from written fingerprints; roots are fingerprints."""
+    distinct = taken.select("fp").distinct()
+    roots = components(fingerprint_links(distinct, hot))
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return materialize(named, "named")
+
+
 def simhash_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     taken = materialize(fingerprints(docs), "fingerprints")
-    distinct = taken.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(fingerprint_links(distinct.select("fp"), hot))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "named")
-    first = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = _classes(taken, hot)
+    first = taken.groupBy("fp").agg(F.min("doc_id").alias("first")).join(named, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(first, "root").select("fp", "component_id")
     return taken.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their components, with all columns; rows without a doc_id stay."""
-    gone = simhash_components(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def drop_near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """One row of each component with all columns: the first with its smallest doc_id (nulls last), whatever ids repeat."""
+    own = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("own")
+    # written with the ids of its rows, so that they are the same for both readers
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), own), "rows")
+    taken = materialize(_fingerprints(rows.select("rid", "own.doc_id", text_or_empty("own.text").alias("text"))), "fingerprints")
+    first = lambda *order: F.min(F.struct(*order))
+    of_fp = taken.groupBy("fp").agg(first(F.col("doc_id").isNull().alias("absent"), "doc_id", "rid").alias("first"))
+    kept = of_fp.join(_classes(taken, hot), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.rid")
+    return rows.join(kept, "rid", "left_semi").select("own.*")

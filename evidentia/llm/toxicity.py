@@ -14,7 +14,7 @@ hinge, solved in the primal, on Nyström features) then picks the next, ROUNDS t
 
 Calibration, on documents that are left out of the fitting: a logistic curve, whose slopes are 0 or more, over each document's
 three largest margins and its share of units on the toxic side; toxic documents count as they are and with altered insults.
-Its shift makes TOXIC_SCORE the score that FALSE_SHARE of the clean ones reach.
+Its shift makes TOXIC_SCORE the best cut there, reached by at most FALSE_SHARE of the clean ones.
 
 Scoring: since the kernel is a product over subsequences, the fitted machine folds into one weight for each subsequence of the
 landmarks, and a unit's margin is a sum over a table of them, taken for many units at once. Whole texts are read in one
@@ -46,14 +46,14 @@ FOLDS, HELD_OUT, TOXIC_SCORE = 3, 1, 0.7
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 2500, 5000, 3000
 #: Of the sample, one document of so many is left out for calibration.
 LEFT_OUT = 4
-#: The share of clean documents that may reach TOXIC_SCORE.
-FALSE_SHARE = 0.01
+#: The share of clean documents that may reach TOXIC_SCORE, and what one caught wrongly costs against one missed, as shares of their kinds.
+FALSE_SHARE, FALSE_COST = 0.015, 5.0
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, HARD_LANDMARKS, ROUNDS = 96, 64, 32, 3
 DECAY, SPAN, WINDOW = 0.8, 5, 24
 #: Neighbouring words of so many letters together are also read as one word with a gap.
 PAIR_LETTERS = 11
-#: Stems that tell: in so many toxic documents, and so much more often (log-odds).
-LEAST_DOCS, LEAST_ODDS, STEMS = 5, 2.0, 1000
+#: Stems that tell: so much more frequent in toxic documents (log-odds), in so many of them (of a small sample, one in LEAST_OF), and new to as many (see _stems).
+LEAST_ODDS, LEAST_DOCS, LEAST_OF, STEMS = 2.0, 5, 20, 1000
 #: The weight of altered copies among the toxic examples.
 ALTERED_WEIGHT = 0.5
 SIGNS = re.compile(r"[^\w\s]+|_+")
@@ -296,11 +296,15 @@ def _logistic(features: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
 
 
 def _calibrated(features: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
-    """The curve, shifted so that at most FALSE_SHARE of the clean rows reach TOXIC_SCORE."""
+    """The curve, shifted so that TOXIC_SCORE is the best cut: where the share of toxic rows missed and FALSE_COST times the share of clean ones caught add up to least, of cuts that at most FALSE_SHARE of the clean ones reach."""
     *slopes, shift = _logistic(features, labels)
-    clean = np.sort((features @ slopes + shift)[labels == 0])[::-1]
-    cut = clean[int(FALSE_SHARE * len(clean))] + 0.05
-    return (*slopes, float(shift - cut + np.log(TOXIC_SCORE / (1 - TOXIC_SCORE))))
+    z = features @ slopes + shift
+    clean, toxic = np.sort(z[labels == 0]), np.sort(z[labels > 0])
+    false = np.arange(-(-FALSE_SHARE * len(clean) // 1) + 1).astype(int)
+    false = false[false < len(clean)]
+    cuts = clean[len(clean) - 1 - false] + 0.05
+    cost = np.searchsorted(toxic, cuts) / len(toxic) + FALSE_COST * (len(clean) - np.searchsorted(clean, cuts)) / len(clean)
+    return (*slopes, float(shift - cuts[cost.argmin()] + np.log(TOXIC_SCORE / (1 - TOXIC_SCORE))))
 
 
 def _fold(doc_id):
@@ -326,7 +330,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
 
-def _stems(pairs: list[tuple[str, str, float]]) -> list[str]:
+def _stems(pairs: list[tuple[str, str, float]], least: float) -> list[str]:
     """Stems (stem, toxic document, odds), best first: each counts the documents it is in, halved by every stem chosen before that is in them too."""
     inside, odds = defaultdict(list), {}
     for stem, doc, worth in pairs:
@@ -335,7 +339,7 @@ def _stems(pairs: list[tuple[str, str, float]]) -> list[str]:
     seen, chosen = Counter(), []
     while len(chosen) < TOXIC_LANDMARKS:
         new = {stem: sum(0.5 ** seen[d] for d in docs) for stem, docs in inside.items() if not any(stem.startswith(x) or x.startswith(stem) for x in chosen)}
-        best = max(((n * odds[stem], len(stem), stem) for stem, n in new.items() if n >= LEAST_DOCS), default=None)
+        best = max(((n * odds[stem], len(stem), stem) for stem, n in new.items() if n >= least), default=None)
         if best is None:
             break
         chosen.append(best[2])
@@ -389,10 +393,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     by_word = materialize(counted(words), "counted")
     starts = words.where(F.length("word") >= 4).select("doc_id", "toxic", F.explode(F.transform(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(10))), lambda n: F.substring("word", F.lit(1), n))).alias("word"))
     starts = starts.distinct()
-    telling = counted(starts).where((F.col("t") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc(F.col("t") * F.col("odds")), F.desc(F.length("word")), "word").limit(STEMS)
+    least = min(LEAST_DOCS, max(2.0, n_toxic / LEAST_OF))
+    telling = counted(starts).where((F.col("t") >= least) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc(F.col("t") * F.col("odds")), F.desc(F.length("word")), "word").limit(STEMS)
     # bounded: STEMS stems in SAMPLE_TOXIC documents
     inside = starts.where("toxic = 1").join(F.broadcast(telling.select("word", "odds")), "word").select("word", "doc_id", "odds")
-    stems = _stems([*inside.toPandas().itertuples(index=False, name=None)])
+    stems = _stems([*inside.toPandas().itertuples(index=False, name=None)], least)
     if not stems:
         return None
 
@@ -447,7 +452,7 @@ def _mapped(rows: DataFrame, machine: Machine | None, text: str, schema: T.Struc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Machine(*shared.value) if shared.value else None
         for batch in batches:
-            texts = [x or "" for x in batch.column(at).cast(pa.string()).to_pylist()]
+            texts = batch.column(at).to_pylist()
             yield keep(batch, own.scores(texts) if own else np.zeros(len(texts)))
 
     return rows.mapInArrow(run, schema)
@@ -463,4 +468,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that aren't predicted toxic, with all columns."""
-    return _mapped(docs, fit(docs, labels), "text", docs.schema, lambda batch, scores: batch.filter(pa.array(scores < TOXIC_SCORE)))
+    # in one column, whatever the names of the others
+    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("own"), text_or_empty().alias("text"))
+    kept = _mapped(rows, fit(docs, labels), "text", rows.schema, lambda batch, scores: batch.filter(pa.array(scores < TOXIC_SCORE)))
+    return kept.select("own.*")

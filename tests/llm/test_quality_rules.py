@@ -32,13 +32,14 @@ def brute(rows):
         key = (lang or "", source or "")
         measured.append((doc_id, key, values, (n, chars, symbols, dups, repeats)))
         if n:
-            groups[key].append(values)
+            for wider in (key, key[:1], ()):
+                groups[wider].append(values)
     spec = list(quality_rules.MEASURES.values())
     out = Counter()
     for doc_id, key, values, counts in measured:
         failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
-        inside, group = True, groups[key]
-        if len(group) >= quality_rules.MIN_GROUP:
+        inside, group = True, next((groups[x] for x in (key, key[:1], ()) if len(groups[x]) >= quality_rules.MIN_GROUP), [])
+        if group:
             for k, (_, width, slack, both) in enumerate(spec):
                 edges = sorted(edge(v[k]) for v in group)
                 q1, q3 = edges[-(-len(edges) // 4) - 1], edges[-(-3 * len(edges) // 4) - 1]
@@ -90,5 +91,13 @@ def test_fences_drop_a_mode_of_symbols_and_keep_single_ones(spark):
     assert {r.doc_id for r in quality_rules.filter_quality(docs).select("doc_id").collect()} == {k for k, *_ in [*clean, *single]}
 
 
+def test_small_groups_have_the_fences_of_their_language_then_of_all(spark):
+    words = "these are plain words of a clean text in prose"
+    junk = words + " # * $ % & |"
+    rows = [(k, words, "en", "web") for k in range(60)] + [(100, junk, "en", "rare"), (101, words, "en", "rare"), (102, junk, "xx", "rare"), (103, words, "xx", None), (104, junk, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in quality_rules.filter_quality(docs).select("doc_id").collect()} == {*range(60), 101, 103}
+
+
 def test_oracle_is_registered():
     assert "op6_quality_rules" in ORACLES
