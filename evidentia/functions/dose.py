@@ -121,3 +121,19 @@ def log_permeability(weight: Column, logp: Column) -> Column:
 
 def anchor_hit(low: Column, high: Column, disclosed: Column) -> Column:
     return disclosed.between(low * (1 - ANCHOR_TOLERANCE), high * (1 + ANCHOR_TOLERANCE))
+
+
+#: The ends of the dose axis, in percent.
+AXIS = (0.01, 100.0)
+
+
+def axis_place(value: Column) -> Column:
+    """Where a dose stands on a logarithmic axis, in percent of its length; doses beyond its ends stand at them."""
+    low, high = AXIS
+    held = F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    return F.when(value.isNotNull(), 100 * (F.log10(held) - F.log10(F.lit(low))) / (F.log10(F.lit(high)) - F.log10(F.lit(low))))
+
+
+def upper_cap(legal: Column, leave_on: Column, rinse_off: Column, opinion: Column, typical: Column, stays_on: Column) -> Column:
+    """The least of the limits that are known, with the leave-on or the rinse-off limit as the product asks; null if none is."""
+    return F.least(legal, F.when(stays_on, leave_on).otherwise(rinse_off), opinion, typical)

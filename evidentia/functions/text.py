@@ -229,3 +229,79 @@ def snapshot_note(url: Column, title: Column, year_inferred: Column, expired: Co
         F.when(expired, F.lit("好价已过期（促销价有时效）")),
         F.concat(F.lit("值投票 "), up.cast("string"), F.lit(":"), down.cast("string")),
     )
+
+
+#: Names of alcohols and of acids without dots and white space, and what marks a fragrance.
+ALCOHOLS = ["ALCOHOL", "ALCOHOLDENAT", "SDALCOHOL", "ETHANOL", "变性乙醇", "乙醇"]
+ACIDS = ["GLYCOLICACID", "SALICYLICACID", "LACTICACID", "MANDELICACID", "AZELAICACID", "MALICACID", "TARTARICACID", "乙醇酸", "水杨酸", "乳酸", "扁桃酸", "杏仁酸", "壬二酸", "苹果酸", "酒石酸"]
+FRAGRANCES, FRAGRANCE_CN, PRESERVATIVE = "FRAGRANCE|PARFUM", "香精", "防腐"
+
+
+def bare_name(name: Column) -> Column:
+    """Upper case without dots and white space: the form that the lists of alcohols and acids have."""
+    return F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), r"[.\s]", "")
+
+
+def is_alcohol(inci_name: Column, cn_name: Column) -> Column:
+    return bare_name(inci_name).isin(ALCOHOLS) | F.coalesce(cn_name.isin(ALCOHOLS), F.lit(False))
+
+
+def is_acid(inci_name: Column, cn_name: Column) -> Column:
+    return bare_name(inci_name).isin(ACIDS) | F.coalesce(cn_name.isin(ACIDS), F.lit(False))
+
+
+def is_fragrance(inci_name: Column, cn_name: Column) -> Column:
+    return bare_name(inci_name).rlike(FRAGRANCES) | F.coalesce(cn_name.contains(FRAGRANCE_CN), F.lit(False))
+
+
+def component_key(inci_name: Column, cn_name: Column, official: Column) -> Column:
+    """What a component is known by across languages: its official Chinese name, a Chinese name of its own, or its upper-case name after INCI:."""
+    clean = lambda text: F.btrim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(official.isNotNull(), clean(official)).when(has_cjk(cn_name), clean(cn_name)).otherwise(F.concat(F.lit("INCI:"), F.btrim(F.upper(F.coalesce(inci_name, F.lit(""))))))
+
+
+def official_keys(inci_name: Column) -> Column:
+    """Under which names a register may hold a component, best first: as it is, without dots at its end, with one."""
+    name = F.btrim(F.upper(F.coalesce(inci_name, F.lit(""))))
+    return F.array_distinct(F.array(name, F.regexp_replace(name, r"\.+$", ""), F.concat(name, F.lit("."))))
+
+
+def same_brand(a: Column, b: Column) -> Column:
+    """Whether two brands are equal or one stands in the other; false if one is missing."""
+    x, y = F.btrim(a), F.btrim(b)
+    return F.coalesce((x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x)), F.lit(False))
+
+
+def latin_parts(text: Column) -> Column:
+    """The parts of a list of components that have a Latin letter."""
+    parts = F.transform(F.split(text, "[、，,；;\n]"), lambda x: F.btrim(x))
+    return F.filter(parts, lambda x: x.rlike("[A-Za-z]"))
+
+
+def stated_phrases(text: Column, category: Column, other: str) -> Column:
+    """Effect phrases of a text after its category (unless that is `other` once it is canonical), each once, and how many parts were passed over as prose."""
+    from evidentia.functions.rules import canonical_family
+
+    parts = no_empty(F.transform(F.split(text, PHRASE_SPLIT), lambda x: F.btrim(x)))
+    short = F.filter(parts, lambda x: x.rlike(f"^{CJK}{{2,8}}$"))
+    named = F.when(canonical_family(category) != other, F.array(category)).otherwise(F.array().cast("array<string>"))
+    return F.struct(F.array_distinct(F.concat(named, short)).alias("phrases"), (F.size(parts) - F.size(short)).alias("skipped"))
+
+
+def marked_price(text: Column) -> Column:
+    """The first number of a price with thousands marks; null if there is none."""
+    return F.replace(F.regexp_extract(text, r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)", 1), F.lit(","), F.lit("")).try_cast("double")
+
+
+def join_wrapped(cell: Column) -> Column:
+    """A table cell whose lines were wrapped: Chinese lines are joined as they are, a hyphen at a line's end stays, other lines get a space."""
+    text = F.regexp_replace(F.btrim(cell), r"[ \t]*\n[ \t]*", "\n")
+    text = F.regexp_replace(text, f"(?<={CJK})\n|\n(?={CJK})", "")
+    return F.regexp_replace(F.regexp_replace(text, r"(?<=-)\n", ""), r"\n", " ")
+
+
+def profile_key(text: Column) -> Column:
+    """A 32-bit hash of a text: 33 times what was before and the next character's number, kept to 32 bits with a sign."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    unsigned = F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: (h * 33 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.when(unsigned >= 1 << 31, unsigned - F.lit(1 << 32)).otherwise(unsigned)

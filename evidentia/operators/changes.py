@@ -35,14 +35,18 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: list[Colum
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
-def backfill(stored: DataFrame, new: DataFrame, keys: list[str], field: str, correct: bool = False) -> DataFrame:
-    """`stored` with nulls of `field` filled from `new` (one row a key), and what was done: set, conflict, corrected or none."""
-    joined = stored.alias("s").join(new.select(*keys, F.col(field).alias("_new")).alias("n"), keys, "left")
-    old, fresh = F.col(field), F.col("_new")
+def backfill(stored: DataFrame, new: DataFrame, keys: list[str], field: str, correct: bool = False, clear_none: bool = False) -> DataFrame:
+    """`stored` with nulls of `field` filled from `new` (one row a key), and what was done: set, conflict, corrected, cleared or none.
+
+    correct: values of `new` win over others; clear_none: a null of `new` takes away what is stored.
+    """
+    joined = stored.alias("s").join(new.select(*keys, F.struct(F.col(field).alias("value")).alias("_new")).alias("n"), keys, "left")
+    old, fresh = F.col(field), F.col("_new.value")
     differs = old.isNotNull() & fresh.isNotNull() & (old != fresh)
-    action = F.when(old.isNull() & fresh.isNotNull(), "set").when(differs, "corrected" if correct else "conflict").otherwise("none")
-    value = F.coalesce(fresh, old) if correct else F.coalesce(old, fresh)
-    return joined.withColumns({"action": action, field: value}).drop("_new").select(*stored.columns, "action")
+    cleared = F.col("_new").isNotNull() & fresh.isNull() & old.isNotNull() & F.lit(clear_none)
+    action = F.when(cleared, "cleared").when(old.isNull() & fresh.isNotNull(), "set").when(differs, "corrected" if correct else "conflict").otherwise("none")
+    value = F.when(~cleared, F.coalesce(fresh, old) if correct else F.coalesce(old, fresh))
+    return joined.withColumns({"action": action, "_value": value}).withColumn(field, F.col("_value")).select(*stored.columns, "action")
 
 
 def sync(stored: DataFrame, fresh: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

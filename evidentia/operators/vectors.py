@@ -81,6 +81,22 @@ def rank_decay(links: DataFrame) -> DataFrame:
     return placed.select("product_id", "ingredient_id", (1 / F.log2(F.col("position") + 1.0)).alias("weight"))
 
 
+def one_hot(links: DataFrame) -> DataFrame:
+    """Weight 1 for each component of an item, however often it is listed."""
+    return links.select("product_id", "ingredient_id").distinct().withColumn("weight", F.lit(1.0))
+
+
+def hybrid(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both vectors side by side, each of length 1 and then weighed by the root of a half, so that cosines are averaged; components are told apart by their side."""
+
+    def side(rows: DataFrame, k: int) -> DataFrame:
+        length = rows.groupBy("product_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+        weight = F.lit(0.5**0.5) * F.col("weight") / F.col("length")
+        return rows.join(length, "product_id").select("product_id", (F.col("ingredient_id") * 2 + k).alias("ingredient_id"), weight.alias("weight"))
+
+    return side(a, 0).unionByName(side(b, 1))
+
+
 def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, product_id, rank, score: the nearest items by cosine of their sparse vectors."""
     pairs = _matched(vectors, queries, "ingredient_id").groupBy("query_id", "product_id", "query_norm", "norm").agg(F.sum(F.col("query_weight") * F.col("weight")).alias("dot"))
@@ -128,6 +144,14 @@ def list_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return placed.groupBy("query_id").agg(F.round(n / F.count("*"), 4).alias("jaccard"), n.alias("shared"), F.round(spearman, 4).alias("spearman"))
 
 
+def place_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """For each query: Pearson's correlation of the places of the neighbours that both lists have; null with fewer than two, or where a list's places don't differ."""
+    right = b.select("query_id", "product_id", F.col("rank").alias("rank_b"))
+    both = a.select("query_id", "product_id", F.col("rank").alias("rank_a")).join(right, ["query_id", "product_id"])
+    varied = (F.count("*") >= 2) & (F.min("rank_a") < F.max("rank_a")) & (F.min("rank_b") < F.max("rank_b"))
+    return both.groupBy("query_id").agg(F.count("*").alias("shared"), F.when(varied, F.round(F.corr("rank_a", "rank_b"), 4)).alias("pearson"))
+
+
 def percentiles(rows: DataFrame, value: str, shares: list[float]) -> Column:
     """Exact percentiles with linear interpolation, as an aggregate."""
     return F.percentile(value, F.array(*map(F.lit, shares)))

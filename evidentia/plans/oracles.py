@@ -118,8 +118,18 @@ costs AS (SELECT product_id, ingredient_id, CASE WHEN (conc_low + conc_high) / 2
 ORACLES["cost_per_dose"] = f"WITH {ASSERTIONS}, {S}, {SUPPLIERS}, {COSTS} SELECT product_id, ingredient_id, round(min(cost), 4) AS min_cost, count(*) AS n FROM costs WHERE cost IS NOT NULL GROUP BY ALL"
 ORACLES["cost_board"] = f"""WITH {ASSERTIONS}, {S}, {SUPPLIERS}, {COSTS}
 SELECT product_id, round(cost, 4) AS min_cost, ingredient_id FROM costs WHERE cost IS NOT NULL QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY round(cost, 4), ingredient_id) = 1"""
-ORACLES["match_score"] = f"""WITH {ASSERTIONS}, {O}, {PROFILES}
-SELECT product_id, sum((family IN ('保湿', '舒缓'))::INT)::BIGINT AS wanted_hits, sum((family IN ('控油祛痘', '其他'))::INT)::BIGINT AS avoided_hits, least(greatest(50 + 20 * wanted_hits - 15 * avoided_hits, 0), 100)::INT AS score FROM profiles GROUP BY ALL"""
+ORACLES["match_score"] = f"""WITH {ASSERTIONS}, {S}, {SUPPLIERS}, {JUDGED},
+aims(family, aim) AS (VALUES ('美白', '美白'), ('抗皱', '抗老'), ('紧致', '抗老'), ('抗氧化', '抗老'), ('保湿', '保湿'), ('控油祛痘', '祛痘')),
+own AS (SELECT DISTINCT product_id, family, strength FROM links JOIN assertions USING (ingredient_id) WHERE {USABLE}),
+f AS (
+  SELECT DISTINCT product_id, 'human' AS rule, aim AS about FROM own JOIN aims USING (family) WHERE strength >= 0.55
+  UNION ALL SELECT DISTINCT product_id, 'dose', aim FROM (SELECT product_id, {RULES.format(e='effect')} AS family FROM judged WHERE verdict = 'effective') JOIN aims USING (family)
+    WHERE (product_id, aim) IN (SELECT (product_id, aim) FROM own JOIN aims USING (family))
+  UNION ALL SELECT DISTINCT product_id, 'avoided', CASE ingredient_id % 40 WHEN 0 THEN 'alcohol' ELSE 'fragrance' END FROM links WHERE product_id % 3 = 0 AND ingredient_id % 40 < 2
+  UNION ALL SELECT product_id, 'unsupported', NULL FROM items WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.product_id = items.product_id AND family <> '其他'
+    AND CASE WHEN items.product_id % 2 = 0 THEN contains('保湿', family) OR contains(family, '保湿') ELSE contains('紧致提拉', family) OR contains(family, '紧致提拉') END))
+SELECT product_id, count(*) FILTER (rule = 'human') AS human, count(*) FILTER (rule = 'dose') AS dose, count(*) FILTER (rule = 'avoided') AS avoided, count(*) FILTER (rule = 'unsupported') AS unsupported,
+  least(greatest(20 * human + 10 * dose - 15 * avoided - 10 * unsupported, 0), 100)::INT AS score FROM items LEFT JOIN f USING (product_id) GROUP BY product_id"""
 ORACLES["transdermal"] = """WITH n AS (
   SELECT p_partkey AS ingredient_id, upper(CASE p_partkey % 13 WHEN 0 THEN 'Sodium ' || p_name WHEN 1 THEN p_name || 'ate' ELSE p_name END) AS name, CASE WHEN p_partkey % 17 <> 0 THEN p_size * 14.0::DOUBLE END AS mw,
     CASE WHEN p_partkey % 17 <> 0 THEN (p_partkey % 90) / 10.0::DOUBLE - 3.0::DOUBLE END AS logp FROM part),

@@ -183,8 +183,13 @@ def cost_board(spark, sf):
 
 @query
 def match_score(spark, sf):
-    profiles = similarity.fingerprints(domain.links(spark, sf, "l_orderkey"), domain.assertions(spark, sf))
-    return evidence.match_score(profiles, ["保湿", "舒缓"], ["控油祛痘", rules.OTHER])
+    items, links, assertions = domain.suppliers(spark, sf), domain.links(spark, sf), domain.assertions(spark, sf)
+    kind = F.when(F.col("ingredient_id") % 40 == 0, "alcohol").when(F.col("ingredient_id") % 40 == 1, "fragrance")
+    avoided = links.where(F.col("product_id") % 3 == 0).select("product_id", kind.alias("kind")).where("kind is not null")
+    claim = F.when(F.col("product_id") % 2 == 0, "保湿（备案）").otherwise("紧致提拉")
+    goals = {"美白": ["美白"], "抗老": ["抗皱", "紧致", "抗氧化"], "保湿": ["保湿"], "祛痘": ["控油祛痘"]}
+    facts = evidence.match_facts(links, assertions, evidence.dose_verdicts(links, assertions), avoided, items.select("product_id", claim.alias("claim")), goals)
+    return evidence.match_score(items, facts)
 
 
 @query

@@ -50,3 +50,71 @@ def check_complete(rows: DataFrame, key: str, expected: int) -> None:
     found = rows.agg(F.count_distinct(key)).first()[0]
     if found != expected:
         raise ValueError(f"{found} different {key}, expected {expected}")
+
+
+def json_documents_in_order(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents of a folder and those below it, each with its stem and its place: shorter stems first, then by name."""
+    from pyspark.sql.window import Window
+
+    rows = json_documents(spark, path, schema, recursive=True)
+    stem = F.regexp_extract("file_path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    named = rows.select("file_path", stem.alias("stem")).distinct()
+    # one row a file: a folder's listing, which the driver holds anyway
+    places = named.withColumn("place", F.row_number().over(Window.orderBy(F.length("stem"), "stem", "file_path")))
+    return rows.join(places, "file_path")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report as JSON lines, in place of an earlier one."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_index(rows: DataFrame, path: str) -> None:
+    """A vector index (id, embedding, ...), rebuilt as a whole."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """The index at `path`, or None where there is none yet; other failures are raised."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def with_neighbours(spark: SparkSession, path: str, query_id: int, k: int = 10) -> tuple[str, DataFrame | None]:
+    """The state of a search and its rows: "unavailable" without an index, "ok" with one, where an unknown id finds nothing."""
+    from evidentia.operators import vectors
+
+    index = read_index(spark, path)
+    if index is None:
+        return "unavailable", None
+    rows = index.select("id", F.col("embedding").alias("vector"))
+    return "ok", vectors.nearest(rows, rows.where(F.col("id") == query_id), k)
+
+
+class Snapshots:
+    """Tables held in the cluster's memory by path, read anew when their files change (names, sizes or times)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: dict[str, tuple[str, DataFrame]] = {}
+
+    def signature(self, path: str) -> str:
+        files = self.spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
+        return str(files.agg(F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first())
+
+    def table(self, path: str) -> DataFrame:
+        signature = self.signature(path)
+        known = self.held.get(path)
+        if known and known[0] == signature:
+            return known[1]
+        if known:
+            known[1].unpersist()
+        self.spark.catalog.refreshByPath(path)
+        self.held[path] = (signature, self.spark.read.parquet(path).persist())
+        return self.held[path][1]
