@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,13 +146,21 @@ def simhash_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return taken.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """One row of each component with all columns: the first with its smallest doc_id (nulls last), whatever ids repeat."""
+def drop_near_copies(docs: DataFrame, hot: int = HOT, from_files: bool = False) -> DataFrame:
+    """One row of each component with all columns: the first with its smallest doc_id (nulls last), whatever ids repeat.
+
+    Rows are told apart by ids that are written with them. from_files says that `docs` is what some files hold, row by row: then a row
+    is told by its file and its place there, and no text is written.
+    """
+    place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     own = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("own")
-    # written with the ids of its rows, so that they are the same for both readers
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), own), "rows")
-    taken = materialize(_fingerprints(rows.select("rid", "own.doc_id", text_or_empty("own.text").alias("text"))), "fingerprints")
-    first = lambda *order: F.min(F.struct(*order))
-    of_fp = taken.groupBy("fp").agg(first(F.col("doc_id").isNull().alias("absent"), "doc_id", "rid").alias("first"))
-    kept = of_fp.join(_classes(taken, hot), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.rid")
-    return rows.join(kept, "rid", "left_semi").select("own.*")
+    try:
+        if not from_files or "_metadata" in docs.columns:
+            raise ValueError
+        rows = docs.select(*place, own)
+    except (ValueError, AnalysisException):
+        rows = materialize(docs.select(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"), own), "rows")
+    taken = materialize(_fingerprints(rows.select("file", "row", "own.doc_id", text_or_empty("own.text").alias("text"))), "fingerprints")
+    of_fp = taken.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "file", "row")).alias("first"))
+    kept = of_fp.join(_classes(taken, hot), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.row")
+    return rows.join(materialize(kept, "kept"), ["file", "row"], "left_semi").select("own.*")

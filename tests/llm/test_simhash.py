@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from evidentia.llm import simhash
@@ -99,6 +100,16 @@ def test_one_row_of_each_component_stays_whatever_its_id(spark):
         assert Counter(map(tuple, left.collect())) == Counter([(7, "a b c d e"), (8, "v w x y z"), (9, "something else it is"), (None, "no id here at all")])
 
 
+def test_rows_of_files_are_told_by_their_places(spark, tmp_path):
+    rows = [(7, "a b c d e"), (7, "a b c d e"), (8, "v w x y z"), (9, "V w x y z"), (9, "something else it is"), (None, "no id here at all")] * 2
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    want = Counter([(7, "a b c d e"), (8, "v w x y z"), (9, "something else it is"), (None, "no id here at all")])
+    assert Counter(map(tuple, simhash.drop_near_copies(docs, from_files=True).collect())) == want
+    clash = docs.withColumn("_metadata", F.lit("x"))
+    assert Counter((r.doc_id, r.text) for r in simhash.drop_near_copies(clash, from_files=True).collect()) == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501), (501, 501), (None, 3)], "u long, v long")
     found = {r.node: r.root for r in components(links).collect()}
