@@ -4,6 +4,11 @@ Each stage reads what the one before it wrote, and its decisions take effect: ro
 it. All stages but the last return the columns of `documents`; the last returns the packed pieces. doc_id identifies
 a document. SQL can express neither the tokenizer nor the string-kernel machine, so ORACLE_SQL is None and the tests
 hold run() against a brute-force version.
+
+Rows: null and empty texts have too few words for the first stage and go there. Long texts are read whole. Ties and repeated rows:
+of equal or near-equal texts one row stays, the longest and then the smallest doc_id of equal ones, the smallest doc_id of near ones;
+null doc_ids lose to others. Columns beside doc_id, text, lang and source are carried along, whatever their names.
+Empty tables give empty results at every stage.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ def keep_one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs, from_files=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

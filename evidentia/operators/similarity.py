@@ -14,6 +14,8 @@ from evidentia.functions import dose, rules
 
 #: Weights of components, effects and price.
 WEIGHTS = {"ingredient": 0.5, "efficacy": 0.3, "price": 0.2}
+#: Families of one profile; beyond, they aren't families but free texts.
+MOST_FAMILIES = 256
 
 
 def top(rows: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
@@ -112,21 +114,43 @@ def fingerprint_coverage(links: DataFrame, assertions: DataFrame) -> DataFrame:
     )
 
 
-def effect_pairs(profiles: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine, shared families and the three that both have most of, of query items and all others; OTHER doesn't count."""
+def _effect_maps(profiles: DataFrame) -> DataFrame:
+    """product_id, weights (by family) and norm; a profile has as many entries as there are families, and OTHER doesn't count."""
     named = profiles.where(F.col("family") != rules.OTHER)
-    both = F.struct((-F.least("query_weight", "weight")).alias("order"), "family")
-    pairs = _matched(named, queries, "family").groupBy("query_id", "product_id", "query_norm", "norm").agg(
-        F.sum(F.col("query_weight") * F.col("weight")).alias("dot"), F.count("*").alias("dimensions"), F.slice(F.sort_array(F.collect_list(both)), 1, 3).alias("best")
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
+    return named.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("family", "weight"))).alias("weights"), length.alias("norm"))
+
+
+def effect_cosines(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """`pairs` (query_id, product_id) that share a family, with cosine, shared families and the three that both have most of."""
+    maps = _effect_maps(profiles)
+    asked = maps.select(F.col("product_id").alias("query_id"), F.col("weights").alias("query_weights"), F.col("norm").alias("query_norm"))
+    both = pairs.join(asked, "query_id").join(maps, "product_id")
+    shared = F.array_intersect(F.map_keys("query_weights"), F.map_keys("weights"))
+    least = lambda x: F.least(F.col("query_weights")[x], F.col("weights")[x])
+    both = both.withColumn("shared_families", F.sort_array(F.transform(shared, lambda x: F.struct((-least(x)).alias("order"), x.alias("family")))))
+    dot = F.aggregate(shared, F.lit(0.0), lambda total, x: total + F.col("query_weights")[x] * F.col("weights")[x])
+    return both.where(F.size("shared_families") > 0).select(
+        *pairs.columns,
+        (dot / (F.col("query_norm") * F.col("norm"))).alias("cosine"),
+        F.size("shared_families").cast("long").alias("dimensions"),
+        F.array_join(F.slice("shared_families", 1, 3)["family"], ",").alias("top_families"),
     )
-    cosine = F.col("dot") / (F.col("query_norm") * F.col("norm"))
-    return pairs.select("query_id", "product_id", cosine.alias("cosine"), "dimensions", F.array_join("best.family", ",").alias("top_families"))
 
 
 def similar_by_effects(profiles: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    scored = effect_pairs(profiles, queries).withColumn("score", F.round("cosine", 4))
-    best = top(scored, "query_id", k, F.desc("score"), F.asc("product_id"))
-    return best.select("query_id", "product_id", "rank", "score", "dimensions", "top_families")
+    """The k items of the largest cosines. Profiles have a dimension for each family, so they are searched as dense vectors: each task
+    sends k rows a query, and never a row for every pair of items that share a family."""
+    from evidentia.operators import vectors
+
+    families = sorted(r.family for r in profiles.where(F.col("family") != rules.OTHER).select("family").distinct().limit(MOST_FAMILIES + 1).collect())
+    if len(families) > MOST_FAMILIES:
+        raise ValueError(f"more than {MOST_FAMILIES} families: name them by rules.canonical_family first")
+    of = lambda name: F.coalesce(F.col("weights")[name], F.lit(0.0)) / F.col("norm")
+    dense = _effect_maps(profiles).where("norm > 0").select(F.col("product_id").alias("id"), F.array(*[of(x) for x in families or [rules.OTHER]]).alias("vector"))
+    asked = dense.join(queries.select(F.col("product_id").alias("id")), "id", "left_semi")
+    near = vectors.nearest(dense, asked, k, decimals=4).select("query_id", F.col("id").alias("product_id"), "rank", "score")
+    return effect_cosines(near, profiles).select("query_id", "product_id", "rank", "score", "dimensions", "top_families")
 
 
 def substitutes(items: DataFrame, links: DataFrame, profiles: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -135,7 +159,7 @@ def substitutes(items: DataFrame, links: DataFrame, profiles: DataFrame, queries
     named = profiles.where(F.col("family") != rules.OTHER).select("product_id").distinct().withColumn("has_profile", F.lit(True))
     as_query = lambda rows, value, name: rows.select(F.col("product_id").alias("query_id"), F.col(value).alias(name))
     joined = (
-        overlap.join(effect_pairs(profiles, queries).select("query_id", "product_id", "cosine"), ["query_id", "product_id"], "left")
+        overlap.join(effect_cosines(overlap.select("query_id", "product_id"), profiles).select("query_id", "product_id", "cosine"), ["query_id", "product_id"], "left")
         .join(named, "product_id", "left")
         .join(as_query(named, "has_profile", "query_profile"), "query_id", "left")
         .join(items.select("product_id", "price"), "product_id", "left")
