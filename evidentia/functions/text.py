@@ -305,3 +305,47 @@ def profile_key(text: Column) -> Column:
     codes = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
     unsigned = F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: (h * 33 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.when(unsigned >= 1 << 31, unsigned - F.lit(1 << 32)).otherwise(unsigned)
+
+
+#: Traditional characters and the simplified ones they stand for, as pages of one source show them.
+TRADITIONAL, SIMPLIFIED = "維間緊緻豐潤護復顏膚淨潔噴霧華曬專條時麵", "维间紧致丰润护复颜肤净洁喷雾华晒专条时面"
+PARENTHESES = r"[（(][^）)]*[）)]"
+
+
+def name_key(name: Column) -> Column:
+    """The form in which names of pages and of a register are compared: simplified characters, plain Latin letters, upper case, no signs."""
+    return collapse(plain_latin(F.translate(name, TRADITIONAL, SIMPLIFIED)))
+
+
+def without_parentheses(name: Column) -> Column:
+    return F.regexp_replace(name, PARENTHESES, "")
+
+
+def in_parentheses(name: Column) -> Column:
+    """What stands in each pair of parentheses of a name."""
+    return F.transform(F.regexp_extract_all(name, F.lit(f"({PARENTHESES})"), 1), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+
+
+def page_slugs(sitemap: Column, pattern: str, without: str) -> Column:
+    """What `pattern` (with one group) finds in the places of a sitemap that don't hold `without`, each once, in order."""
+    places = F.regexp_extract_all(sitemap, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), 1)
+    kept = F.filter(places, lambda x: ~F.contains(x, F.lit(without)))
+    return F.array_distinct(no_empty(F.transform(kept, lambda x: F.regexp_extract(x, pattern, 1))))
+
+
+def stream_parts(text: Column, field: str) -> Column:
+    """A field of each event of a text of server-sent events; the end mark, other lines and broken events are passed over."""
+    events = F.filter(F.split(text, r"\n\n+"), lambda x: F.startswith(F.btrim(x), F.lit("data:")))
+    bodies = F.transform(events, lambda x: F.btrim(F.substring(F.btrim(x), F.lit(6), F.length(x))))
+    return F.array_compact(F.transform(bodies, lambda x: F.when(x != "[DONE]", F.get_json_object(x, f"$.{field}"))))
+
+
+def answer_field(text: Column, field: str) -> Column:
+    """A field of the JSON object that an answer holds between other words; null if it holds none."""
+    return F.get_json_object(F.regexp_extract(text, r"(?s)(\{.*\})", 1), f"$.{field}")
+
+
+def safe_date(text: Column) -> Column:
+    """A date in one of three forms (2026-01-31, 2026/1/31, 20260131); null for all others."""
+    forms = {r"\d{4}-\d{2}-\d{2}": "yyyy-MM-dd", r"\d{4}/\d{1,2}/\d{1,2}": "yyyy/M/d", r"\d{8}": "yyyyMMdd"}
+    return F.coalesce(*[F.when(F.btrim(text).rlike(f"^{pattern}$"), F.try_to_date(F.btrim(text), form)) for pattern, form in forms.items()])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from evidentia.plans import detail_queries as q
-from evidentia.plans.oracles import ASKED_SUPPLIERS, ASSERTIONS, COMPONENTS, ORACLES, ORDERS, SNAPSHOTS, SUPPLIERS, O, S
+from evidentia.plans.oracles import ASKED_SUPPLIERS, ASSERTIONS, COMPONENTS, JUDGED, ORACLES, ORDERS, SNAPSHOTS, SUPPLIERS, O, S
 
 
 def _text(value: str | None) -> str:
@@ -86,3 +86,20 @@ ORACLES["hybrid_topk"] = f"""WITH {S}, {ASKED_SUPPLIERS}, s AS (SELECT 0 AS side
 v AS (SELECT product_id, ingredient_id * 2 + side AS ingredient_id, weight / sqrt(2 * sum(weight * weight) OVER (PARTITION BY side, product_id)) AS weight FROM s), {_COSINE} SELECT * FROM ranked WHERE rank <= 10"""
 ORACLES["place_correlation"] = f"""WITH {S}, {ASKED_SUPPLIERS}, a AS (WITH v AS ({_ONE}), {_COSINE} SELECT * FROM ranked WHERE rank <= 30), b AS (WITH v AS ({_DECAY}), {_COSINE} SELECT * FROM ranked WHERE rank <= 30)
 SELECT query_id, count(*) AS shared, CASE WHEN count(*) >= 2 AND min(a.rank) < max(a.rank) AND min(b.rank) < max(b.rank) THEN round(corr(a.rank, b.rank), 4) END AS pearson FROM a JOIN b USING (query_id, product_id) GROUP BY query_id"""
+
+_STEPS = ["NOT dropped", "NOT numbered", "placed", "claimed", "priced"]
+_NARROWED = ", ".join(f"n{k + 1} AS (SELECT * FROM (SELECT *, bool_or({step}) OVER (PARTITION BY page_id) AS met FROM (SELECT * EXCLUDE met FROM n{k})) WHERE NOT met OR {step})" for k, step in enumerate(_STEPS))
+ORACLES["multi_key_match"] = f"""WITH i AS (SELECT p_partkey AS product_id, p_partkey % 300 AS g, p_partkey % 7 = 0 AS dropped, p_partkey % 5 = 0 AS numbered, p_size % 2 = 0 AS placed, p_size % 3 = 0 AS claimed, p_retailprice > 1400 AS priced FROM part),
+n0 AS (SELECT p_partkey AS page_id, i.*, true AS met FROM part JOIN i ON g = p_partkey WHERE p_partkey <= 310), {_NARROWED},
+c AS (SELECT page_id, count(*) AS candidates FROM n0 GROUP BY ALL), l AS (SELECT page_id, CASE WHEN count(*) = 1 THEN min(product_id) END AS product_id FROM n5 GROUP BY ALL)
+SELECT p_partkey AS page_id, coalesce(candidates, 0) AS candidates, product_id FROM part LEFT JOIN c ON c.page_id = p_partkey LEFT JOIN l ON l.page_id = p_partkey WHERE p_partkey <= 310"""
+ORACLES["resolve_names"] = r"""WITH q AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN regexp_extract(p_name, '^(\S+)', 1) ELSE regexp_extract(p_name, '(\S+)$', 1) END AS query FROM part UNION ALL VALUES ('nothing like it'), ('The Alias')),
+h AS (SELECT query, p_partkey, CASE WHEN upper(query) = upper(p_name) THEN 1 WHEN starts_with(upper(p_name), upper(query)) THEN 2 ELSE 3 END AS tier, length(p_name) AS size FROM (SELECT DISTINCT query FROM q) JOIN part ON contains(upper(p_name), upper(query))),
+b AS (SELECT query, first(p_partkey ORDER BY tier, CASE WHEN tier > 1 THEN size END, p_partkey) AS found, min(tier) AS tier FROM h GROUP BY ALL)
+SELECT query, CASE WHEN query = 'The Alias' THEN 5 ELSE found END AS ingredient_id, CASE WHEN query = 'The Alias' THEN 'alias' ELSE ['exact', 'prefix', 'part'][tier] END AS via FROM q LEFT JOIN b USING (query)"""
+ORACLES["verdict_agreement"] = f"""WITH {ASSERTIONS}, {S}, {JUDGED}, s AS (SELECT product_id, ingredient_id, string_agg(DISTINCT verdict, ',' ORDER BY verdict) AS v FROM judged WHERE verdict IS NOT NULL GROUP BY ALL)
+SELECT x.product_id AS a, y.product_id AS b, count(*) AS shared, sum((x.v = y.v)::INT)::BIGINT AS equal FROM s x JOIN s y ON y.product_id = x.product_id + 1 AND y.ingredient_id = x.ingredient_id GROUP BY ALL"""
+ORACLES["targets_in_titles"] = """WITH t AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS title FROM part)
+SELECT p_partkey, 'ring' AS target FROM t WHERE regexp_matches(title, 'ring|band') UNION ALL SELECT p_partkey, 'ed' FROM t WHERE contains(title, 'ed') UNION ALL SELECT p_partkey, 'economy' FROM t WHERE contains(title, 'economy')"""
+ORACLES["page_texts"] = """SELECT p_partkey, ['Ab1,Z', '', ''][p_partkey % 3 + 1] AS slugs, ['a,b', 'c', ''][p_partkey % 3 + 1] AS parts, CASE WHEN p_partkey % 3 = 0 THEN 'A' END AS winner,
+  ['2026-01-31', '2026-03-01', '2026-01-02', NULL, NULL, NULL][p_partkey % 6 + 1] AS day, '{"size":' || p_size || ',"brand":"' || p_brand || '"}' AS report FROM part"""

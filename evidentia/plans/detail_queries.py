@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import dose
 from evidentia.functions import text as t
-from evidentia.operators import changes, details, listing, vectors
+from evidentia.operators import changes, details, evidence, listing, resolution, vectors
 from evidentia.plans.queries import asked, query
 from evidentia.sources import domain
 from evidentia.sources.domain import table
@@ -266,3 +266,56 @@ def place_correlation(spark, sf):
     links, queries = domain.links(spark, sf), asked(domain.suppliers(spark, sf))
     near = lambda rows: vectors.cosine_neighbours(rows, queries, 30)
     return vectors.place_correlation(near(vectors.one_hot(links)), near(vectors.rank_decay(links)))
+
+
+SITEMAPS = ["<loc>https://x/dtl/dtl-Ab1.html</loc><loc>https://x/mobile/dtl/dtl-C.html</loc><loc> https://y/dtl/dtl-Ab1.html </loc><loc>https://x/dtl/dtl-Z.html</loc>", "<urlset></urlset>", ""]
+EVENTS = ['data: {"part": "a"}\n\ndata: {"part": "b"}\n\ndata: [DONE]\n\n', 'event: x\n\ndata: {broken\n\ndata: {"part": "c"}', ""]
+ANSWERS = ['I say: {"winner": "A", "score": 3} so.', "none", '{"winner": null}']
+DATES = ["2026-01-31", "2026/3/1", "20260102", "2026-02-30", "soon", None]
+
+
+@query
+def multi_key_match(spark, sf):
+    part, k = table(spark, sf, "part"), F.col("p_partkey")
+    group = (k % 300).cast("string")
+    name = F.concat(F.lit("Skin Líne G"), group, F.when(k % 7 == 0, "（Discontinued）").otherwise(""), F.when(k % 5 == 0, "（G-2）").otherwise(""))
+    items = part.select(k.alias("product_id"), name.alias("name"), (F.col("p_size") % 2 == 0).alias("placed"), (F.col("p_size") % 3 == 0).alias("claimed"), (F.col("p_retailprice") > 1400).alias("priced"))
+    pages = part.where(k <= 310).select(k.alias("page_id"), F.array(t.name_key(F.concat(F.lit("line-g"), k.cast("string")))).alias("keys"))
+    steps = [~F.contains("name", F.lit("Discontinued")), ~F.col("name").rlike(r"（[^）]*-\d+）"), F.col("placed"), F.col("claimed"), F.col("priced")]
+    return resolution.match_by_keys(pages, items, steps, "Skin")
+
+
+@query
+def resolve_names(spark, sf):
+    part = table(spark, sf, "part")
+    first = F.regexp_extract("p_name", r"^(\S+)", 1)
+    queries = part.select(F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, first).otherwise(F.regexp_extract("p_name", r"(\S+)$", 1)).alias("query")).distinct()
+    queries = queries.unionByName(spark.createDataFrame([("nothing like it",), ("The Alias",)], "query string"))
+    aliases = spark.createDataFrame([("the alias", 5)], "alias string, ingredient_id long")
+    return resolution.resolve(queries, part.select(F.col("p_partkey").alias("ingredient_id"), F.col("p_name").alias("name")), aliases)
+
+
+@query
+def verdict_agreement(spark, sf):
+    verdicts = evidence.dose_verdicts(domain.links(spark, sf), domain.assertions(spark, sf))
+    pairs = domain.suppliers(spark, sf).select(F.col("product_id").alias("a"), (F.col("product_id") + 1).alias("b"))
+    return resolution.verdict_agreement(verdicts, pairs)
+
+
+@query
+def targets_in_titles(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    return resolution.targets_in_titles(part, F.concat_ws(" ", "p_name", "p_type"), {"ring": ["Ring", "band"], "ed": ["ED"], "economy": ["economy"]}).select("p_partkey", "target")
+
+
+@query
+def page_texts(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", pick(SITEMAPS).alias("sitemap"), pick(EVENTS).alias("events"), pick(ANSWERS).alias("answer"), pick(DATES).alias("day"), "p_size", "p_brand")
+    return rows.select(
+        "p_partkey",
+        F.array_join(t.page_slugs(F.col("sitemap"), r"/dtl/dtl-([A-Za-z0-9]+)\.html", "/mobile/"), ",").alias("slugs"),
+        F.array_join(t.stream_parts(F.col("events"), "part"), ",").alias("parts"),
+        t.answer_field(F.col("answer"), "winner").alias("winner"),
+        t.safe_date(F.col("day")).cast("string").alias("day"),
+        F.to_json(F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))).alias("report"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from evidentia import storage
 from evidentia.functions import dose
 from evidentia.functions import text as t
-from evidentia.operators import changes, details, evidence, vectors
+from evidentia.operators import changes, details, evidence, resolution, vectors
 from evidentia.sources import files
 
 
@@ -158,3 +158,37 @@ def test_shared_folder_must_be_set_on_a_cluster():
 
     with pytest.raises(ValueError):
         storage.shared_dir(Session)
+
+
+def test_multi_key_match_narrows_until_one_is_left(spark):
+    assert one(spark, resolution.product_keys(F.lit("Brand 紫米精華（H.A. Intensifier）"), "Brand")) == (["紫米精华", "HAINTENSIFIER"],)
+    items = [(1, "Brand A (Discontinued)", True), (2, "Brand A", False), (3, "Brand A", True), (4, "B（A）", False), (5, "C", None), (6, "C", None)]
+    items = spark.createDataFrame(items, "product_id long, name string, placed boolean")
+    pages = spark.createDataFrame([(1, ["A"]), (2, ["C"]), (3, ["none"]), (4, ["B", "A"])], "page_id long, keys array<string>")
+    steps = [~F.col("name").contains("Discontinued"), F.col("placed")]
+    found = resolution.match_by_keys(pages, items, steps, "Brand").collect()
+    assert sorted(map(tuple, found)) == [(1, 4, 3), (2, 2, None), (3, 0, None), (4, 4, 3)]
+
+
+def test_resolving_by_tiers(spark):
+    register = spark.createDataFrame([(1, "Retinol"), (2, "Retinol Ester"), (3, "Hydro Retinol"), (4, "PEG-8"), (5, "PEG-80")], "ingredient_id long, name string")
+    aliases = spark.createDataFrame([("vitamin a", 1)], "alias string, ingredient_id long")
+    queries = spark.createDataFrame([(x,) for x in (" RETINOL", "Vitamin A", "peg", "ro ret", "x y", "", None, "Retinol E")], "query string")
+    found = {r.query: (r.ingredient_id, r.via) for r in resolution.resolve(queries, register, aliases).collect()}
+    assert found == {" RETINOL": (1, "exact"), "Vitamin A": (1, "alias"), "peg": (4, "prefix"), "ro ret": (3, "part"), "x y": (None, None), "": (None, None), None: (None, None), "Retinol E": (2, "prefix")}
+
+
+def test_page_texts(spark):
+    lit = F.lit
+    xml = "<loc>a/p-1.html</loc>\n<loc>m/mobile/p-2.html</loc><loc>b/p-1.html</loc><loc>none</loc>"
+    assert one(spark, t.page_slugs(lit(xml), r"/p-(\d+)\.html", "/mobile/"), t.page_slugs(lit(""), "(x)", "y")) == (["1"], [])
+    assert one(spark, t.stream_parts(lit('data: {"x": "1"}\n\ndata: oops\n\nid: 3\n\ndata: [DONE]'), "x")) == (["1"],)
+    assert one(spark, t.answer_field(lit('so {"a": {"b": 2}} it is'), "a"), t.answer_field(lit("none"), "a")) == ('{"b":2}', None)
+    dates = [t.safe_date(lit(x)).cast("string") for x in ("2026-01-31", "2026/1/5", "20260102", "2026-02-30", "20261", None)]
+    assert one(spark, *dates) == ("2026-01-31", "2026-01-05", "2026-01-02", None, None, None)
+
+
+def test_verdict_agreement(spark):
+    verdicts = spark.createDataFrame([(1, 1, "effective"), (1, 1, "unknown"), (2, 1, "unknown"), (2, 1, "effective"), (1, 2, "effective"), (2, 2, "insufficient"), (2, 3, None)], "product_id long, ingredient_id long, verdict string")
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert resolution.verdict_agreement(verdicts, pairs).collect() == [(1, 2, 2, 1)]
