@@ -36,7 +36,7 @@ class PartCounter:
         batch, size = [], 0
         for part in parts:
             batch.append(part)
-            size += len(part)
+            size += len(part.encode())
             if size >= BATCH_BYTES:
                 self.known.update(zip(batch, map(len, self.encode_batch(batch))))
                 batch, size = [], 0

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 VERSION = b"WARC/1.1"
 CRLF = b"\r\n"
 #: Elements whose text isn't shown, and those that end a line.
-HIDDEN = {"script", "style", "noscript", "template", "head"}
+HIDDEN = {"script", "style", "noscript", "template"}
 BREAKING = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "aside", "pre", "blockquote", "body", "title"}
 
 
@@ -71,29 +73,88 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes] | None:
 
 
 def split_records(data: bytes) -> Iterator[bytes]:
-    """The records of an uncompressed WARC file, each with the two line ends after it."""
+    """The records of an uncompressed WARC file, each with the two line ends after it. A record whose length isn't a number, or is
+    more than there is left, is passed over: reading goes on at the next place that starts like one."""
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(CRLF + CRLF, at)
         if end < 0:
             return
         headers = {name.lower(): value for name, value in _fields(data[at:end])}
-        stop = end + 4 + int(headers.get("content-length") or 0)
+        length = headers.get("content-length", "")
+        stop = end + 4 + int(length) if length.isascii() and length.isdigit() else len(data) + 1
+        if stop > len(data):
+            at += 5
+            continue
         yield data[at:stop] + CRLF + CRLF
         at = stop
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of a file one by one, each unpacked; a broken end gives nothing. Other data is one member as it is."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data[:2] == b"\x1f\x8b":
+        unpack = zlib.decompressobj(31)
+        try:
+            member = unpack.decompress(data) + unpack.flush()
+        except zlib.error:
+            return
+        if not unpack.eof:
+            return
+        yield member
+        data = unpack.unused_data
+
+
+def _unchunked(data: bytes) -> bytes:
+    """A body sent in chunks, joined; what isn't chunked as it should be is left as it is from there on."""
+    parts, at = [], 0
+    while True:
+        end = data.find(CRLF, at)
+        size = data[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,8}", size):
+            return b"".join([*parts, data[at:]])
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(parts)
+        parts.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def body_text(http: list[tuple[str, str]], payload: bytes) -> str:
+    """The text of a response's body: chunks joined, gzip and deflate unpacked, in the charset that its header or its first lines name (UTF-8 otherwise)."""
+    headers = {name.lower(): value for name, value in http}
+    if "chunked" in headers.get("transfer-encoding", "").lower():
+        payload = _unchunked(payload)
+    coding = headers.get("content-encoding", "").strip().lower()
+    for window in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+        try:
+            payload = zlib.decompressobj(window).decompress(payload)
+            break
+        except zlib.error:
+            continue
+    named = re.search(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", headers.get("content-type", "")) or re.search(rb"(?i)<meta[^>]{0,200}charset\s*=\s*[\"']?([\w.:-]+)", payload[:2048])
+    charset = named[1] if named else "utf-8"
+    try:
+        return payload.decode(charset if isinstance(charset, str) else charset.decode("ascii", "replace"), "replace")
+    except (LookupError, UnicodeError, ValueError):
+        return payload.decode("utf-8", "replace")
+
+
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.text: list[str] = []
         self.title: list[str] = []
         self.links: list[str] = []
-        self.hidden, self.in_title, self.kept = 0, False, 0
+        self.hidden, self.in_head, self.in_title, self.kept = 0, False, False, 0
 
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN:
             self.hidden += 1
+        # whatever shows text ends a head that isn't closed
+        self.in_head = tag == "head" or (self.in_head and (tag == "title" or tag not in BREAKING))
         if tag == "body":
             self.hidden = 0
         if tag == "pre":
@@ -108,6 +169,8 @@ class _Page(HTMLParser):
             self.hidden = max(0, self.hidden - 1)
         if tag == "title":
             self.in_title = False
+        if tag == "head":
+            self.in_head = False
         if tag == "pre":
             self.kept = max(0, self.kept - 1)
         if tag in BREAKING:
@@ -116,7 +179,7 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-        if not self.hidden:
+        if not self.hidden and not self.in_head:
             self.text.append(data if self.kept else data.replace("\r", " ").replace("\n", " "))
 
 
@@ -152,7 +215,7 @@ def derivatives(record: bytes) -> list[dict]:
     head, _, payload = block.partition(CRLF + CRLF)
     status, _, rest = head.partition(CRLF)
     http = _fields(rest)
-    text, title, links = read_page(payload.decode("utf-8", "replace"))
+    text, title, links = read_page(body_text(http, payload))
     source, source_digest = headers.get("warc-record-id", ""), headers.get("warc-payload-digest") or digest(payload)
     fields = [("source-status", status.decode("utf-8", "replace")), *[(f"source-header-{k.lower()}", v) for k, v in http], ("source-payload-digest", source_digest), ("title", title), *[("outlink", x) for x in links]]
     meta_block = CRLF.join(f"{k}: {' '.join(v.splitlines())}".encode() for k, v in fields) + CRLF
@@ -176,7 +239,7 @@ def derivatives(record: bytes) -> list[dict]:
 
 
 def page_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """page_id and a response record of every page (page_id, url, html)."""
+    """page_id and a response record of every page (page_id, url, html): a stand-in for a capture, so its status, headers and date are made up; read_warc gives real ones."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     schema = T.StructType([rows.schema["page_id"], T.StructField("record", T.BinaryType())])
 
@@ -189,13 +252,15 @@ def page_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Data
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id (null) and record of uncompressed WARC files."""
+    """page_id (null) and record of WARC files, plain or packed (a gzip member for each record, as is usual, or for several). A file
+    comes to its task as one value, so it must be under 2 GB; its records leave one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                for record in split_records(data.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([record], pa.binary())], names=["page_id", "record"])
+                for member in members(data.as_py()):
+                    for record in split_records(member):
+                        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([record], pa.binary())], names=["page_id", "record"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id long, record binary")
 

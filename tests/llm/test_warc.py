@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import base64
 from collections import Counter
@@ -60,3 +61,42 @@ def test_unreadable_records(spark):
 
 def test_empty_table(spark):
     assert warc.derive(warc.page_responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def response(head, body):
+    block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body
+    return warc.build([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Date", "2024-01-01T00:00:00Z")], block)
+
+
+def texts_of(record):
+    meta, conversion = warc.derivatives(record)
+    return warc.parse(conversion["record"])[1].decode(), warc.parse(meta["record"])[1].decode()
+
+
+def test_bodies_are_decoded_as_their_headers_say():
+    page = "<title>Café</title><body>naïve<a href='/x'>y</a><a href='/x'>z</a>"
+    assert texts_of(response(b"Content-Type: text/html; charset=ISO-8859-1", page.encode("latin-1")))[0] == "Café\nnaïveyz"
+    assert texts_of(response(b"Content-Type: text/html", b"<meta charset='windows-1251'><p>" + "привет".encode("cp1251")))[0] == "привет"
+    assert texts_of(response(b"Content-Type: text/html; charset=no-such", "<p>é".encode()))[0] == "é"
+    chunked = b"4\r\n<p>h\r\n2;a=b\r\ni \r\n5\r\nthere\r\n0\r\n\r\n"
+    assert texts_of(response(b"Transfer-Encoding: chunked", chunked))[0] == "hi there"
+    assert texts_of(response(b"Transfer-Encoding: chunked", b"no chunks"))[0] == "no chunks"
+    assert texts_of(response(b"Content-Encoding: gzip", gzip.compress(b"<p>packed")))[0] == "packed"
+    assert texts_of(response(b"Content-Encoding: gzip", b"<p>not packed"))[0] == "not packed"
+
+
+def test_heads_that_are_not_closed_titles_and_links():
+    text, meta = texts_of(response(b"X: y", b"<html><head><title>A  b</title><p>shown<a href='/l'>l</a><img src='/i'><a href='/l'>m</a>" + b"<p>long" * 20_000))
+    assert text.startswith("shownlm\nlong") and text.count("long") == 20_000
+    assert "title: A b\r\noutlink: /l\r\noutlink: /i\r\n" in meta and "source-header-x: y" in meta
+
+
+def test_packed_files_and_bad_lengths(spark, tmp_path):
+    records = [response(b"X: y", b"<p>%d" % k) for k in range(5)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    assert Counter(bytes(r.record) for r in warc.read_warc(spark, f"file://{tmp_path}/a.warc.gz").collect()) == Counter(records)
+    bad = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: x\r\n\r\n" + records[0] + b"WARC/1.0\r\nContent-Length: 9999\r\n\r\nshort"
+    (tmp_path / "b.warc").write_bytes(bad)
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(records[1]) + gzip.compress(records[2])[:-9])
+    assert [bytes(r.record) for r in warc.read_warc(spark, f"file://{tmp_path}/b.warc").collect()] == [records[0]]
+    assert [bytes(r.record) for r in warc.read_warc(spark, f"file://{tmp_path}/c.warc.gz").collect()] == [records[1]]
