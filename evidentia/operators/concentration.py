@@ -55,7 +55,9 @@ class Listed:
             raise Contradiction("the floor leaves no room")
         if (caps[other] < floor).any():
             raise Contradiction("a component is capped below the floor")
-        if np.minimum(caps, np.where(self.trace, TRACE_LINE, 100.0)).sum() < 100:
+        # in a falling list no component exceeds the cap of one before it, so the least cap so far holds for all that follow
+        most = np.minimum.accumulate(np.where(wet, np.minimum(caps, high), np.minimum(caps, 100.0))[main])
+        if most.sum() + np.minimum(caps[self.trace], TRACE_LINE).sum() < 100:
             raise Contradiction("caps add up to less than 100")
 
 
