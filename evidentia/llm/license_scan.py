@@ -6,7 +6,7 @@ bridges inserted and missing words; and a span counts if it covers enough of its
 by single words, so of verified spans that overlap only those with the most hashes stay. The base phrases are templates too: a
 phrase stands where its diagonal has all its hashes. Hashes that match are confirmed by their words.
 
-The templates are constants of this module, a few hundred rows at any size of input, so they are broadcast; texts aren't
+The templates are given with the call (by default those of this module, some hundred words) and counted before they are broadcast; texts aren't
 shuffled, only hits and a row of each text are, by row.
 
 Rows: one per input row. Null or empty text: 0 words, no places, empty labels, score 0. Repeated rows are scanned each.
@@ -40,25 +40,44 @@ NOTICES = [
     ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("all rights reserved", "all-rights-reserved"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mpl-2"),
+    ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "epl-2"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "unlicense"),
+    ("spdx license identifier mit", "mit"),
+    ("spdx license identifier apache 2 0", "apache-2"),
+    ("spdx license identifier gpl 3 0", "gpl-3"),
+    ("spdx license identifier bsd 3 clause", "bsd"),
+    ("spdx license identifier mpl 2 0", "mpl-2"),
+    ("spdx license identifier isc", "isc"),
 ]
+#: Words of all templates together, at most: they are broadcast.
+MOST_TEMPLATE_WORDS = 200_000
 GRAM = 3
 MAX_SHIFT = 2
 LEAST_COVER = 0.6
 MOST_STRETCH = 1.5
 
 
-def _template_rows() -> list[tuple]:
+def _template_rows(phrases: list[tuple[str, str]], notices: list[tuple[str, str]]) -> list[tuple]:
     rows = []
-    for k, (phrase, label) in enumerate([*PHRASES, *NOTICES]):
+    for k, (phrase, label) in enumerate([*phrases, *notices]):
         words = re.split(" ", phrase)
         for at in range(len(words) - GRAM + 1):
-            rows.append((k, k < len(PHRASES), label, len(words), len(words) - GRAM + 1, at, " ".join(words[at : at + GRAM])))
+            rows.append((k, k < len(phrases), label, len(words), len(words) - GRAM + 1, at, " ".join(words[at : at + GRAM])))
+    if len(rows) > MOST_TEMPLATE_WORDS:
+        raise ValueError(f"the templates have {len(rows)} words; at most {MOST_TEMPLATE_WORDS} are broadcast")
     return rows
 
 
-def templates(spark) -> DataFrame:
+def templates(spark, phrases: list[tuple[str, str]] = PHRASES, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     schema = "template int, base boolean, label string, t_words int, t_grams int, t_at int, t_gram string"
-    return spark.createDataFrame(_template_rows(), schema).withColumn("t_hash", F.xxhash64("t_gram"))
+    return spark.createDataFrame(_template_rows(phrases, notices), schema).withColumn("t_hash", F.xxhash64("t_gram"))
 
 
 def license_words(text: Column) -> Column:
@@ -66,7 +85,7 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), f"[{SEPARATORS}]+"), "")
 
 
-def _hits(docs: DataFrame) -> DataFrame:
+def _hits(docs: DataFrame, phrases: list[tuple[str, str]], notices: list[tuple[str, str]]) -> DataFrame:
     """A row of each text (at = -1) and a row of each hash that is in a template."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", license_words(text_or_empty()).alias("words"))
     n, words = F.size("words"), F.col("words")
@@ -79,15 +98,18 @@ def _hits(docs: DataFrame) -> DataFrame:
     each = F.concat(F.array(row(F.lit(-1), F.lit(None))).cast("array<struct<at:int,gram:string>>"), grams)
     found = rows.select("rid", "doc_id", n.cast("long").alias("n_words"), F.explode(each).alias("g"))
     found = found.select("rid", "doc_id", "n_words", F.col("g.at").alias("at"), F.col("g.gram").alias("gram"))
-    known = F.broadcast(templates(docs.sparkSession))
+    known = F.broadcast(templates(docs.sparkSession, phrases, notices))
     joined = found.join(known, (F.xxhash64(F.col("gram")) == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")), "left")
     return joined.where("at < 0 or template is not null")
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
+def license_scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row.
+
+    phrases, notices: (text of lower-case words with single spaces, label); whole license texts can be given, too.
+    """
     diagonals = (
-        _hits(docs)
+        _hits(docs, phrases, notices)
         .groupBy("rid", "doc_id", "n_words", "template", "base", "label", "t_words", "t_grams", (F.col("at") - F.col("t_at")).alias("diagonal"))
         .agg(F.sort_array(F.collect_list("t_at")).alias("covers"))
     )

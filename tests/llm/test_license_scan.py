@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 from evidentia.llm import license_scan
 from evidentia.llm.registry import ORACLES
 
@@ -93,3 +95,13 @@ def test_empty_table(no_docs):
 
 def test_oracle_is_registered():
     assert "op10_license_scan" in ORACLES
+
+
+def test_own_templates_and_identifiers(spark):
+    texts = [(1, "SPDX-License-Identifier: MPL-2.0"), (2, "SPDX-License-Identifier: unknown"), (3, "the house rules of this site hold for all its visitors at all times"), (4, "The house rules of this very site hold for all visitors")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_scan.license_scan(docs).collect()} == {1: "mpl-2", 2: "", 3: "", 4: ""}
+    own = [("the house rules of this site hold for all its visitors", "house")]
+    assert {r.doc_id: r.labels for r in license_scan.license_scan(docs.where("doc_id = 3"), [], own).collect()} == {3: "house"}
+    with pytest.raises(ValueError):
+        license_scan.license_scan(docs, [], [("a " * license_scan.MOST_TEMPLATE_WORDS + "b c d", "x")])
