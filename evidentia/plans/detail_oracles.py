@@ -103,3 +103,6 @@ ORACLES["targets_in_titles"] = """WITH t AS (SELECT p_partkey, lower(p_name || '
 SELECT p_partkey, 'ring' AS target FROM t WHERE regexp_matches(title, 'ring|band') UNION ALL SELECT p_partkey, 'ed' FROM t WHERE contains(title, 'ed') UNION ALL SELECT p_partkey, 'economy' FROM t WHERE contains(title, 'economy')"""
 ORACLES["page_texts"] = """SELECT p_partkey, ['Ab1,Z', '', ''][p_partkey % 3 + 1] AS slugs, ['a,b', 'c', ''][p_partkey % 3 + 1] AS parts, CASE WHEN p_partkey % 3 = 0 THEN 'A' END AS winner,
   ['2026-01-31', '2026-03-01', '2026-01-02', NULL, NULL, NULL][p_partkey % 6 + 1] AS day, '{"size":' || p_size || ',"brand":"' || p_brand || '"}' AS report FROM part"""
+ORACLES["load_market"] = f"""WITH {SNAPSHOTS} SELECT product_id, date::VARCHAR AS day, price FROM snapshots WHERE snapshot_id % 3 <> 0 AND snapshot_id % 5 <> 0
+QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY date DESC, price, 'u' || snapshot_id) = 1"""
+ORACLES["load_registry"] = "SELECT 'n' || l_orderkey AS nmpa_id, count(DISTINCT l_partkey) AS n, min('c' || l_partkey) AS first_name FROM lineitem GROUP BY l_orderkey"

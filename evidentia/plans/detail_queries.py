@@ -9,7 +9,7 @@ from evidentia.functions import dose
 from evidentia.functions import text as t
 from evidentia.operators import changes, details, evidence, listing, resolution, vectors
 from evidentia.plans.queries import asked, query
-from evidentia.sources import domain
+from evidentia.sources import domain, loaders
 from evidentia.sources.domain import table
 
 #: Texts that stand for what names, cells and notes look like; a part has one of each by its key.
@@ -319,3 +319,37 @@ def page_texts(spark, sf):
         t.safe_date(F.col("day")).cast("string").alias("day"),
         F.to_json(F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))).alias("report"),
     )
+
+
+def _documents(rows, key: str, body: Column):
+    return rows.select(F.concat(F.lit("doc-"), F.col(key).cast("string")).alias("path"), F.to_json(body).alias("value"))
+
+
+@query
+def load_market(spark, sf):
+    """Every price event as a page of its own document, each document read twice."""
+    events = domain.snapshots(spark, sf)
+    page = F.struct(
+        F.concat(F.lit("u"), F.col("snapshot_id").cast("string")).alias("url"),
+        F.col("price"),
+        F.col("source").alias("channel"),
+        F.col("date").cast("string").alias("date"),
+        (F.col("snapshot_id") % 5 == 0).alias("expired"),
+        F.when(F.col("snapshot_id") % 3 == 0, "low").otherwise("high").alias("match_confidence"),
+    )
+    documents = _documents(events, "snapshot_id", F.struct("product_id", F.array(page).alias("pages")))
+    none = loaders.rows_of(documents.limit(0), "market").drop("path")
+    once = loaders.load(none, documents.unionByName(documents), "market")
+    return loaders.latest_prices(loaders.load(once, documents, "market")).withColumn("day", F.col("day").cast("string"))
+
+
+@query
+def load_registry(spark, sf):
+    """Every order line as a component of a document of its order's line."""
+    line = table(spark, sf, "lineitem")
+    component = F.struct(F.concat(F.lit(" c"), F.col("l_partkey").cast("string")).alias("name"), F.col("l_returnflag").alias("safety_risk"), (F.col("l_quantity") > 25).alias("is_active"), F.col("l_linestatus").alias("purpose"))
+    body = F.struct(F.concat(F.lit("n"), F.col("l_orderkey").cast("string")).alias("nmpa_id"), F.lit("x").alias("name"), F.array(component).alias("ingredients"))
+    documents = _documents(line, "l_linenumber", body).unionByName(spark.createDataFrame([("bad", "{not json"), ("empty", "{}")], "path string, value string"))
+    none = loaders.rows_of(documents.limit(0), "registry_components").drop("path")
+    loaded = loaders.load(none, documents, "registry_components")
+    return loaded.groupBy("nmpa_id").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
