@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.llm import license_scan, quality_rules
+from evidentia.llm import importance, license_scan, quality_rules
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,4 +113,39 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES = {"op4_exact_dedup": EXACT_DEDUP, "op6_quality_rules": QUALITY_RULES, "op10_license_scan": LICENSE_SCAN}
+_B = importance.BUCKETS
+#: CRCs of distinct words, byte by byte from hexadecimal digits, by the table of the polynomial.
+IMPORTANCE = rf"""
+WITH tbl AS (
+  SELECT list(list_reduce(list_concat([i::BIGINT], range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor({importance.POLYNOMIAL}::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS _(i)
+), d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents
+), b AS (
+  SELECT list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark
+), dw AS (SELECT doc_id, unnest(words) AS w FROM d
+), bw AS (SELECT unnest(words) AS w FROM b
+), word AS (
+  SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)
+), crc AS (
+  SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(h), 2), lambda i: (instr('0123456789ABCDEF', h[i]) - 1) * 16 + instr('0123456789ABCDEF', h[i + 1]) - 1)),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) % {_B} AS bucket FROM word, tbl
+), s AS (SELECT bucket, count(*) AS s FROM dw JOIN crc USING (w) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS t FROM bw JOIN crc USING (w) GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT sum(s) FROM s)::DOUBLE + {_B}) / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + {_B}))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)
+), w AS (
+  SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN crc USING (w) JOIN gain USING (bucket) GROUP BY doc_id
+), u AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (list_reduce(list_concat([0::BIGINT], list_transform(range(1, 9), lambda i: instr('0123456789abcdef', sha256('{importance.SEED}:' || doc_id)[i]) - 1)), lambda a, x: a * 16 + x) + 0.5::DOUBLE) / 4294967296 AS u
+  FROM d LEFT JOIN w USING (doc_id)
+), scored AS (
+  SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln(u)))::BIGINT AS score FROM u
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= {importance.LEAST_WORDS}
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= n * {importance.PERCENT} // 100 THEN r END::BIGINT AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+ORACLES = {"op4_exact_dedup": EXACT_DEDUP, "op6_quality_rules": QUALITY_RULES, "op10_license_scan": LICENSE_SCAN, "op11_importance_resampling": IMPORTANCE}

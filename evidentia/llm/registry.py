@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import bpe_tree, exact_dedup, license_scan, lm_scoring, oracles, packing, quality_rules, simhash, token_counts, toxicity, warc
+from evidentia.llm import bpe_tree, exact_dedup, importance, license_scan, lm_scoring, oracles, packing, quality_rules, simhash, token_counts, toxicity, warc
 from evidentia.llm.common import documents
 
 
@@ -59,6 +59,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
@@ -70,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_license_scan": op10_license_scan,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
