@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.llm import importance, license_scan, quality_rules
+from evidentia.llm import hard_negatives, importance, license_scan, quality_rules
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -148,4 +148,27 @@ WITH tbl AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= n * {importance.PERCENT} // 100 THEN r END::BIGINT AS rank FROM scored LEFT JOIN ranked USING (doc_id)
 """
 
-ORACLES = {"op4_exact_dedup": EXACT_DEDUP, "op6_quality_rules": QUALITY_RULES, "op10_license_scan": LICENSE_SCAN, "op11_importance_resampling": IMPORTANCE}
+_H = hard_negatives
+HARD_NEGATIVES = f"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % {_H.RELABEL_EVERY} = 0 THEN (label + 1) % {_H.LABELS} ELSE label END AS label, list_transform(embedding, lambda x: floor({_H.SCALE} * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_dot_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % {_H.ANCHOR_EVERY} = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {_H.POSITIVES}
+), n AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE label <> own AND {_H.LOW} * positive_score <= 100 * score AND 100 * score <= {_H.HIGH} * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {_H.NEGATIVES}
+"""
+
+ORACLES = {
+    "op4_exact_dedup": EXACT_DEDUP,
+    "op6_quality_rules": QUALITY_RULES,
+    "op10_license_scan": LICENSE_SCAN,
+    "op11_importance_resampling": IMPORTANCE,
+    "op13_hard_negatives": HARD_NEGATIVES,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import bpe_tree, exact_dedup, importance, license_scan, lm_scoring, oracles, packing, quality_rules, simhash, token_counts, toxicity, warc
+from evidentia.llm import bpe_tree, exact_dedup, hard_negatives, importance, license_scan, lm_scoring, oracles, packing, personal_data, quality_rules, simhash, token_counts, toxicity, warc
 from evidentia.llm.common import documents
 
 
@@ -63,6 +63,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.labelled_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
@@ -75,5 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_license_scan": op10_license_scan,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_personal_data": op12_personal_data,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
