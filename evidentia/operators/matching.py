@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from evidentia.functions.text import collapse
@@ -61,11 +67,69 @@ def majority(rows: DataFrame, key: str, value: str) -> DataFrame:
     return first.where("n = 1").drop("n")
 
 
-def phrases_in_texts(texts: DataFrame, phrases: DataFrame, width: int = 12, by_words: bool = False) -> DataFrame:
+#: Characters of all different phrases together, up to which every task gets an automaton of them (some 50 bytes a character); more phrases meet by hashes.
+MOST_PHRASE_CHARS = 2_000_000
+_AUTOMATON: dict[str, object] = {}
+#: What parts words, as in the expressions of the other way.
+SPACES = r"[ \t\n\x0b\f\r]+"
+
+
+def phrases_in_texts(texts: DataFrame, phrases: DataFrame, width: int = 12, by_words: bool = False, most_chars: int = MOST_PHRASE_CHARS) -> DataFrame:
     """text_id, phrase_id of every phrase that stands in a text; texts: text_id, text; phrases: phrase_id, phrase.
 
-    A phrase stands in a text as a run of characters, or (by_words) of whole words, whatever white space parts them. Both sides meet
-    by hashes of their first `width` units, so no text is compared with phrases that don't begin in it; shorter phrases meet
+    A phrase stands in a text as a run of characters, or (by_words) of whole words, whatever white space parts them. Where all
+    different phrases have at most most_chars characters, an automaton of them (a trie with failure links) goes to the tasks, which read each text once and shuffle nothing;
+    beyond that, phrases and texts meet by hashes of their beginnings. Empty phrases stand nowhere.
+    """
+    phrase = F.coalesce(F.col("phrase"), F.lit(""))
+    if by_words:
+        phrase = F.array_join(F.filter(F.split(phrase, r"\s+"), lambda x: x != ""), " ")
+    asked = phrases.select("phrase_id", phrase.alias("phrase")).where("phrase <> ''")
+    different = asked.select("phrase").distinct()
+    if (different.agg(F.sum(F.length("phrase"))).first()[0] or 0) > most_chars:
+        return _phrases_by_hashes(texts, phrases, width, by_words)
+    listed = [r["phrase"] for r in different.collect()]  # at most most_chars characters
+    numbered = texts.sparkSession.createDataFrame(list(enumerate(listed)), "number long, phrase string")
+    found = texts.select("text_id", F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([texts.schema["text_id"], T.StructField("number", T.LongType())])
+    met = found.mapInArrow(_scan(texts.sparkSession.sparkContext.broadcast(listed), by_words), schema)
+    return met.join(F.broadcast(numbered), "number").join(asked, "phrase").select("text_id", "phrase_id").distinct()
+
+
+def _automaton(name: str, phrases: list[str]):
+    """The automaton of phrases, which are numbered in order; a Python worker keeps the last one."""
+    import ahocorasick
+
+    if name not in _AUTOMATON:
+        built = ahocorasick.Automaton()
+        for number, phrase in enumerate(phrases):
+            built.add_word(phrase, number)
+        built.make_automaton()
+        _AUTOMATON.clear()
+        _AUTOMATON[name] = built
+    return _AUTOMATON[name]
+
+
+def _scan(phrases, by_words: bool):
+    """Pairs of a text and the number of a phrase in it; words are parted by one space, and spaces stand at both ends."""
+    name = uuid.uuid4().hex
+    spaced = lambda text: f" {' '.join(filter(None, re.split(SPACES, text)))} " if by_words else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(name, [spaced(x) for x in phrases.value])
+        for batch in batches:
+            rows, numbers = [], []
+            for row, text in enumerate(batch.column(1).to_pylist() if len(automaton) else []):
+                own = {number for _, number in automaton.iter(spaced(text))}
+                rows += [row] * len(own)
+                numbers += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int64())], names=["text_id", "number"])
+
+    return run
+
+
+def _phrases_by_hashes(texts: DataFrame, phrases: DataFrame, width: int, by_words: bool) -> DataFrame:
+    """Both sides meet by hashes of their first `width` units, so no text is compared with phrases that don't begin in it; shorter phrases meet
     by all of their units. Only ids, places and hashes are shuffled; what meets is confirmed on the text itself.
     """
     held = lambda text: F.coalesce(text, F.lit(""))

@@ -158,15 +158,18 @@ def test_votes_and_gaps(spark):
     assert [tuple(r) for r in matching.id_gaps(numbers, "k", "n").collect()] == [("a", 3, 4, 2)]
 
 
-def test_phrases(spark):
+@pytest.mark.parametrize("most_chars", [matching.MOST_PHRASE_CHARS, 0])
+def test_phrases(spark, most_chars):
+    found = lambda *x, **y: {tuple(r) for r in matching.phrases_in_texts(*x, **y, most_chars=most_chars).collect()}
     texts = spark.createDataFrame([(1, "one two  three four"), (2, "two three"), (3, None), (4, "xone two three")], "text_id long, text string")
-    phrases = spark.createDataFrame([(1, "two three"), (2, "one two three four"), (3, ""), (4, "four"), (5, "three four five")], "phrase_id long, phrase string")
-    assert {tuple(r) for r in matching.phrases_in_texts(texts, phrases, 3, by_words=True).collect()} == {(1, 1), (1, 2), (1, 4), (2, 1), (4, 1)}
+    phrases = spark.createDataFrame([(1, "two three"), (2, "one two three four"), (3, ""), (4, "four"), (5, "three four five"), (6, None)], "phrase_id long, phrase string")
+    assert found(texts, phrases, 3, by_words=True) == {(1, 1), (1, 2), (1, 4), (2, 1), (4, 1)}
     want = {(1, 4), (2, 1), (4, 1)}
-    assert {tuple(r) for r in matching.phrases_in_texts(texts, phrases).collect()} == want
-    chinese = spark.createDataFrame([(1, "含烟酰胺和维生素C吗"), (2, "水")], "text_id long, text string")
-    names = spark.createDataFrame([(1, "烟酰胺"), (2, "维生素C"), (3, "水"), (4, "维生素E")], "phrase_id long, phrase string")
-    assert {tuple(r) for r in matching.phrases_in_texts(chinese, names, 2).collect()} == {(1, 1), (1, 2), (2, 3)}
+    assert found(texts, phrases) == want
+    chinese = spark.createDataFrame([(1, "含烟酰胺和维生素C吗"), (2, "水"), (2, "水")], "text_id long, text string")
+    names = spark.createDataFrame([(1, "烟酰胺"), (2, "维生素C"), (3, "水"), (4, "维生素E"), (5, "水"), (6, "胺和")], "phrase_id long, phrase string")
+    assert found(chinese, names, 2) == {(1, 1), (1, 2), (1, 6), (2, 3), (2, 5)}
+    assert found(chinese, names.where("phrase_id > 9"), 2) == found(chinese.where("text_id > 9"), names, 2) == set()
 
 
 def test_pack(spark):
