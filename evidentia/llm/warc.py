@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 
 VERSION = b"WARC/1.1"
 CRLF = b"\r\n"
+#: Bytes of a packed file that are unpacked at once.
+SLICE = 1 << 14
 #: Elements whose text isn't shown, and those that end a line.
 HIDDEN = {"script", "style", "noscript", "template"}
 BREAKING = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "aside", "pre", "blockquote", "body", "title"}
@@ -91,20 +93,26 @@ def split_records(data: bytes) -> Iterator[bytes]:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file one by one, each unpacked; a broken end gives nothing. Other data is one member as it is."""
+    """The gzip members of a file one by one, each unpacked; a broken end gives nothing. Other data is one member as it is.
+
+    A member is fed SLICE bytes at a time from its place in the file, so the rest of the file is never copied.
+    """
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data[:2] == b"\x1f\x8b":
-        unpack = zlib.decompressobj(31)
+    view, at = memoryview(data), 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        unpack, parts, fed = zlib.decompressobj(31), [], at
         try:
-            member = unpack.decompress(data) + unpack.flush()
+            while not unpack.eof and fed < len(data):
+                parts.append(unpack.decompress(view[fed : fed + SLICE]))
+                fed = min(fed + SLICE, len(data))
         except zlib.error:
             return
         if not unpack.eof:
             return
-        yield member
-        data = unpack.unused_data
+        yield b"".join(parts)
+        at = fed - len(unpack.unused_data)
 
 
 def _unchunked(data: bytes) -> bytes:

@@ -100,3 +100,16 @@ def test_packed_files_and_bad_lengths(spark, tmp_path):
     (tmp_path / "c.warc.gz").write_bytes(gzip.compress(records[1]) + gzip.compress(records[2])[:-9])
     assert [bytes(r.record) for r in warc.read_warc(spark, f"file://{tmp_path}/b.warc").collect()] == [records[0]]
     assert [bytes(r.record) for r in warc.read_warc(spark, f"file://{tmp_path}/c.warc.gz").collect()] == [records[1]]
+
+
+def test_members_take_linear_time():
+    """Ten thousand small members: the rest of the file isn't copied for each."""
+    import os
+    import time
+
+    body = gzip.compress(os.urandom(2800))
+    began = time.process_time()
+    assert sum(1 for _ in warc.members(body * 10_000)) == 10_000
+    assert time.process_time() - began < 3
+    large = os.urandom(3 * warc.SLICE)
+    assert list(warc.members(gzip.compress(large) + gzip.compress(b"") + gzip.compress(b"x") + b"rest")) == [large, b"", b"x"]
