@@ -19,7 +19,7 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 
 
 def _measures_sql() -> str:
-    return " UNION ALL ".join(f"SELECT doc_id, lang, source, {k} AS measure, {formula.replace(' div ', ' // ')} AS value FROM c WHERE n_words > 0" for k, (formula, *_) in enumerate(quality_rules.MEASURES.values()))
+    return " UNION ALL ".join(f"SELECT doc_id, lang, source, {k} AS measure, {formula.replace(' div ', ' // ')} AS value FROM c WHERE NOT base_failed" for k, (formula, *_) in enumerate(quality_rules.MEASURES.values()))
 
 
 def _fence_rows() -> str:
@@ -37,8 +37,8 @@ WITH t AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i : i + 4], ' ')) AS n FROM p
 ), r AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM w, range(5) AS _(k) WHERE n > 1 GROUP BY doc_id
-), c AS (
-  SELECT doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+), c AS MATERIALIZED (
+  SELECT doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(words) < {quality_rules.MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {quality_rules.MAX_REPEAT_PERCENT} * len(words) AS base_failed,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     length(regexp_replace(text, '[^!-/:-@\\[-`{{-~]', '', 'g')) AS n_punct,
     len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
@@ -50,23 +50,26 @@ WITH t AS (
   SELECT level, CASE WHEN level < 2 THEN lang ELSE '' END AS of_lang, CASE WHEN level < 1 THEN source ELSE '' END AS of_source, measure, edge FROM e, range(3) AS _(level)
 ), o AS (
   SELECT *, row_number() OVER (PARTITION BY level, of_lang, of_source, measure ORDER BY edge) AS rn, count(*) OVER (PARTITION BY level, of_lang, of_source, measure) AS total FROM l
-), q AS (
+), q AS MATERIALIZED (
   SELECT level, of_lang, of_source, measure, max(edge) FILTER (rn = (total + 3) // 4) AS q1, max(edge) FILTER (rn = (3 * total + 3) // 4) AS q3
   FROM o WHERE total >= {quality_rules.MIN_GROUP} GROUP BY ALL
 ), a AS (
   SELECT lang, source, min(level) AS level FROM (SELECT DISTINCT lang, source FROM c), (SELECT DISTINCT level, of_lang, of_source FROM q)
   WHERE (level = 2 OR lang = of_lang) AND (level > 0 OR source = of_source) GROUP BY ALL
+), b AS (SELECT *, lag(edge) OVER (PARTITION BY level, of_lang, of_source, measure ORDER BY edge) AS before FROM (SELECT DISTINCT level, of_lang, of_source, measure, edge FROM l)
+), v AS (SELECT * FROM (VALUES {_fence_rows()}) AS v(measure, width, slack, both_sides)
+), s AS (
+  SELECT level, of_lang, of_source, measure, first((edge + before) // 2 ORDER BY edge) AS middle FROM b JOIN q USING (level, of_lang, of_source, measure) JOIN v USING (measure) WHERE edge > q3 + slack AND 2 * edge > 3 * before GROUP BY ALL
 ), f AS (
-  SELECT lang, source, measure, q1 - width * (q3 - q1) - slack AS low, q3 + width * (q3 - q1) + slack AS high, both_sides
-  FROM a JOIN q ON a.level = q.level AND (a.level = 2 OR lang = of_lang) AND (a.level > 0 OR source = of_source) JOIN (VALUES {_fence_rows()}) AS v(measure, width, slack, both_sides) USING (measure)
+  SELECT lang, source, measure, q1 - width * (q3 - q1) - slack AS low, CASE WHEN q3 > q1 THEN q3 + width * (q3 - q1) + slack ELSE coalesce(middle, {quality_rules.NO_FENCE}) END AS high, both_sides
+  FROM a JOIN q ON a.level = q.level AND (a.level = 2 OR lang = of_lang) AND (a.level > 0 OR source = of_source) JOIN v USING (measure)
+  LEFT JOIN s ON s.level = q.level AND s.of_lang = q.of_lang AND s.of_source = q.of_source AND s.measure = q.measure
 ), bad AS (
   SELECT DISTINCT doc_id FROM m JOIN f USING (lang, source, measure) WHERE value > high OR (both_sides AND value < low)
-), b AS (
-  SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
-FROM b
+FROM c
 """
 
 

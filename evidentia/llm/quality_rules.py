@@ -2,14 +2,17 @@
 
 Each text is measured once. For each language and source, each measure gets a mergeable quantile sketch: counts of
 log-linear buckets (exact below 64, then 64 to an octave), so merging is adding and the result doesn't depend on
-the order of rows or tasks. Fences beyond the sketch's quartiles replace fixed cutoffs; the measured rows are then
+the order of rows or tasks; texts that fail the base aren't in it. Fences replace fixed cutoffs. Where a group's quartiles differ, they lie some quartile distances beyond
+them. Where they are equal (most texts have no symbol and no copied line), the upper fence stands in the middle of the first empty stretch of the group's own sketch: from
+the quartile up, the next occupied bucket still belongs to the body if it is within the measure's slack or at most half as large again as the one before, and the first that isn't
+begins another mode; without such a stretch there is no fence. The measured rows are then
 joined with the fences of their language and source and filtered. A group under MIN_GROUP rows has too few for quartiles: it gets
 the fences of its language's merged sketch, and where that is too small, too, those of the whole table's; a table under MIN_GROUP
 rows has none. Rows aren't shuffled for that, only sketches are, unless there are very many groups.
 
 Rows: one per input row. Null text has no words, and fails as all texts of few words do. Null language or source is a
 group value of its own, shared with the empty string. Nothing is compared between rows but sketches, so ties and repeated rows
-need no rule. Other columns are kept by `filter_quality` and ignored by `quality`. Empty tables give empty results.
+need no rule. Very long texts are measured whole, as arrays of their words. Other columns are kept by `filter_quality` and ignored by `quality`. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ from evidentia.storage import materialize
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 10, 20, 5
 MIN_GROUP = 50
+#: Where a group has no fence.
+NO_FENCE = 1 << 62
 #: Languages and sources whose fences are broadcast (about 150 bytes each); more of them are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
-#: Measures as integers: expression over the counts, the fences' width in quartile distances, and the least slack. Where quartiles are
-#: equal the slack alone is the fence, so it is the measure's own step: one symbol or a pair of marks in the shortest text that passes
-#: the base (10 words), one copied line of four.
+#: Measures as integers: expression over the counts, the fences' width in quartile distances, the slack and whether there is a lower fence. The slack is the measure's
+#: own step: one symbol or a pair of marks in the shortest text that passes the base (10 words), two copied lines of eight.
 MEASURES = {
     "word_length": ("word_chars * 100 div greatest(n_words, 1)", 6, 150, True),
     "symbols": ("n_symbols * 1000 div greatest(n_words, 1)", 6, 100, False),
     "punctuation": ("n_punct * 1000 div greatest(n_words, 1)", 6, 200, False),
-    "copied_lines": ("n_dup_lines * 1000 div greatest(n_lines, 4)", 6, 250, False),
+    "copied_lines": ("greatest(n_dup_lines - 1, 0) * 1000 div greatest(n_lines, 4)", 6, 250, False),
 }
 
 
@@ -85,6 +89,10 @@ def _edge(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def _measures() -> Column:
     """The measures of texts that have words, as an array of (measure, value)."""
     return F.array(*[F.struct(F.lit(k).alias("measure"), F.expr(m[0]).cast("long").alias("value")) for k, m in enumerate(MEASURES.values())])
@@ -92,7 +100,7 @@ def _measures() -> Column:
 
 def fences(rows: DataFrame) -> DataFrame:
     """Language and source with their fences, as arrays in the order of MEASURES, from the sketches of measured rows."""
-    values = rows.where("n_words > 0").select("lang", "source", F.explode(_measures()).alias("m")).select("lang", "source", "m.measure", "m.value")
+    values = rows.where(~_failed()).select("lang", "source", F.explode(_measures()).alias("m")).select("lang", "source", "m.measure", "m.value")
     own = materialize(values.groupBy("lang", "source", "measure", _edge(F.col("value")).alias("edge")).agg(F.count("*").alias("n")), "sketches")
     # sketches merge by adding: of the group itself, of its language, of the whole table
     level = lambda k, lang, source: F.struct(F.lit(k).alias("level"), lang.alias("of_lang"), source.alias("of_source"))
@@ -103,11 +111,16 @@ def fences(rows: DataFrame) -> DataFrame:
     group = Window.partitionBy(*keys)
     so_far = F.sum("n").over(group.orderBy("edge").rowsBetween(Window.unboundedPreceding, 0))
     at = sketch.select(*keys, "edge", so_far.alias("so_far"), F.sum("n").over(group).alias("total"))
-    quarter = lambda q: F.min(F.when(F.col("so_far") * 4 >= F.col("total") * q, F.col("edge")))
-    quartiles = at.groupBy(*keys).agg(quarter(1).alias("q1"), quarter(3).alias("q3"), F.max("total").alias("total"))
+    quarter = lambda q: F.min(F.when(F.col("so_far") * 4 >= F.col("total") * q, F.col("edge"))).over(group)
     of_measure = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in MEASURES.values()]), F.col("measure") + 1)
-    reach = of_measure(1) * (F.col("q3") - F.col("q1")) + of_measure(2)
-    fenced = quartiles.where(F.col("total") >= MIN_GROUP).select(*keys, (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    at = at.withColumns({"q1": quarter(1), "q3": quarter(3), "slack": of_measure(2), "before": F.lag("edge").over(group.orderBy("edge"))})
+    # the first bucket that isn't of the body, with the last that is
+    apart = (F.col("edge") > F.col("q3") + F.col("slack")) & (2 * F.col("edge") > 3 * F.col("before"))
+    edges = at.groupBy(*keys).agg(*[F.first(x).alias(x) for x in ("q1", "q3", "slack", "total")], F.min(F.when(apart, F.struct("edge", "before"))).alias("stretch"))
+    reach = of_measure(1) * (F.col("q3") - F.col("q1")) + F.col("slack")
+    middle = F.floor((F.col("stretch.edge") + F.col("stretch.before")) / 2).cast("long")
+    high = F.when(F.col("q3") > F.col("q1"), F.col("q3") + reach).otherwise(F.coalesce(middle, F.lit(NO_FENCE)))
+    fenced = edges.where(F.col("total") >= MIN_GROUP).select(*keys, (F.col("q1") - reach).alias("low"), high.alias("high"))
     merged = fenced.groupBy(*merged_keys).agg(F.sort_array(F.collect_list(F.struct("measure", "low", "high"))).alias("fences"))
     groups = own.select("lang", "source").distinct().select("lang", "source", levels)
     return groups.join(merged, merged_keys).groupBy("lang", "source").agg(F.min_by("fences", "level").alias("fences"))
@@ -115,7 +128,7 @@ def fences(rows: DataFrame) -> DataFrame:
 
 def _judged(rows: DataFrame, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """Measured rows with base_failed and kept."""
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    failed = _failed()
     inside = F.lit(True)
     for k, (formula, _, _, both) in enumerate(MEASURES.values()):
         value, fence = F.expr(formula), F.get("fences", F.lit(k))

@@ -28,10 +28,10 @@ def brute(rows):
         n, chars, symbols, dups, repeats, lines, _ = base(text)
         punct = len(re.findall(r"[!-/:-@\[-`{-~]", text))
         m = max(n, 1)
-        values = [chars * 100 // m, symbols * 1000 // m, punct * 1000 // m, dups * 1000 // max(len(lines), 4)]
+        values = [chars * 100 // m, symbols * 1000 // m, punct * 1000 // m, max(dups - 1, 0) * 1000 // max(len(lines), 4)]
         key = (lang or "", source or "")
         measured.append((doc_id, key, values, (n, chars, symbols, dups, repeats)))
-        if n:
+        if n >= 10 and 100 * repeats <= 20 * n:
             for wider in (key, key[:1], ()):
                 groups[wider].append(values)
     spec = list(quality_rules.MEASURES.values())
@@ -44,7 +44,11 @@ def brute(rows):
                 edges = sorted(edge(v[k]) for v in group)
                 q1, q3 = edges[-(-len(edges) // 4) - 1], edges[-(-3 * len(edges) // 4) - 1]
                 reach = width * (q3 - q1) + slack
-                inside &= values[k] <= q3 + reach and (not both or values[k] >= q1 - reach)
+                high = q3 + reach
+                if q1 == q3:
+                    steps = [(a, b) for a, b in zip(sorted(set(edges)), sorted(set(edges))[1:]) if b > q3 + slack and 2 * b > 3 * a]
+                    high = sum(steps[0]) // 2 if steps else quality_rules.NO_FENCE
+                inside &= values[k] <= high and (not both or values[k] >= q1 - reach)
         out[doc_id, *counts, failed, not failed and inside] += 1
     return out
 
@@ -99,5 +103,27 @@ def test_small_groups_have_the_fences_of_their_language_then_of_all(spark):
     assert {r.doc_id for r in quality_rules.filter_quality(docs).select("doc_id").collect()} == {*range(60), 101, 103}
 
 
+def fences_of(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    rows = quality_rules.measured(df, ["doc_id"])
+    return {r["source"]: [f["high"] for f in r["fences"]] for r in quality_rules.fences(rows).collect()}
+
+
+def test_fences_follow_the_usual_shares_of_a_source(spark, monkeypatch):
+    """Of three sources without symbols in most texts, each has its own junk or none; the fence stands between, and half the slack changes nothing."""
+    words = ("these are plain words of a clean text in prose " * 4).split()
+    words = [f"{w}{k}" for k, w in enumerate(words)]
+    rows = [(k, " ".join(words), "en", source) for source in ("a", "b", "c") for k in range(60)]
+    rows += [(100 + k, " ".join(words + [f"#{i}" for i in range(20)]), "en", "a") for k in range(4)] + [(200 + k, " ".join(words + [f"#{i}" for i in range(200)]), "en", "b") for k in range(4)]
+    rows += [(300 + k, " ".join(words + [f"#{i}" for i in range(k)]), "en", "c") for k in range(1, 14)]  # a body of its own, without a gap
+    found = fences_of(spark, rows)
+    symbols = {source: high[1] for source, high in found.items()}
+    assert 0 < symbols["a"] < 20 * 1000 // 60 and symbols["a"] < symbols["b"] < 200 * 1000 // 240 and symbols["c"] == quality_rules.NO_FENCE
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_rules.filter_quality(df).select("doc_id").collect()}
+    monkeypatch.setitem(quality_rules.MEASURES, "symbols", (*quality_rules.MEASURES["symbols"][:2], 50, False))
+    assert kept == {r.doc_id for r in quality_rules.filter_quality(df).select("doc_id").collect()} == {*range(60), *range(301, 314)}
+
+
 def test_oracle_is_registered():
     assert "op6_quality_rules" in ORACLES
