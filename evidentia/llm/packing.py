@@ -210,8 +210,10 @@ class BestFit:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """`pieces` with sequence_id and offset. Lengths are from 1 to the capacity."""
-    order = F.xxhash64("doc_id", "piece")
-    held = pieces.repartition(order).sortWithinPartitions(order, "doc_id", "piece", "ids_crc32")
+    # the row's number in its task is hashed too, so that rows without a doc_id and repeated rows spread like others
+    row = "_row"
+    order = F.xxhash64("doc_id", "piece", "ids_crc32", row)
+    held = pieces.withColumn(row, F.monotonically_increasing_id()).repartition(order).sortWithinPartitions(order, "doc_id", "piece", "ids_crc32").drop(row)
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     at = pieces.columns.index("length")
 
