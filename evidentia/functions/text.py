@@ -301,8 +301,11 @@ def join_wrapped(cell: Column) -> Column:
 
 
 def profile_key(text: Column) -> Column:
-    """A 32-bit hash of a text: 33 times what was before and the next character's number, kept to 32 bits with a sign."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    """A 32-bit hash of a text: 33 times what was before and the number of its next UTF-16 unit, kept to 32 bits with a sign."""
+    points = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    beyond = lambda x: x - (1 << 16)
+    pair = lambda x: F.array(F.lit(0xD800) + F.shiftright(beyond(x), 10), F.lit(0xDC00) + beyond(x) % 1024)
+    codes = F.flatten(F.transform(points, lambda x: F.when(x >= 1 << 16, pair(x)).otherwise(F.array(x))))
     unsigned = F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: (h * 33 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.when(unsigned >= 1 << 31, unsigned - F.lit(1 << 32)).otherwise(unsigned)
 

@@ -61,8 +61,24 @@ class Listed:
             raise Contradiction("caps add up to less than 100")
 
 
-def draw(listed: Listed, leave_on: bool, n_samples: int, seed: int, alpha: float = 1.0, floor: float = 0.0, water_prior: tuple[float, float] | None = None) -> np.ndarray:
-    """n_samples rows that fulfil all constraints; Contradiction if too few draws do."""
+def _shares(rng: np.random.Generator, n: int, size: int, alpha: float, decay: float | None) -> np.ndarray:
+    if decay is None:
+        return rng.dirichlet(np.full(n, alpha), size)
+    gammas = rng.standard_gamma(alpha * decay ** np.arange(n), (size, n))
+    # with small shapes all may be 0; the first then takes all
+    total = gammas.sum(axis=1, keepdims=True)
+    gammas[total[:, 0] == 0, 0] = 1.0
+    return gammas / np.where(total == 0, 1.0, total)
+
+
+def draw(listed: Listed, leave_on: bool, n_samples: int, seed: int, alpha: float = 1.0, floor: float = 0.0, water_prior: tuple[float, float] | None = None, decay: float | None = None) -> np.ndarray:
+    """n_samples rows that fulfil all constraints; Contradiction if too few draws do.
+
+    decay: the shares of the others than water are normalised Gammas whose shape falls by this factor from place to place, before they are put in order; without it they are
+    alike (a Dirichlet draw).
+    """
+    if alpha <= 0 or (decay is not None and not 0 < decay <= 1):
+        raise ValueError("alpha must be above 0, and decay above 0 and at most 1")
     low, high = water_prior or (WATER_LEAVE_ON if leave_on else WATER_RINSE_OFF)
     listed.check(low, high, floor)
     rng = np.random.default_rng(seed)
@@ -78,7 +94,7 @@ def draw(listed: Listed, leave_on: bool, n_samples: int, seed: int, alpha: float
         if wet.any():
             rows[:, wet] = rng.uniform(low, min(high, caps[wet][0]), (size, 1))
         rest = 100.0 - rows.sum(axis=1) - other.sum() * floor
-        shares = -np.sort(-rng.dirichlet(np.full(int(other.sum()), alpha), size), axis=1)
+        shares = -np.sort(-_shares(rng, int(other.sum()), size, alpha, decay), axis=1)
         rows[:, other] = shares * rest[:, None] + floor
         mains = rows[:, main]
         good = (rest >= 0) & (mains[:, -1] >= TRACE_LINE) & (np.diff(mains, axis=1) <= 1e-12).all(axis=1) & (mains <= caps[main] + 1e-12).all(axis=1)
@@ -103,7 +119,7 @@ def listed_components(items: DataFrame, links: DataFrame, components: DataFrame)
     return joined.select("product_id", "ingredient_id", "position", "is_trace", upper_cap(F.col("leave_on")).alias("cap"), water.alias("water"), "leave_on")
 
 
-def estimate(listed: DataFrame, n_samples: int = 2000, seed: int = 42, alpha: float = 1.0, floor: float = 0.0, water_leave_on: tuple[float, float] | None = None) -> DataFrame:
+def estimate(listed: DataFrame, n_samples: int = 2000, seed: int = 42, alpha: float = 1.0, floor: float = 0.0, water_leave_on: tuple[float, float] | None = None, decay: float | None = None) -> DataFrame:
     """product_id, ingredient_id, position, low, high (5 and 95 %), confidence and reason (null, or why there is no estimate)."""
     id_types = [listed.schema["product_id"], listed.schema["ingredient_id"], listed.schema["position"]]
     schema = T.StructType([*id_types, *[T.StructField(x, T.DoubleType()) for x in ("low", "high", "confidence")], T.StructField("reason", T.StringType())])
@@ -116,7 +132,7 @@ def estimate(listed: DataFrame, n_samples: int = 2000, seed: int = 42, alpha: fl
         out["low"] = out["high"] = out["confidence"] = np.nan
         out["reason"] = None
         try:
-            samples = draw(own, leave_on, n_samples, seed, alpha, floor, water_leave_on if leave_on else None)
+            samples = draw(own, leave_on, n_samples, seed, alpha, floor, water_leave_on if leave_on else None, decay)
         except Contradiction as problem:
             out["reason"] = str(problem)
             return out.astype({"low": object, "high": object, "confidence": object}).where(out.notna(), None)

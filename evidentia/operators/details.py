@@ -110,11 +110,14 @@ def contained_names(names: DataFrame, others: DataFrame, shortest: int = 2) -> D
 
     names: name; others: other. Names shorter than `shortest` are in too much to tell anything.
     """
-    distinct = others.select("other").distinct().where(F.length("other") >= shortest)
-    starts = F.sequence(F.lit(1), F.length("other") - shortest + 1)
-    parts = F.flatten(F.transform(starts, lambda at: F.transform(F.sequence(F.lit(shortest), F.length("other") - at + 1), lambda n: F.substring("other", at, n))))
+    asked = names.select("name").distinct().where(F.length("name") >= shortest)
+    lengths = sorted(r[0] for r in asked.select(F.length("name")).distinct().collect())  # one number for each length
+    distinct = others.select("other").distinct()
+    # only parts as long as some name are taken
+    places = lambda n: F.transform(F.sequence(F.lit(1), F.length("other") - n + 1), lambda at: F.substring("other", at, n))
+    parts = F.flatten(F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("other")), places))
     held = distinct.select("other", F.explode(F.array_distinct(parts)).alias("name"))
-    return names.select("name").distinct().join(held, "name").where(F.col("name") != F.col("other")).select("name", "other")
+    return asked.join(held, "name").where(F.col("name") != F.col("other")).select("name", "other")
 
 
 def mutual_names(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions import dose, rules
+from evidentia.storage import materialize
 
 #: Weights of components, effects and price.
 WEIGHTS = {"ingredient": 0.5, "efficacy": 0.3, "price": 0.2}
@@ -36,8 +37,50 @@ def component_overlap(links: DataFrame, queries: DataFrame) -> DataFrame:
     return shared.select("query_id", "product_id", "shared", union.alias("union_size"), (F.col("shared") / union).alias("jaccard"))
 
 
+#: A component is frequent if more than one item in so many has it; frequent components don't bring items together as long as the others decide.
+FREQUENT_ONE_IN = 4
+
+
+def _sized(links: DataFrame) -> DataFrame:
+    """product_id, ingredient_id, size and frequent of each item's different components."""
+    own = links.select("product_id", "ingredient_id").distinct()
+    n_items = own.select(F.count_distinct("product_id").alias("n")).scalar()
+    spread = own.groupBy("ingredient_id").agg(F.count("*").alias("spread"))
+    sizes = own.groupBy("product_id").agg(F.count("*").alias("size"))
+    return own.join(spread, "ingredient_id").join(sizes, "product_id").select("product_id", "ingredient_id", "size", (F.col("spread") * FREQUENT_ONE_IN > n_items).alias("frequent"))
+
+
+def decided_by_rare(links: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The overlaps of query items with items that share one of their rarer components, and the queries that these decide.
+
+    Frequent components are only read to complete the counts, from the lists of the two items. An item that shares none but frequent components has at most the
+    share of those among the query's components as its similarity; where the k-th best found is above that, no such item is among the best.
+    """
+    sized = materialize(_sized(links), "components")
+    lists = sized.groupBy("product_id", "size").agg(F.collect_list(F.when(F.col("frequent"), F.col("ingredient_id"))).alias("frequent"))
+    rare = sized.where(~F.col("frequent"))
+    asked = rare.join(queries.select("product_id"), "product_id", "left_semi").select(F.col("product_id").alias("query_id"), "ingredient_id")
+    met = asked.join(rare.select("product_id", "ingredient_id"), "ingredient_id").where(F.col("query_id") != F.col("product_id")).groupBy("query_id", "product_id").agg(F.count("*").alias("rare_shared"))
+    of_query = lists.select(F.col("product_id").alias("query_id"), F.col("size").alias("query_size"), F.col("frequent").alias("query_frequent"))
+    both = met.join(lists, "product_id").join(of_query, "query_id")
+    both = both.withColumn("shared", F.col("rare_shared") + F.size(F.array_intersect("query_frequent", "frequent")))
+    union = F.col("query_size") + F.col("size") - F.col("shared")
+    found = both.select("query_id", "product_id", "shared", union.alias("union_size"), (F.col("shared") / union).alias("jaccard"))
+    bound = of_query.join(queries.select(F.col("product_id").alias("query_id")), "query_id", "left_semi").select("query_id", (F.size("query_frequent") / F.col("query_size")).alias("bound"))
+    found = materialize(found, "overlaps")
+    kth = top(found, "query_id", k, F.desc("jaccard"), F.asc("product_id")).where(F.col("rank") == k).select("query_id", "jaccard")
+    decided = bound.join(kth, "query_id", "left").where((F.col("bound") == 0) | (F.col("jaccard") > F.col("bound"))).select(F.col("query_id").alias("product_id"))
+    return found, decided
+
+
 def similar_by_components(links: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    best = top(component_overlap(links, queries), "query_id", k, F.desc("jaccard"), F.asc("product_id"))
+    """The k items of the largest Jaccard similarity; queries that their rarer components don't decide are compared with all items that share any component."""
+    found, decided = decided_by_rare(links, queries, k)
+    decided = materialize(decided, "decided")
+    known = found.join(decided.select(F.col("product_id").alias("query_id")), "query_id", "left_semi")
+    left = queries.select("product_id").join(decided, "product_id", "left_anti")
+    overlaps = known.unionByName(component_overlap(links, left))
+    best = top(overlaps, "query_id", k, F.desc("jaccard"), F.asc("product_id"))
     return best.select("query_id", "product_id", "rank", F.round("jaccard", 4).alias("score"), "shared")
 
 
@@ -143,6 +186,8 @@ def similar_by_effects(profiles: DataFrame, queries: DataFrame, k: int = 5) -> D
     sends k rows a query, and never a row for every pair of items that share a family."""
     from evidentia.operators import vectors
 
+    # read by the list of families, the dense vectors, the queries and the final cosines
+    profiles = materialize(profiles, "profiles")
     families = sorted(r.family for r in profiles.where(F.col("family") != rules.OTHER).select("family").distinct().limit(MOST_FAMILIES + 1).collect())
     if len(families) > MOST_FAMILIES:
         raise ValueError(f"more than {MOST_FAMILIES} families: name them by rules.canonical_family first")

@@ -342,3 +342,34 @@ def test_question_items(spark):
     rows = spark.createDataFrame([(1, 1, "a", "human_rct"), (2, 1, "a", "human_open"), (3, 2, "a", "animal"), (4, 1, "b", "animal"), (5, 3, "a", "human_ct")], "assertion_id long, ingredient_id long, family string, level string")
     found = {(r.ingredient_id, r.family): (r.kind, r.must_cite) for r in evaluation.question_items(rows, ["human_rct", "human_open", "human_ct"]).collect()}
     assert found == {(1, "a"): ("fact_check", [1, 2]), (2, "a"): ("refusal", [])}
+
+
+def test_a_component_of_every_item_brings_no_pairs(spark):
+    """Ten thousand items share one component: only those that share a rarer one meet, and the result is that of all pairs."""
+    n = 3000
+    rows = [(i, 0) for i in range(n)] + [(i, 1 + i // 4) for i in range(n)] + [(i, 10_000 + i // 6) for i in range(n)] + [(i, 20_000 + i) for i in range(n)]
+    rows += [(n, 0), (n, 30_000), (n + 1, 0)]
+    links = spark.createDataFrame(rows, "product_id long, ingredient_id long").repartition(4)
+    queries = spark.createDataFrame([(0,), (50,), (n,), (n + 1,)], "product_id long")
+    found, decided = similarity.decided_by_rare(links, queries, 2)
+    assert found.count() < 20 * 4 and {r.product_id for r in decided.collect()} == {0, 50}
+    got = {(r.query_id, r["rank"]): (r.product_id, r.score, r.shared) for r in similarity.similar_by_components(links, queries, 2).collect()}
+    sets = {}
+    for item, component in rows:
+        sets.setdefault(item, set()).add(component)
+    for q in (0, 50, n, n + 1):
+        ranked = sorted(((-len(sets[q] & s) / len(sets[q] | s), i, len(sets[q] & s)) for i, s in sets.items() if i != q and sets[q] & s))[:2]
+        assert [got[q, k + 1] for k in range(2)] == [(i, round(-j, 4), shared) for j, i, shared in ranked]
+
+
+def test_decay_weighs_earlier_places_more():
+    listed = concentration.Listed(np.array([False] * 6 + [True]), np.array([True] + [False] * 6), np.array([np.nan, 30.0, np.nan, np.nan, np.nan, 4.0, np.nan]))
+    alike = concentration.draw(listed, True, 400, 1)
+    falling = concentration.draw(listed, True, 400, 1, decay=0.5)
+    for rows in (alike, falling):
+        assert np.allclose(rows.sum(axis=1), 100) and (np.diff(rows[:, :6], axis=1) <= 1e-9).all() and (rows[:, 5] >= 0.1).all() and (rows[:, 1] <= 30 + 1e-9).all() and (rows[:, 6] <= 0.1).all()
+    assert falling[:, 1].mean() > alike[:, 1].mean() and falling[:, 4].mean() < alike[:, 4].mean()
+    assert (concentration.draw(listed, True, 400, 1, decay=0.5) == falling).all()
+    for wrong in ({"decay": 0.0}, {"decay": 1.5}, {"alpha": 0.0}):
+        with pytest.raises(ValueError):
+            concentration.draw(listed, True, 10, 1, **wrong)

@@ -58,6 +58,37 @@ def test_price_stream(spark, tmp_path):
     assert max(int(p.name.split("-")[1]) for p in (tmp_path / "out").iterdir()) >= last
 
 
+def test_price_stream_by_buckets(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    few = events.select("user_id").distinct().orderBy("user_id").limit(2).collect()
+    parts = ["ts < '2024-01-10'", "ts >= '2024-01-10' and ts < '2024-01-16'", "ts >= '2024-01-16'"]
+    for part in parts:
+        events.where(part).coalesce(1).write.mode("append").parquet(source)
+    for value in (1e6, 2e6):  # two small batches, of one product each
+        events.where(f"user_id = {few[0][0]}").orderBy("event_id").limit(1).selectExpr(f"event_id + {int(value)} as event_id", "timestamp '2024-01-31 00:00:00' as ts", "user_id", "event_type", f"double({value}) as value", "props").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = market.snapshots(market.price_events(spark, source, max_files=1), late="60 days")
+        query = market.fold_into_buckets(stream, out, f"file://{tmp_path}/cp", buckets=8)
+        query.awaitTermination(200)
+        assert query.exception() is None
+
+    run()
+    found = market.current(spark, out)
+    every = spark.read.parquet(source)
+    want = every.selectExpr("user_id as product_id", "to_date(ts) as date", "event_type as source", "value as price", "row_number() over (partition by user_id, to_date(ts), event_type order by ts desc, event_id desc) as n").where("n = 1")
+    assert found.count() == want.count() and found.select("product_id", "date", "source", "price").exceptAll(want.drop("n")).count() == 0
+    folders = {p.name: len(list(p.glob("bucket=*"))) for p in (tmp_path / "out" / "rows").iterdir()}
+    # a small batch writes one bucket, and no bucket has more than two versions
+    assert folders["batch=3"] == folders["batch=4"] == 1
+    versions = [b.name for p in (tmp_path / "out" / "rows").iterdir() for b in p.glob("bucket=*")]
+    assert max(versions.count(x) for x in versions) == 2
+    run()  # nothing new
+    assert market.current(spark, out).exceptAll(found).count() == 0
+    assert market.current(spark, f"file://{tmp_path}/none") is None
+
+
 def test_windows_close(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
     events.coalesce(1).write.parquet(f"file://{tmp_path}/in")
