@@ -37,6 +37,8 @@ def completeness(fetched: DataFrame, key: str, stated: DataFrame) -> DataFrame:
 
     stated: total.
     """
-    counted = fetched.agg(F.count("*").alias("rows_fetched"), F.count_distinct(key).alias("unique_keys"))
-    total = stated.agg(F.max("total").cast("long").alias("stated"))
-    return total.withColumn("_one", F.lit(1)).join(counted.withColumn("_one", F.lit(1)), "_one").select("stated", "rows_fetched", "unique_keys", (F.col("stated") == F.col("unique_keys")).alias("complete"))
+    both = fetched.select(F.lit(1).alias("row"), F.col(key), F.lit(None).cast("long").alias("total")).unionByName(
+        stated.select(F.lit(None).cast("int").alias("row"), F.lit(None).cast(fetched.schema[key].dataType).alias(key), F.col("total").cast("long").alias("total"))
+    )
+    counted = both.agg(F.max("total").alias("stated"), F.count("row").alias("rows_fetched"), F.count_distinct(key).alias("unique_keys"))
+    return counted.select("stated", "rows_fetched", "unique_keys", (F.col("stated") == F.col("unique_keys")).alias("complete"))
