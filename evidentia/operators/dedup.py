@@ -1,15 +1,20 @@
 """Duplicate items: set-similarity edges within blocks, clusters, keepers, and merging with repointed children.
 
-Equal sets are one class first. Classes meet by the rarest tokens of their sets (prefix filtering), which loses no pair above the
-threshold and compares no others but those that share a rare token and have about as many tokens.
+Equal sets are one class first. Tokens fall into parts by their hashes, one part more than the tokens that two similar sets may differ in, so such sets
+have at least one part in common, whole. Classes meet by whole parts, which loses no pair above the threshold and pairs no others but those that agree in
+several tokens at once; how often a token occurs doesn't matter.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from evidentia.operators.components import components
@@ -17,6 +22,8 @@ from evidentia.storage import materialize
 
 #: Thresholds of duplicate items.
 JACCARD, RELAXED_JACCARD, RELAXED_CONTAINMENT, CONTAINMENT, MAX_SIZE_DIFF, MIN_SIZE = 0.90, 0.85, 0.96, 0.93, 2, 11
+#: Sets that differ in size by more than MAX_SIZE_DIFF are linked from this similarity on, if at all (items of one language).
+SAME_SIZE_JACCARD = 0.98
 
 
 def set_classes(keys: DataFrame) -> DataFrame:
@@ -26,25 +33,101 @@ def set_classes(keys: DataFrame) -> DataFrame:
     return sets.withColumns({"class_id": F.min("id").over(own), "size": F.size("keys")})
 
 
-def duplicate_edges(classes: DataFrame, accept: Column | None = None, least_jaccard: float = RELAXED_JACCARD, min_size: int = MIN_SIZE) -> DataFrame:
+def strong_reach(size: int) -> tuple[int, int]:
+    """For the links of duplicate items, here and in product_dedup: the most tokens of a set whose partner has `size`, and the most tokens that the two differ in if `size` is the larger."""
+    by_jaccard = 2 * size * (1 - JACCARD) / (1 + JACCARD)
+    relaxed = min(MAX_SIZE_DIFF + 2 * (1 - RELAXED_CONTAINMENT) * size, 2 * size * (1 - RELAXED_JACCARD) / (1 + RELAXED_JACCARD))
+    return max(size + MAX_SIZE_DIFF, math.floor(size / SAME_SIZE_JACCARD + 1e-9)), math.floor(max(by_jaccard, relaxed) + 1e-9)
+
+
+def jaccard_reach(least_jaccard: float) -> Callable[[int], tuple[int, int]]:
+    """The same for all sets of at least this similarity."""
+    return lambda size: (math.floor(size / least_jaccard + 1e-9), math.floor(2 * size * (1 - least_jaccard) / (1 + least_jaccard) + 1e-9))
+
+
+def _levels(reach: Callable[[int], tuple[int, int]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest sizes of levels up to `most` tokens, and the number of parts of each."""
+    ends = [8]
+    while ends[-1] < most:
+        ends.append(max(ends[-1] + 4, ends[-1] * 8 // 7))
+    return np.array(ends), np.array([reach(x)[1] + 1 for x in ends])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _parts(reach: Callable[[int], tuple[int, int]], id_type: T.DataType, tokens_at_once: int = 1 << 20):
+    """A row for each part of each set: a key of the part's tokens, and of the set its id, size and 128 bits that differ in no more places than the sets in tokens.
+
+    A pair meets at the level of its larger set, so a set has parts at its own level and at those of the larger sets it may pair with.
+    """
+    kinds = (("part", T.LongType()), ("id", id_type), ("size", T.IntegerType()), ("bits", T.LongType()), ("more_bits", T.LongType()))
+    schema = T.StructType([T.StructField(k, t) for k, t in kinds])
+
+    def rows(ids: pa.Array, blocks: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        most = np.array([reach(int(x))[0] for x in sizes])
+        ends, n_parts = _levels(reach, int(most.max()))
+        first, last = np.searchsorted(ends, sizes), np.searchsorted(ends, most)
+        set_of = np.repeat(np.arange(len(sizes)), last - first + 1)
+        level = first[set_of] + np.arange(len(set_of)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+        parts, n = n_parts[level], sizes[set_of]
+        # every token of every set at every level of the set
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        token = hashes[np.repeat((np.cumsum(sizes) - sizes)[set_of], n) + place]
+        start = np.cumsum(parts) - parts
+        found = np.zeros(parts.sum(), np.uint64)
+        np.bitwise_xor.at(found, np.repeat(start, n) + (token % np.repeat(parts, n).astype(np.uint64)).astype(np.int64), token)
+        which = np.arange(len(found)) - np.repeat(start, parts)
+        key = _mixed(found + _mixed(np.repeat(blocks[set_of], parts) + _mixed((np.repeat(level, parts) << 32 | which).astype(np.uint64))))
+        bit, one = (hashes >> np.uint64(50)) & np.uint64(127), np.uint64(1)
+        bits = np.zeros((2, len(sizes)), np.uint64)
+        np.bitwise_xor.at(bits, ((bit >> np.uint64(6)).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)), one << (bit & np.uint64(63)))
+        owner = np.repeat(set_of, parts)
+        columns = [pa.array(key.view(np.int64)), ids.take(pa.array(owner)), pa.array(sizes[owner].astype(np.int32)), *[pa.array(x[owner].view(np.int64)) for x in bits]]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, sizes = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            blocks, ends, at = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(sizes), 0
+            while at < len(sizes):
+                begin = int(ends[at] - sizes[at])
+                to = max(at + 1, int(np.searchsorted(ends, begin + tokens_at_once, "right")))
+                yield rows(batch.column(0).slice(at, to - at), blocks[at:to], sizes[at:to], hashes[begin : int(ends[to - 1])])
+                at = to
+
+    return run, schema
+
+
+def duplicate_edges(
+    classes: DataFrame, accept: Column | None = None, least_jaccard: float = RELAXED_JACCARD, min_size: int = MIN_SIZE, reach: Callable[[int], tuple[int, int]] | None = None
+) -> DataFrame:
     """Edges (u > v) of class representatives, with jaccard and containment, that `accept` takes.
 
-    accept: a condition over jaccard, containment, size_u and size_v that implies jaccard >= least_jaccard.
+    accept: a condition over jaccard, containment, size_u and size_v that implies jaccard >= least_jaccard, and what `reach` says of sizes and differences, if given.
     """
     if accept is None:
         strong = (F.col("jaccard") >= JACCARD) | ((F.col("jaccard") >= RELAXED_JACCARD) & (F.col("containment") >= RELAXED_CONTAINMENT))
         accept = strong & (F.col("containment") >= CONTAINMENT) & (F.abs(F.col("size_u") - F.col("size_v")) <= MAX_SIZE_DIFF)
-    firsts = classes.where((F.col("id") == F.col("class_id")) & (F.col("size") >= min_size)).select("id", "block", "keys", "size")
-    spread = firsts.select("block", F.explode("keys").alias("key")).groupBy("block", "key").agg(F.count("*").alias("spread"))
-    placed = firsts.select("id", "block", "size", F.explode("keys").alias("key")).join(spread, ["block", "key"])
-    rarity = F.row_number().over(Window.partitionBy("id").orderBy("spread", "key"))
-    prefix = F.col("size") - F.ceil(F.lit(least_jaccard) * F.col("size") - 1e-9) + 1
-    prefixes = placed.withColumn("place", rarity).where(F.col("place") <= prefix).select("id", "block", "key", "size")
-    side = lambda name: prefixes.select(F.col("id").alias(name), "block", "key", F.col("size").alias(f"size_{name}"))
-    sizes = (F.col("size_u") >= least_jaccard * F.col("size_v") - 1e-9) & (F.col("size_v") >= least_jaccard * F.col("size_u") - 1e-9)
-    candidates = side("u").join(side("v"), ["block", "key"]).where((F.col("u") > F.col("v")) & sizes).select("u", "v", "size_u", "size_v").distinct()
-    sets = firsts.select("id", "keys")
-    both = candidates.join(sets.select(F.col("id").alias("u"), F.col("keys").alias("keys_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("keys").alias("keys_v")), "v")
+        reach = reach or strong_reach
+    firsts = classes.where((F.col("id") == F.col("class_id")) & (F.col("size") >= min_size) & F.col("block").isNotNull()).select("id", "block", "keys", "size")
+    split, schema = _parts(reach or jaccard_reach(least_jaccard), firsts.schema["id"].dataType)
+    hashed = firsts.where("size > 0").select("id", F.xxhash64("block").alias("block"), F.transform("keys", lambda x: F.xxhash64(x)).alias("hashes"), "size")
+    # most parts are found once
+    met = F.count("*").over(Window.partitionBy("part"))
+    parts = materialize(hashed.mapInArrow(split, schema).withColumn("met", met).where("met > 1").drop("met"), "parts")
+    side = lambda name: parts.select("part", F.col("id").alias(name), *[F.col(x).alias(f"{x}_{name}") for x in ("size", "bits", "more_bits")])
+    differ = lambda x: F.bit_count(F.col(f"{x}_u").bitwiseXOR(F.col(f"{x}_v")))
+    total = F.col("size_u") + F.col("size_v")
+    near = (F.col("size_u") >= least_jaccard * F.col("size_v") - 1e-9) & (F.col("size_v") >= least_jaccard * F.col("size_u") - 1e-9)
+    near = near & (differ("bits") + differ("more_bits") <= (1 - least_jaccard) / (1 + least_jaccard) * total + 1e-9)
+    candidates = materialize(side("u").join(side("v"), "part").where((F.col("u") > F.col("v")) & near).select("u", "v", "size_u", "size_v").distinct(), "candidates")
+    ends = candidates.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = materialize(firsts.join(ends, "id", "left_semi"), "sets")
+    of = lambda name: sets.select(F.col("id").alias(name), F.col("block").alias(f"block_{name}"), F.col("keys").alias(f"keys_{name}"))
+    both = candidates.join(of("u"), "u").join(of("v"), "v").where("block_u = block_v")
     shared = F.size(F.array_intersect("keys_u", "keys_v"))
     measured = both.withColumn("shared", shared).select(
         "u", "v", "size_u", "size_v", (F.col("shared") / (F.col("size_u") + F.col("size_v") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("size_u", "size_v")).alias("containment")

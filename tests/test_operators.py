@@ -373,3 +373,24 @@ def test_decay_weighs_earlier_places_more():
     for wrong in ({"decay": 0.0}, {"decay": 1.5}, {"alpha": 0.0}):
         with pytest.raises(ValueError):
             concentration.draw(listed, True, 10, 1, **wrong)
+
+
+def test_sets_of_common_tokens_meet_by_whole_parts_only(spark, monkeypatch):
+    """No token is rare here, so that any one of them would bring a set together with a tenth of all."""
+    rng = np.random.default_rng(3)
+    sets = [set(rng.choice(300, 30, replace=False).tolist()) for _ in range(500)]
+    for i in range(0, 40, 2):
+        sets[i + 1] = (sets[i] - set(sorted(sets[i])[: i % 3])) | set(range(300, 300 + (i // 2) % 3))
+    written, materialize = {}, dedup.materialize
+    monkeypatch.setattr(dedup, "materialize", lambda df, name: written.setdefault(name, materialize(df, name)))
+    keys = spark.createDataFrame([(i, "b", str(k)) for i, own in enumerate(sets) for k in own], "id long, block string, key string")
+    edges = {(r.u, r.v) for r in dedup.duplicate_edges(dedup.set_classes(keys)).collect()}
+    want = set()
+    for a in range(500):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            jaccard, containment = n / len(sets[a] | sets[b]), n / min(len(sets[a]), len(sets[b]))
+            if sets[a] != sets[b] and containment >= 0.93 and abs(len(sets[a]) - len(sets[b])) <= 2 and (jaccard >= 0.9 or (jaccard >= 0.85 and containment >= 0.96)):
+                want.add((a, b))
+    assert edges == want and want
+    assert written["candidates"].count() <= 2 * len(want) + 20
