@@ -3,7 +3,7 @@
 Formulas (sets of component keys) are classes first, and classes meet by their rarest keys. Across languages only the best item of a class and language can be linked, so
 links are looked for between classes, and a link stays if each is the other's best. Within a language names decide: items of one class and one multiset of words are one node;
 nodes meet by equal sets of words, or, for words that differ by up to two letters, in deletion neighbourhoods: both have the same other words and a word that becomes the same
-when up to two letters are left out. Distinct names in one neighbourhood are bounded by the alphabet, not by the table, so no group gives all pairs of its items.
+when up to two letters are left out; where two formulas have few nodes, all are compared instead. Distinct names in one neighbourhood are bounded by the alphabet, not by the table, so no group gives all pairs of its items.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ from pyspark.sql.window import Window
 
 from evidentia.functions.text import CJK, has_cjk, name_tokens, same_name
 from evidentia.operators.components import components
-from evidentia.operators.dedup import CONTAINMENT, JACCARD, MAX_SIZE_DIFF, RELAXED_CONTAINMENT, RELAXED_JACCARD, duplicate_edges
+from evidentia.operators.dedup import CONTAINMENT, JACCARD, MAX_SIZE_DIFF, RELAXED_CONTAINMENT, RELAXED_JACCARD, SAME_SIZE_JACCARD, duplicate_edges, strong_reach
 from evidentia.storage import materialize
 
 #: Thresholds of items of one language.
-SAME_LANGUAGE_JACCARD, SAME_LANGUAGE_SIZE = 0.98, 12
+SAME_LANGUAGE_JACCARD, SAME_LANGUAGE_SIZE = SAME_SIZE_JACCARD, 12
 #: Thresholds of items across languages stand in dedup; formulas shorter than this are too alike.
 CROSS_LANGUAGE_SIZE = 11
+#: Names of two formulas are compared all with all if they are at most so many times as many pairs as names (a name has some hundred keys), and meet by keys otherwise.
+NAMES_COMPARED = 100
 
 
 def item_classes(items: DataFrame, keys: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def formula_links(items: DataFrame) -> DataFrame:
     strong = (F.col("jaccard") >= JACCARD) | ((F.col("jaccard") >= RELAXED_JACCARD) & (F.col("containment") >= RELAXED_CONTAINMENT))
     cross = strong & (F.col("containment") >= CONTAINMENT) & (F.abs(F.col("size_u") - F.col("size_v")) <= MAX_SIZE_DIFF)
     same = (F.col("jaccard") >= SAME_LANGUAGE_JACCARD) & (F.least("size_u", "size_v") >= SAME_LANGUAGE_SIZE)
-    return duplicate_edges(items, cross | same).withColumns({"cross": cross, "same": same}).select("u", "v", "jaccard", "containment", "cross", "same")
+    return duplicate_edges(items, cross | same, reach=strong_reach).withColumns({"cross": cross, "same": same}).select("u", "v", "jaccard", "containment", "cross", "same")
 
 
 def cross_language_links(items: DataFrame, formulas: DataFrame) -> DataFrame:
@@ -90,6 +92,26 @@ def same_language_links(nodes: DataFrame, formulas: DataFrame) -> DataFrame:
     """u > v and jaccard of nodes of nearly one formula and one name."""
     own = nodes.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class_id").alias("u"), F.col("class_id").alias("v"), F.lit(1.0).alias("jaccard"))
     pairs = own.unionByName(formulas.where("same").select("u", "v", "jaccard"))
+    counts = nodes.groupBy("class_id").agg(F.count("*").alias("n"))
+    of = lambda end: counts.select(F.col("class_id").alias(end), F.col("n").alias(f"n_{end}"))
+    counted = materialize(pairs.join(of("u"), "u").join(of("v"), "v").withColumn("few", F.col("n_u") * F.col("n_v") <= NAMES_COMPARED * (F.col("n_u") + F.col("n_v"))), "pairs")
+    pairs = counted.select("u", "v", "jaccard", "few")
+    met = _compared(pairs.where("few"), nodes).unionByName(_met_by_keys(pairs.where("not few"), nodes))
+    once = met.dropDuplicates(["a", "b"])
+    return once.select(F.col("a").alias("u"), F.col("b").alias("v"), F.round("jaccard", 4).alias("jaccard"))
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a > b and jaccard of nodes of one name, of pairs of formulas that have few nodes: all of one with all of the other."""
+    of = lambda end, k: nodes.select(F.col("class_id").alias(end), F.col("node").alias(f"node_{k}"), F.col("name").alias(f"name_{k}"))
+    both = pairs.join(of("u", 1), "u").join(of("v", 2), "v").where((F.col("u") != F.col("v")) | (F.col("node_1") > F.col("node_2")))
+    first = F.col("node_1") > F.col("node_2")
+    ends = [F.greatest("node_1", "node_2").alias("a"), F.least("node_1", "node_2").alias("b"), *[F.when(first, F.col(f"name_{x}")).otherwise(F.col(f"name_{y}")).alias(f"name_{z}") for x, y, z in ((1, 2, "a"), (2, 1, "b"))]]
+    return both.select("jaccard", *ends).where(same_name(F.col("name_a"), F.col("name_b"))).select("a", "b", "jaccard")
+
+
+def _met_by_keys(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same of pairs of formulas that have many nodes, by their names' keys."""
     placed = pairs.select("u", "v", "jaccard", F.explode(F.array_distinct(F.array("u", "v"))).alias("class_id"))
     keyed = materialize(placed.join(nodes, "class_id").select("u", "v", "jaccard", "class_id", "node", "name", F.explode(name_keys(F.col("tokens"))).alias("key")), "names")
     left = keyed.select("u", "v", "jaccard", "key", F.col("class_id").alias("class_a"), F.col("node").alias("a"), F.col("name").alias("name_a"))
@@ -98,7 +120,7 @@ def same_language_links(nodes: DataFrame, formulas: DataFrame) -> DataFrame:
     # in a pair of formulas, names of one of them have met in its own group already
     met = left.join(right, here).where((F.col("u") == F.col("v")) | (F.col("class_a") != F.col("class_b")))
     once = met.select("a", "b", "jaccard", "name_a", "name_b").dropDuplicates(["a", "b"])
-    return once.where(same_name(F.col("name_a"), F.col("name_b"))).select(F.col("a").alias("u"), F.col("b").alias("v"), F.round("jaccard", 4).alias("jaccard"))
+    return once.where(same_name(F.col("name_a"), F.col("name_b"))).select("a", "b", "jaccard")
 
 
 def dedup_products(items: DataFrame, keys: DataFrame, order: list[Column] | None = None) -> DataFrame:

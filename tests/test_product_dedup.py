@@ -139,3 +139,16 @@ def test_no_items(spark):
 def test_names_without_words(spark, name):
     rows = found(spark, [(1, name, "甲", [*BASE, "X"]), (2, name, "甲", [*BASE, "X"])])
     assert clusters(rows) == [[1, 2]]
+
+
+def test_few_names_are_compared_and_many_meet_by_keys(spark, monkeypatch):
+    formulas = [[*BASE, *[f"K{i}" for i in range(60)]], [*BASE, *[f"K{i}" for i in range(59)], "L"]]
+    names = ["Firming Cream", "Firming Craem", "Firm Cream Rich", "Firming Cream Cream", "Lotion", "Lotoin"]
+    products = [(2 * i + j, name, "丁", formula) for j, formula in enumerate(formulas) for i, name in enumerate(names)]
+    written, materialize = [], product_dedup.materialize
+    monkeypatch.setattr(product_dedup, "materialize", lambda df, name: (written.append((name, df.count())), materialize(df, name))[1])
+    few = found(spark, products)
+    # no key of a name is written for the few
+    assert ("names", 0) in written and clusters(few)
+    monkeypatch.setattr(product_dedup, "NAMES_COMPARED", 0)
+    assert found(spark, products) == few and max(n for name, n in written if name == "names") > 0
