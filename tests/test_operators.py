@@ -394,3 +394,25 @@ def test_sets_of_common_tokens_meet_by_whole_parts_only(spark, monkeypatch):
                 want.add((a, b))
     assert edges == want and want
     assert written["candidates"].count() <= 2 * len(want) + 20
+
+
+def test_nearest_holds_few_scores_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    # small whole numbers: exact products, many ties
+    rows, ids = rng.integers(-3, 4, (12_000, 8)).astype(float), np.arange(12_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 9_000]), pa.array([*rows[i : i + 9_000]])], names=["id", "vector"]) for i in (0, 9_000)]
+    asked = ids[::16]
+    tracemalloc.start()
+    found = next(vectors._block_best(asked, rows[asked], 5, 6)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all scores of a batch are 54 MB, and were held several times
+    scores = rows[asked] @ rows.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :5]
+    assert found.column(1).to_pylist() == best.ravel().tolist()
+    assert found.column(2).to_pylist() == np.take_along_axis(scores, best, 1).ravel().tolist()
