@@ -1,21 +1,24 @@
 """Doses of listed components by constrained sampling: lists are in falling order and add up to 100 %.
 
-One item is one group and its draws depend on nothing else, so the work spreads over items and a lost task repeats exactly.
+Draws depend only on a list's kinds of entries and the caps that can bind, so each such pattern is drawn once, whatever the number of items that have it: the work
+spreads over patterns, and a lost task repeats exactly. Draws before they are scaled depend on numbers of entries only and are kept for the next pattern.
 Main components have at least the trace line each, so lists with more than MAX_MAIN of them contradict 100 %; they are told by a
 count and never gathered into a group. Contradicting constraints give a row with a reason, never a loosened one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evidentia.functions import dose, rules
+from evidentia.storage import materialize
 
 #: The trace line, priors of water, rounds of draws, and the calibrated settings.
 TRACE_LINE, WATER_LEAVE_ON, WATER_RINSE_OFF, MAX_ROUNDS = 0.1, (50.0, 95.0), (40.0, 90.0), 20
@@ -71,6 +74,33 @@ def _shares(rng: np.random.Generator, n: int, size: int, alpha: float, decay: fl
     return gammas / np.where(total == 0, 1.0, total)
 
 
+#: Tasks that patterns are dealt over.
+DRAWING_TASKS = 96
+#: Blocks of draws that a worker keeps, and the most entries of lists whose blocks are kept.
+BLOCKS_KEPT, KEPT_ENTRIES = 16, 16
+
+
+def _new_block(n_trace: int, wet: bool, n_other: int, sizes: tuple[int, ...], seed: int, alpha: float, decay: float | None) -> tuple:
+    """Draws of the last of blocks of these sizes, not scaled (traces and water in 0 to 1, shares in falling order), and the generator's state after them."""
+    rng = np.random.default_rng(seed)
+    if sizes[:-1]:
+        rng.bit_generator.state = _block(n_trace, wet, n_other, sizes[:-1], seed, alpha, decay)[3]
+    size = sizes[-1]
+    traces = rng.random((size, n_trace))
+    water = rng.random((size, 1)) if wet else None
+    shares = -np.sort(-_shares(rng, n_other, size, alpha, decay), axis=1)
+    return traces, water, shares, rng.bit_generator.state
+
+
+@lru_cache(BLOCKS_KEPT)
+def _kept_block(*shape) -> tuple:
+    return _new_block(*shape)
+
+
+def _block(n_trace: int, wet: bool, n_other: int, *args) -> tuple:
+    return (_kept_block if n_trace + n_other <= KEPT_ENTRIES else _new_block)(n_trace, wet, n_other, *args)
+
+
 def draw(listed: Listed, leave_on: bool, n_samples: int, seed: int, alpha: float = 1.0, floor: float = 0.0, water_prior: tuple[float, float] | None = None, decay: float | None = None) -> np.ndarray:
     """n_samples rows that fulfil all constraints; Contradiction if too few draws do.
 
@@ -81,20 +111,20 @@ def draw(listed: Listed, leave_on: bool, n_samples: int, seed: int, alpha: float
         raise ValueError("alpha must be above 0, and decay above 0 and at most 1")
     low, high = water_prior or (WATER_LEAVE_ON if leave_on else WATER_RINSE_OFF)
     listed.check(low, high, floor)
-    rng = np.random.default_rng(seed)
     main, wet = ~listed.trace, ~listed.trace & listed.water
     other = main & ~wet
     caps = np.where(np.isnan(listed.cap), np.inf, listed.cap)
-    found, tries, kept = [], 0, 0
+    found, tries, kept, sizes = [], 0, 0, ()
     while kept < n_samples and tries < n_samples * MAX_ROUNDS:
         size = min(max(2 * (n_samples - kept), 256), n_samples * MAX_ROUNDS - tries)
         tries += size
+        sizes += (size,)
+        traces, water, shares, _ = _block(int(listed.trace.sum()), bool(wet.any()), int(other.sum()), sizes, seed, alpha, decay)
         rows = np.zeros((size, len(caps)))
-        rows[:, listed.trace] = rng.uniform(0.0, np.minimum(TRACE_LINE, caps[listed.trace]), (size, int(listed.trace.sum())))
+        rows[:, listed.trace] = traces * np.minimum(TRACE_LINE, caps[listed.trace])
         if wet.any():
-            rows[:, wet] = rng.uniform(low, min(high, caps[wet][0]), (size, 1))
+            rows[:, wet] = low + (min(high, caps[wet][0]) - low) * water
         rest = 100.0 - rows.sum(axis=1) - other.sum() * floor
-        shares = -np.sort(-_shares(rng, int(other.sum()), size, alpha, decay), axis=1)
         rows[:, other] = shares * rest[:, None] + floor
         mains = rows[:, main]
         good = (rest >= 0) & (mains[:, -1] >= TRACE_LINE) & (np.diff(mains, axis=1) <= 1e-12).all(axis=1) & (mains <= caps[main] + 1e-12).all(axis=1)
@@ -105,6 +135,17 @@ def draw(listed: Listed, leave_on: bool, n_samples: int, seed: int, alpha: float
     return np.concatenate(found)[:n_samples]
 
 
+def binding(listed: Listed, low: float, high: float, floor: float) -> np.ndarray:
+    """The caps of a list that fulfils `check`, without those that no draw can reach: the k-th of the others has at most a k-th of what they share."""
+    wet, other = ~listed.trace & listed.water, ~listed.trace & ~listed.water
+    most = np.full(len(listed.cap), TRACE_LINE)
+    most[wet] = high
+    n = int(other.sum())
+    # a little more, for shares are rounded
+    most[other] = floor + (100 - (low if wet.any() else 0) - n * floor) / np.arange(1, n + 1) + 1e-6
+    return np.where(listed.cap >= most, np.nan, listed.cap)
+
+
 def upper_cap(leave_on: Column) -> Column:
     """The lowest of the caps that hold for a kind of product; nulls don't count."""
     return F.least("legal_cap", F.when(leave_on, F.col("max_leave_on")).otherwise(F.col("max_rinse_off")))
@@ -121,31 +162,70 @@ def listed_components(items: DataFrame, links: DataFrame, components: DataFrame)
 
 def estimate(listed: DataFrame, n_samples: int = 2000, seed: int = 42, alpha: float = 1.0, floor: float = 0.0, water_leave_on: tuple[float, float] | None = None, decay: float | None = None) -> DataFrame:
     """product_id, ingredient_id, position, low, high (5 and 95 %), confidence and reason (null, or why there is no estimate)."""
-    id_types = [listed.schema["product_id"], listed.schema["ingredient_id"], listed.schema["position"]]
-    schema = T.StructType([*id_types, *[T.StructField(x, T.DoubleType()) for x in ("low", "high", "confidence")], T.StructField("reason", T.StringType())])
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["position", "ingredient_id"], kind="stable")
-        own = Listed(rows["is_trace"].to_numpy(bool), rows["water"].to_numpy(bool), rows["cap"].to_numpy(float))
-        leave_on = bool(rows["leave_on"].iloc[0])
-        out = rows[["product_id", "ingredient_id", "position"]].copy()
-        out["low"] = out["high"] = out["confidence"] = np.nan
-        out["reason"] = None
-        try:
-            samples = draw(own, leave_on, n_samples, seed, alpha, floor, water_leave_on if leave_on else None, decay)
-        except Contradiction as problem:
-            out["reason"] = str(problem)
-            return out.astype({"low": object, "high": object, "confidence": object}).where(out.notna(), None)
-        low, high = np.percentile(samples, [5, 95], axis=0)
-        out["low"], out["high"] = low, high
-        prior = ~np.isnan(own.cap) | own.water
-        out["confidence"] = np.clip(0.5 + 0.3 * prior + 0.2 * (1 - (high - low) / 100), 0, 1)
-        return out
+    def prior(leave_on: bool) -> tuple[float, float]:
+        return (water_leave_on if leave_on else None) or (WATER_LEAVE_ON if leave_on else WATER_RINSE_OFF)
+
+    def lists(rows: pd.DataFrame, caps: str) -> Iterator[tuple[Listed, bool]]:
+        for trace, water, cap, leave_on in zip(rows["trace"], rows["water"], rows[caps], rows["leave_on"], strict=True):
+            cap = np.asarray(cap, float)
+            yield Listed(np.asarray(trace, bool), np.asarray(water, bool), np.where(np.isinf(cap), np.nan, cap)), bool(leave_on)
+
+    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            reasons, caps = [], []
+            for own, leave_on in lists(rows, "cap"):
+                reason, cap = None, own.cap
+                try:
+                    own.check(*prior(leave_on), floor)
+                    cap = binding(own, *prior(leave_on), floor)
+                except Contradiction as problem:
+                    reason = str(problem)
+                reasons.append(reason)
+                caps.append(np.where(np.isnan(cap), np.inf, cap))
+            yield rows.assign(binding=caps, reason=reasons)
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            lows, highs, reasons = [], [], []
+            for own, leave_on in lists(rows, "binding"):
+                low = high = reason = None
+                try:
+                    samples = draw(own, leave_on, n_samples, seed, alpha, floor, water_leave_on if leave_on else None, decay)
+                    low, high = np.percentile(samples, [5, 95], axis=0)
+                except Contradiction as problem:
+                    reason = str(problem)
+                lows.append(low)
+                highs.append(high)
+                reasons.append(reason)
+            yield rows.assign(low=lows, high=highs, failed=reasons)
 
     mains = listed.groupBy("product_id").agg(F.sum((~F.col("is_trace")).cast("int")).alias("_mains"))
     counted = listed.join(mains, "product_id")
     too_long = counted.where(F.col("_mains") > MAX_MAIN).select("product_id", "ingredient_id", "position", *[F.lit(None).cast("double").alias(x) for x in ("low", "high", "confidence")], F.lit("more main components than 100 % can hold").alias("reason"))
-    return counted.where(F.col("_mains") <= MAX_MAIN).drop("_mains").groupBy("product_id").applyInPandas(one, schema).unionByName(too_long)
+    entry = F.struct("position", "ingredient_id", F.coalesce("is_trace", F.lit(False)).alias("trace"), F.coalesce("water", F.lit(False)).alias("water"), F.col("cap").cast("double").alias("cap"), F.coalesce("leave_on", F.lit(False)).alias("leave_on"))
+    whole = counted.where(F.col("_mains") <= MAX_MAIN).groupBy("product_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    # lists with the same caps as far as they matter are one: in a falling list the least cap so far holds for all that follow, and no dose is above 100
+    endless = F.lit(float("inf"))
+    cap = lambda x: F.when(x["cap"].isNull() | F.isnan(x["cap"]) | (x["cap"] >= F.when(x["trace"], F.lit(TRACE_LINE)).otherwise(F.lit(100.0))), endless).otherwise(x["cap"])
+    least = lambda so_far, x: F.when(x["trace"] | x["water"], so_far["least"]).otherwise(F.least(so_far["least"], cap(x)))
+    start = F.struct(endless.alias("least"), F.array().cast("array<double>").alias("caps"))
+    walked = F.aggregate("entries", start, lambda so_far, x: F.struct(least(so_far, x).alias("least"), F.concat(so_far["caps"], F.array(F.when(x["trace"] | x["water"], cap(x)).otherwise(least(so_far, x)))).alias("caps")))
+    named = whole.select("product_id", "entries", F.get("entries", F.lit(0))["leave_on"].alias("leave_on"), F.col("entries.trace").alias("trace"), F.col("entries.water").alias("water"), walked["caps"].alias("cap"))
+    named = materialize(named, "lists")
+    kind = "leave_on boolean, trace array<boolean>, water array<boolean>"
+    patterns = named.select("leave_on", "trace", "water", "cap").distinct()
+    patterns = materialize(patterns.mapInPandas(checked, f"{kind}, cap array<double>, binding array<double>, reason string"), "patterns")
+    shared = ["leave_on", "trace", "water", "binding"]
+    # draws are the work: they are dealt evenly, lists of one shape beside one another
+    to_draw = patterns.where("reason is null").select(*shared).distinct().repartition(DRAWING_TASKS).sortWithinPartitions("trace", "water")
+    draws = materialize(to_draw.mapInPandas(drawn, f"{kind}, binding array<double>, low array<double>, high array<double>, failed string"), "draws")
+    known = patterns.join(draws, shared, "left").select("leave_on", "trace", "water", "cap", "low", "high", F.coalesce("reason", "failed").alias("reason"))
+    rows = named.join(known, ["leave_on", "trace", "water", "cap"]).select("product_id", "low", "high", "reason", F.posexplode("entries").alias("_at", "entry"))
+    low, high = F.get("low", F.col("_at")), F.get("high", F.col("_at"))
+    told = F.when(F.col("entry.water") | (F.col("entry.cap").isNotNull() & ~F.isnan("entry.cap")), F.lit(0.3)).otherwise(F.lit(0.0))
+    confidence = F.when(low.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + told + F.lit(0.2) * (1 - (high - low) / 100))))
+    found = rows.select("product_id", "entry.ingredient_id", "entry.position", low.alias("low"), high.alias("high"), confidence.alias("confidence"), "reason")
+    return found.unionByName(too_long)
 
 
 def anchor_coverage(estimates: DataFrame, disclosed: DataFrame) -> DataFrame:

@@ -416,3 +416,21 @@ def test_nearest_holds_few_scores_at_once():
     best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :5]
     assert found.column(1).to_pylist() == best.ravel().tolist()
     assert found.column(2).to_pylist() == np.take_along_axis(scores, best, 1).ravel().tolist()
+
+
+def test_lists_of_one_pattern_are_drawn_once(spark, monkeypatch):
+    """Of 40 items, caps that no draw can reach and repeated lists leave two patterns to draw; each item's interval is that of its own draws."""
+    schema = "product_id long, ingredient_id long, position int, is_trace boolean, cap double, water boolean, leave_on boolean"
+    own = lambda i: [60.0, 40.0 if i % 2 else None, 71.0 + i, None if i % 3 else 150.0]
+    rows = [(i, 10 * i + k, k, k == 4, cap, k == 1, True) for i in range(40) for k, cap in enumerate(own(i), 1)]
+    written, materialize = {}, concentration.materialize
+    monkeypatch.setattr(concentration, "materialize", lambda df, name: written.setdefault(name, materialize(df, name)))
+    found = {(r.product_id, r.position): r for r in concentration.estimate(spark.createDataFrame(rows, schema), 200).collect()}
+    assert len(found) == 160 and written["draws"].count() == 2
+    for i in (0, 1, 2, 39):
+        caps = np.array([np.nan if x is None else x for x in own(i)])
+        samples = concentration.draw(concentration.Listed(np.array([False] * 3 + [True]), np.array([True] + [False] * 3), caps), True, 200, 42)
+        low, high = np.percentile(samples, [5, 95], axis=0)
+        for k in range(4):
+            r, told = found[i, k + 1], k == 0 or not np.isnan(caps[k])
+            assert (r.low, r.high) == (low[k], high[k]) and r.confidence == pytest.approx(0.5 + 0.3 * told + 0.2 * (1 - (high[k] - low[k]) / 100))
