@@ -121,8 +121,11 @@ def list_tokens(text: Column) -> Column:
 def list_words(text: Column) -> Column:
     """A pasted list of names: commas between digits don't separate; of equal folded names the first stays."""
     parts = no_empty(F.transform(F.split(text, r"(?<!\d)[,，]|[,，](?!\d)|[、;；\n]"), lambda x: F.btrim(x)))
-    folded = F.transform(parts, fold)
-    return F.filter(parts, lambda x, i: F.array_position(folded, F.get(folded, i)) == i + 1)
+    # names are split and folded once each; a lambda that refers to the folded array would work it out again for each name
+    pairs = F.transform(parts, lambda x: F.struct(x.alias("name"), fold(x).alias("folded")))
+    none = F.array().cast("array<string>")
+    add = lambda so_far, x: F.when(F.array_contains(so_far["seen"], x["folded"]), so_far).otherwise(F.struct(F.array_append(so_far["names"], x["name"]).alias("names"), F.array_append(so_far["seen"], x["folded"]).alias("seen")))
+    return F.aggregate(pairs, F.struct(none.alias("names"), none.alias("seen")), add, lambda so_far: so_far["names"])
 
 
 def stem(text: Column) -> Column:

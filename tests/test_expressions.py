@@ -150,3 +150,9 @@ def test_small_texts(spark):
     assert one(spark, t.opinion_sentences, text) == ["X is safe at 2 %.", "The risk cannot be told!"]
     note = t.snapshot_note(F.lit("u"), F.lit("T"), F.lit(True), F.lit(False), F.lit(3), F.lit(None).cast("int"))
     assert spark.range(1).select(note).first()[0] == "页面 u；标题「T」；日期仅月日，年份按采集日推断（估计）"
+
+
+def test_list_words_splits_and_folds_once(spark):
+    rows = spark.createDataFrame([("a、A、b，c、，C、1,2-D",), (None,), ("",)], "text string").select(t.list_words(F.col("text")).alias("words"))
+    assert [r.words for r in rows.collect()] == [["a", "b", "c", "1,2-D"], None, []]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
