@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from evidentia.llm import lm_scoring
@@ -122,3 +123,25 @@ def test_no_training_rows(spark):
     doc_id = next(i for i in range(1000) if held(i))
     row = lm_scoring.lm_scores(spark.createDataFrame([(doc_id, "a b")], "doc_id long, text string")).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.score) == (True, 3, 0, 0, row.base_score)
+
+
+def test_mixed_numbers_are_a_bijection_and_packed_ones_come_back():
+    for bits in (22, 37, 63):
+        keys = np.unique(np.random.default_rng(1).integers(0, 1 << bits, 5000))
+        mixed = np.sort(lm_scoring._mixed(keys, bits))
+        assert len(np.unique(mixed)) == len(keys) and mixed.min() >= 0 and mixed.max() < 1 << bits
+        assert np.array_equal(np.sort(lm_scoring._unmixed(mixed, bits)), keys)
+        assert np.array_equal(lm_scoring._climbed(lm_scoring._steps(mixed)), mixed)
+        wanted = np.concatenate([mixed[::7], [-1, int(mixed[0]) ^ 1]])
+        assert np.array_equal(lm_scoring._find_mixed(mixed, wanted, bits), lm_scoring._find(mixed, wanted))
+    assert len(lm_scoring._unpacked(lm_scoring._packed(np.zeros(0, np.int64)))) == 0
+
+
+def test_a_chunk_sends_each_part_one_row_of_few_bytes_an_n_gram():
+    bits = 40
+    mixed = lm_scoring._mixed(np.random.default_rng(5).integers(0, 1 << bits, 1_000_000), bits)
+    sent = lm_scoring._grams(7, mixed, np.ones(len(mixed), bool), bits)
+    assert sent.num_rows == lm_scoring.PARTS
+    assert sent.nbytes < 4 * len(mixed)
+    gram, n = np.unique(mixed, return_counts=True)
+    assert np.array_equal(lm_scoring._joined(sent["x"], lm_scoring._climbed), gram) and np.array_equal(lm_scoring._joined(sent["n"]), n)
