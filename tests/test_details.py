@@ -1,5 +1,7 @@
 """Details, reports and names on hand-checked rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +194,14 @@ def test_verdict_agreement(spark):
     verdicts = spark.createDataFrame([(1, 1, "effective"), (1, 1, "unknown"), (2, 1, "unknown"), (2, 1, "effective"), (1, 2, "effective"), (2, 2, "insufficient"), (2, 3, None)], "product_id long, ingredient_id long, verdict string")
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     assert resolution.verdict_agreement(verdicts, pairs).collect() == [(1, 2, 2, 1)]
+
+
+def test_lines_are_not_walked_letter_by_letter_where_nothing_asks_for_it(spark):
+    # a walk of 80 million letters took minutes
+    text = F.repeat(F.lit("no slash here, \u4fdd\u6e7f \U0001f600. "), 20_000)
+    rows = spark.range(200, numPartitions=1).select(F.concat(text, F.col("id").cast("string")).alias("line"))
+    began = time.perf_counter()
+    found = rows.select(t.slash_in_parentheses(F.col("line")).alias("inside"), t.profile_key(F.col("line")).alias("key")).agg(F.count_if("inside").alias("inside"), F.count_distinct("key").alias("keys")).first()
+    assert tuple(found) == (0, 200) and time.perf_counter() - began < 60
+    odd = spark.createDataFrame([(None,), ("",), ("a\n(b\n/",), ("\U0001f600",), ("(a)/",)], "line string")
+    assert [tuple(r) for r in odd.select(t.slash_in_parentheses(F.col("line")), t.profile_key(F.col("line"))).collect()] == [(None, None), (False, 5381), (True, signed(hashed("a\n(b\n/"))), (False, signed(hashed("\ud83d\ude00"))), (False, signed(hashed("(a)/")))]
