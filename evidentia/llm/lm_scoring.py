@@ -46,6 +46,8 @@ END = b"\n"
 PART_BITS = 11
 PARTS = 1 << PART_BITS
 CODEC = "zstd"
+#: Places of a chunk that are worked on at once, and bytes of texts that are split at once.
+BLOCK, SPLIT_BYTES = 1 << 19, 3 << 20
 
 
 def _squeezed(raw: bytes) -> bytes:
@@ -183,7 +185,7 @@ def _numbered(id_type: T.DataType, chunk_bytes: int):
                 start = at
                 # up to and with the text that fills the chunk
                 done = ends[start - 1] if start else 0
-                at = min(batch.num_rows, int(np.searchsorted(ends, done + chunk_bytes - size)) + 1)
+                at = min(batch.num_rows, int(np.searchsorted(ends, done + min(chunk_bytes - size, SPLIT_BYTES))) + 1)
                 size += int(ends[at - 1] - done)
                 numbered = []
                 for k_text, ids in enumerate(_word_ids(batch.column(1).slice(start, at - start), words), start):
@@ -208,9 +210,9 @@ def _numbered(id_type: T.DataType, chunk_bytes: int):
 
 def _run(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of all documents one after another, each followed by a gap of -1; the document and whether it is trained on, of each place."""
-    texts = [np.append(_unpacked(x), -1) for x in docs["ids"].to_pylist()]
+    texts = [np.append(_unpacked(x), -1).astype(np.int32) for x in docs["ids"].to_pylist()]
     sizes = np.array([len(x) for x in texts], np.int64)
-    return np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes), np.repeat(~docs["held_out"].to_numpy(), sizes)
+    return np.concatenate(texts), np.repeat(np.arange(len(texts), dtype=np.int32), sizes), np.repeat(~docs["held_out"].to_numpy(), sizes)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -223,18 +225,19 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def _find_mixed(keys: np.ndarray, wanted: np.ndarray, bits: int) -> np.ndarray:
     """_find for mixed numbers (-1: none is wanted): keys are even, so their high bits tell nearly where each stands."""
-    found = np.full(len(wanted), -1, np.int64)
+    found = np.full(len(wanted), -1, np.int32)
     low = max(0, bits - len(keys).bit_length())
     starts = np.concatenate([[0], np.cumsum(np.bincount(keys >> low, minlength=1 << (bits - low)))])
-    left = np.flatnonzero(wanted >= 0)
-    slot = wanted[left] >> low
-    at, end = starts[slot], starts[slot + 1]
-    while len(left):
-        inside = at < end
-        left, at, end = left[inside], at[inside], end[inside]
-        hit = keys[at] == wanted[left]
-        found[left[hit]] = at[hit]
-        left, at, end = left[~hit], at[~hit] + 1, end[~hit]
+    for begin in range(0, len(wanted), BLOCK):
+        left = begin + np.flatnonzero(wanted[begin : begin + BLOCK] >= 0)
+        slot = wanted[left] >> low
+        at, end = starts[slot], starts[slot + 1]
+        while len(left):
+            inside = at < end
+            left, at, end = left[inside], at[inside], end[inside]
+            hit = keys[at] == wanted[left]
+            found[left[hit]] = at[hit]
+            left, at, end = left[~hit], at[~hit] + 1, end[~hit]
     return found
 
 
@@ -314,10 +317,11 @@ def _names(words: pa.Table) -> np.ndarray:
 
 def _pairs(run: np.ndarray, names: np.ndarray, bits: int, n_words: int) -> np.ndarray:
     """The mixed number of the 2-gram that begins at each place; -1 where a word has no name."""
-    named = names[run]
-    open_ = (named[:-1] >= 0) & (named[1:] >= 0)
-    pairs = np.full(len(open_), -1, np.int64)
-    pairs[open_] = _mixed(named[:-1][open_] * n_words + named[1:][open_], bits)
+    pairs = np.full(len(run) - 1, -1, np.int64)
+    for begin in range(0, len(pairs), BLOCK):
+        named = names[run[begin : begin + BLOCK + 1]]
+        open_ = (named[:-1] >= 0) & (named[1:] >= 0)
+        pairs[begin : begin + BLOCK][open_] = _mixed(named[:-1][open_] * n_words + named[1:][open_], bits)
     return pairs
 
 
@@ -452,7 +456,7 @@ class Automaton:
 
         two, three: which kept n-gram begins at each place, -1 for none. They tell the state before each word and whether it has an arc for the word.
         """
-        state, before, longest = np.zeros(len(run), np.int64), np.full(len(run), -1, np.int64), np.full(len(run), -1, np.int64)
+        state, before, longest = np.zeros(len(run), np.int32), np.full(len(run), -1, np.int32), np.full(len(run), -1, np.int32)
         word, before[1:], longest[2:] = run[:-1], two, three[:-2]
         state[1:] = np.where(word >= 0, self.of_word[word], 0)
         at = np.flatnonzero(two[:-1] >= 0)
@@ -494,10 +498,10 @@ def _scored(id_type: T.DataType, n_tokens: int, n_words: int, n_names: int, bits
         stands[pair[at]] = at
         first, second = run[stands], run[stands + 1]
         order = np.argsort(_key(first, second))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
-        three = np.full(len(run), -1, np.int64)
+        three = np.full(len(run), -1, np.int32)
         three[at] = _find_mixed(_joined(threes["x"], _climbed), _mixed(pair_names[pair[at]] * n_names + names[run[at + 2]], bits3), bits3)
         c_three = _joined(threes["c"])
         stands = np.zeros(len(c_three), np.int64)
@@ -507,7 +511,7 @@ def _scored(id_type: T.DataType, n_tokens: int, n_words: int, n_names: int, bits
         m, real = docs.num_rows, run >= 0
         total = lambda values: np.bincount(doc, weights=values, minlength=m)
         word = np.maximum(run, 0)
-        found = [total(real).astype(np.int64), total(real & (counts[word] > 0)).astype(np.int64), np.full(m, n_tokens, np.int64), total(np.where(real, word_scores[word], 0.0)), total(automaton.traverse(run, np.where(pair >= 0, place[pair], -1) if len(place) else pair, three))]
+        found = [total(real).astype(np.int64), total(real & (counts[word] > 0)).astype(np.int64), np.full(m, n_tokens, np.int64), total(np.where(real, word_scores[word], 0.0)), total(automaton.traverse(run, np.where(pair >= 0, place[pair], np.int32(-1)) if len(place) else pair, three))]
         return pa.table([docs["doc_id"], docs["held_out"], *[pa.array(v) for v in found]], names=schema.names)
 
     return score, schema
