@@ -38,6 +38,17 @@ def test_decided_searches_compare_no_items_again(spark, monkeypatch):
     assert sorted((r.query_id, r["rank"], r.product_id, r.score, r.shared) for r in found) == [(0, 1, 1, 1.0, 6), (0, 2, 2, 0.0909, 1), (13, 1, 12, 1.0, 6), (13, 2, 14, 0.0909, 1)]
 
 
+def test_lists_are_dealt_out_by_item(spark, monkeypatch):
+    links = spark.createDataFrame([(k % 211, k * k % 503, k % 7 + 1) for k in range(8000)], "product_id long, ingredient_id long, position int")
+    queries = spark.createDataFrame([(k,) for k in range(0, 211, 50)], "product_id long")
+    both = lambda: vectors.hybrid(vectors.one_hot(links), vectors.rank_decay(links))
+    near = lambda rows: sorted(map(tuple, vectors.cosine_neighbours(rows, queries, 5).collect()))
+    few = near(both()), near(vectors.tf_idf(links))
+    monkeypatch.setattr(dealing, "ROWS_A_TASK", 100)
+    assert largest(vectors.one_hot(links)) < 400 and largest(vectors.rank_decay(links)) < 400
+    assert (near(both()), near(vectors.tf_idf(links))) == few and len(few[0]) == 25
+
+
 def test_items_stream_past_queries_unsorted(spark):
     rows = spark.createDataFrame([(1, 1, 1.0), (2, 1, 2.0), (3, 2, 1.0)], "product_id long, ingredient_id long, weight double")
     plan = similarity._meet(rows.select(F.col("product_id").alias("query_id"), "ingredient_id", F.col("weight").alias("query_weight")), rows, "ingredient_id")
