@@ -1,14 +1,15 @@
 """Doses of listed components by constrained sampling: lists are in falling order and add up to 100 %.
 
 Draws depend only on a list's kinds of entries and the caps that can bind, so each such pattern is drawn once, whatever the number of items that have it: the work
-spreads over patterns, and a lost task repeats exactly. Draws before they are scaled depend on numbers of entries only and are kept for the next pattern.
+spreads over patterns, and a lost task repeats exactly. Draws before they are scaled depend on numbers of entries only, and the others' caps only choose among rows: both are kept
+for the next pattern, so that a pattern costs a few comparisons of rows.
 Main components have at least the trace line each, so lists with more than MAX_MAIN of them contradict 100 %; they are told by a
 count and never gathered into a group. Contradicting constraints give a row with a reason, never a loosened one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -76,34 +77,79 @@ def _shares(rng: np.random.Generator, n: int, size: int, alpha: float, decay: fl
 
 #: Tasks that patterns are dealt over.
 DRAWING_TASKS = 96
-#: Blocks of draws that a worker keeps, and the most entries of lists whose blocks are kept.
-BLOCKS_KEPT, KEPT_ENTRIES = 16, 16
+#: Draws and rows of so many kinds are kept by a worker, of lists with at most so many entries.
+KINDS_KEPT, KEPT_ENTRIES = 2, 16
 
 
-def _new_block(n_trace: int, wet: bool, n_other: int, sizes: tuple[int, ...], seed: int, alpha: float, decay: float | None) -> tuple:
-    """Draws of the last of blocks of these sizes, not scaled (traces and water in 0 to 1, shares in falling order), and the generator's state after them."""
-    rng = np.random.default_rng(seed)
-    if sizes[:-1]:
-        rng.bit_generator.state = _block(n_trace, wet, n_other, sizes[:-1], seed, alpha, decay)[3]
-    size = sizes[-1]
-    traces = rng.random((size, n_trace))
-    water = rng.random((size, 1)) if wet else None
-    shares = -np.sort(-_shares(rng, n_other, size, alpha, decay), axis=1)
-    return traces, water, shares, rng.bit_generator.state
+class _Kept:
+    """What an iterator gives, kept as far as it has been asked for."""
 
+    def __init__(self, blocks: Iterator):
+        self.blocks, self.seen = blocks, []
 
-@lru_cache(BLOCKS_KEPT)
-def _kept_block(*shape) -> tuple:
-    return _new_block(*shape)
+    def __iter__(self) -> Iterator:
+        at = 0
+        while True:
+            if at == len(self.seen):
+                block = next(self.blocks, None)
+                if block is None:
+                    return
+                self.seen.append(block)
+            yield self.seen[at]
+            at += 1
 
 
-def _block(n_trace: int, wet: bool, n_other: int, *args) -> tuple:
-    return (_kept_block if n_trace + n_other <= KEPT_ENTRIES else _new_block)(n_trace, wet, n_other, *args)
+def _new_draws(n_trace: int, wet: bool, n_other: int, n_samples: int, seed: int, alpha: float, decay: float | None) -> Iterator[tuple]:
+    """All draws of a list with so many entries, in blocks, not scaled: traces and water in 0 to 1, shares in falling order; a column a draw."""
+    rng, left = np.random.default_rng(seed), n_samples * MAX_ROUNDS
+    while left:
+        size = min(max(2 * n_samples, 256), left)
+        left -= size
+        traces = rng.random((size, n_trace)).T
+        water = rng.random((1, size)) if wet else np.zeros((0, size))
+        shares = -np.sort(-_shares(rng, n_other, size, alpha, decay), axis=1)
+        yield traces, water, np.ascontiguousarray(shares.T)
+
+
+def _new_rows(caps: tuple[float, ...], water: tuple[float, float] | None, n_other: int, floor: float, *args) -> Iterator[np.ndarray]:
+    """The draws, scaled, that fulfil all constraints but the caps of the others than traces and water; blocks of columns with traces, water and others.
+
+    caps: the caps of the traces; water: its bounds, if there is one.
+    """
+    for traces, wet, shares in _draws(len(caps), water is not None, n_other, *args):
+        traces = traces * np.minimum(TRACE_LINE, caps)[:, None]
+        if water:
+            wet = water[0] + (water[1] - water[0]) * wet
+        rest = 100.0 - wet.sum(axis=0) - traces.sum(axis=0) - n_other * floor
+        others = shares * rest + floor
+        good = (rest >= 0) & (others[-1] >= TRACE_LINE)
+        if water:
+            good &= (others[0] - wet[0] <= 1e-12) & (wet[0] <= water[1] + 1e-12)
+        yield np.concatenate([traces, wet, others])[:, good]
+
+
+@lru_cache(KINDS_KEPT)
+def _kept_draws(*kind) -> _Kept:
+    return _Kept(_new_draws(*kind))
+
+
+@lru_cache(KINDS_KEPT)
+def _kept_rows(*kind) -> _Kept:
+    return _Kept(_new_rows(*kind))
+
+
+def _draws(n_trace: int, wet: bool, n_other: int, *args) -> Iterable[tuple]:
+    return (_kept_draws if n_trace + n_other <= KEPT_ENTRIES else _new_draws)(n_trace, wet, n_other, *args)
+
+
+def _rows(caps: tuple[float, ...], water: tuple[float, float] | None, n_other: int, *args) -> Iterable[np.ndarray]:
+    return (_kept_rows if len(caps) + n_other <= KEPT_ENTRIES else _new_rows)(caps, water, n_other, *args)
 
 
 def draw(listed: Listed, leave_on: bool, n_samples: int, seed: int, alpha: float = 1.0, floor: float = 0.0, water_prior: tuple[float, float] | None = None, decay: float | None = None) -> np.ndarray:
-    """n_samples rows that fulfil all constraints; Contradiction if too few draws do.
+    """n_samples rows that fulfil all constraints, the first of the draws that do; Contradiction if too few do.
 
+    The draws are the same for all lists with as many traces, water and others, so lists that differ in the others' caps only choose among the same rows.
     decay: the shares of the others than water are normalised Gammas whose shape falls by this factor from place to place, before they are put in order; without it they are
     alike (a Dirichlet draw).
     """
@@ -111,28 +157,28 @@ def draw(listed: Listed, leave_on: bool, n_samples: int, seed: int, alpha: float
         raise ValueError("alpha must be above 0, and decay above 0 and at most 1")
     low, high = water_prior or (WATER_LEAVE_ON if leave_on else WATER_RINSE_OFF)
     listed.check(low, high, floor)
-    main, wet = ~listed.trace, ~listed.trace & listed.water
-    other = main & ~wet
+    wet = ~listed.trace & listed.water
+    other = ~listed.trace & ~wet
     caps = np.where(np.isnan(listed.cap), np.inf, listed.cap)
-    found, tries, kept, sizes = [], 0, 0, ()
-    while kept < n_samples and tries < n_samples * MAX_ROUNDS:
-        size = min(max(2 * (n_samples - kept), 256), n_samples * MAX_ROUNDS - tries)
-        tries += size
-        sizes += (size,)
-        traces, water, shares, _ = _block(int(listed.trace.sum()), bool(wet.any()), int(other.sum()), sizes, seed, alpha, decay)
-        rows = np.zeros((size, len(caps)))
-        rows[:, listed.trace] = traces * np.minimum(TRACE_LINE, caps[listed.trace])
-        if wet.any():
-            rows[:, wet] = low + (min(high, caps[wet][0]) - low) * water
-        rest = 100.0 - rows.sum(axis=1) - other.sum() * floor
-        rows[:, other] = shares * rest[:, None] + floor
-        mains = rows[:, main]
-        good = (rest >= 0) & (mains[:, -1] >= TRACE_LINE) & (np.diff(mains, axis=1) <= 1e-12).all(axis=1) & (mains <= caps[main] + 1e-12).all(axis=1)
-        found.append(rows[good])
-        kept += int(good.sum())
+    bounds = (low, min(high, float(caps[wet][0]))) if wet.any() else None
+    # others fall, so that only caps below all before them matter
+    least = np.minimum.accumulate(caps[other])
+    first = int((~other).sum())
+    caps_at = [(first + k, least[k] + 1e-12) for k in range(len(least)) if least[k] < (least[k - 1] if k else np.inf)]
+    found, kept = [], 0
+    for rows in _rows(tuple(caps[listed.trace].tolist()), bounds, int(other.sum()), floor, n_samples, seed, alpha, decay):
+        good = np.ones(rows.shape[1], bool)
+        for k, cap in caps_at:
+            good &= rows[k] <= cap
+        found.append((rows, good))
+        kept += int(np.count_nonzero(good))
+        if kept >= n_samples:
+            break
     if kept < n_samples:
-        raise Contradiction(f"{kept} of {n_samples} samples after {tries} draws")
-    return np.concatenate(found)[:n_samples]
+        raise Contradiction(f"{kept} of {n_samples} samples after {n_samples * MAX_ROUNDS} draws")
+    samples = np.empty((len(caps), n_samples))
+    samples[np.concatenate([np.flatnonzero(x) for x in (listed.trace, wet, other)])] = np.concatenate([rows[:, good] for rows, good in found], axis=1)[:, :n_samples]
+    return samples.T
 
 
 def binding(listed: Listed, low: float, high: float, floor: float) -> np.ndarray:
@@ -216,8 +262,10 @@ def estimate(listed: DataFrame, n_samples: int = 2000, seed: int = 42, alpha: fl
     patterns = named.select("leave_on", "trace", "water", "cap").distinct()
     patterns = materialize(patterns.mapInPandas(checked, f"{kind}, cap array<double>, binding array<double>, reason string"), "patterns")
     shared = ["leave_on", "trace", "water", "binding"]
-    # draws are the work: they are dealt evenly, lists of one shape beside one another
-    to_draw = patterns.where("reason is null").select(*shared).distinct().repartition(DRAWING_TASKS).sortWithinPartitions("trace", "water")
+    # draws are the work: they are dealt evenly, lists that choose among the same rows beside one another
+    capped = lambda which: F.filter(F.zip_with(which, "binding", lambda own, cap: F.when(own, cap)), lambda x: x.isNotNull())
+    alike = [F.size("trace"), F.size(F.filter("trace", lambda x: x)), capped("trace"), "leave_on", capped("water"), "binding", "trace", "water"]
+    to_draw = patterns.where("reason is null").select(*shared).distinct().repartitionByRange(DRAWING_TASKS, *alike).sortWithinPartitions(*alike)
     draws = materialize(to_draw.mapInPandas(drawn, f"{kind}, binding array<double>, low array<double>, high array<double>, failed string"), "draws")
     known = patterns.join(draws, shared, "left").select("leave_on", "trace", "water", "cap", "low", "high", F.coalesce("reason", "failed").alias("reason"))
     rows = named.join(known, ["leave_on", "trace", "water", "cap"]).select("product_id", "low", "high", "reason", F.posexplode("entries").alias("_at", "entry"))

@@ -434,3 +434,28 @@ def test_lists_of_one_pattern_are_drawn_once(spark, monkeypatch):
         for k in range(4):
             r, told = found[i, k + 1], k == 0 or not np.isnan(caps[k])
             assert (r.low, r.high) == (low[k], high[k]) and r.confidence == pytest.approx(0.5 + 0.3 * told + 0.2 * (1 - (high[k] - low[k]) / 100))
+
+
+def test_lists_that_differ_in_caps_choose_among_the_same_draws(monkeypatch):
+    made, shares = [], concentration._shares
+    monkeypatch.setattr(concentration, "_shares", lambda *args: made.append(1) or shares(*args))
+    trace, water = np.array([False, True, False, False, False]), np.array([True] + [False] * 4)
+    raw = list(concentration._new_draws(1, True, 3, 200, 7, 0.44, None))
+    assert sum(len(wet[0]) for _, wet, _ in raw) == 200 * concentration.MAX_ROUNDS
+    made.clear()
+    told = set()
+    for caps in [(x, y, z) for x in (3.0, 8.0, 30.0, np.nan) for y in (1.0, 7.0, np.nan) for z in (0.2, 0.5, np.nan)]:
+        listed = concentration.Listed(trace, water, np.array([np.nan, np.nan, *caps]))
+        want = []
+        for traces, wet, parts in raw:
+            wet = 50 + 45 * wet[0]
+            rows = np.column_stack([wet, 0.1 * traces[0], *(parts * (100 - wet - 0.1 * traces[0] - 3 * 0.15) + 0.15)])
+            want.append(rows[(rows[:, 2] <= rows[:, 0] + 1e-12) & ~(rows[:, 2:] > np.array(caps) + 1e-12).any(axis=1)])
+        want = np.concatenate(want)
+        told.add(len(want) >= 200)
+        if len(want) >= 200:
+            assert np.allclose(concentration.draw(listed, True, 200, 7, 0.44, 0.15), want[:200], atol=1e-9)
+        else:
+            with pytest.raises(concentration.Contradiction, match=f"^{len(want)} of 200 samples after 4000 draws$|caps"):
+                concentration.draw(listed, True, 200, 7, 0.44, 0.15)
+    assert told == {True, False} and len(made) <= concentration.MAX_ROUNDS // 2
