@@ -2,7 +2,7 @@
 
 Equal sets are one class first. Tokens fall into parts by their hashes, one part more than the tokens that two similar sets may differ in, so such sets
 have at least one part in common, whole. Classes meet by whole parts, which loses no pair above the threshold and pairs no others but those that agree in
-several tokens at once; how often a token occurs doesn't matter.
+several tokens at once; how often a token occurs doesn't matter. Pairs that met are compared in groups that their sets are sent to once, so that no pair carries its sets along.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from evidentia.storage import materialize
 
 #: Thresholds of duplicate items.
 JACCARD, RELAXED_JACCARD, RELAXED_CONTAINMENT, CONTAINMENT, MAX_SIZE_DIFF, MIN_SIZE = 0.90, 0.85, 0.96, 0.93, 2, 11
+#: Sets that are compared with one another in one group, about, and tokens of theirs that a matrix holds.
+SETS_AT_ONCE, TOKENS_AT_ONCE = 512, 4096
 #: Sets that differ in size by more than MAX_SIZE_DIFF are linked from this similarity on, if at all (items of one language).
 SAME_SIZE_JACCARD = 0.98
 
@@ -101,6 +103,38 @@ def _parts(reach: Callable[[int], tuple[int, int]], id_type: T.DataType, tokens_
     return run, schema
 
 
+def _shared(id_type: T.DataType, block_type: T.DataType, least_jaccard: float):
+    """The pairs of a group of sets that are similar enough, with their sizes, block and number of common tokens: x, y, in no order."""
+    kinds = (("x", id_type), ("y", id_type), ("size_x", T.IntegerType()), ("size_y", T.IntegerType()), ("block", block_type), ("shared", T.IntegerType()))
+    schema = T.StructType([T.StructField(k, t) for k, t in kinds])
+
+    def count(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, blocks, keys = (group.column(k).combine_chunks() for k in ("id", "block", "keys"))
+        codes = keys.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        sizes = np.diff(keys.offsets.to_numpy())
+        # only tokens of several sets count; they are taken in slices, so that a matrix holds few
+        times = np.bincount(codes, minlength=1)
+        place = np.cumsum(times > 1) - 1
+        owner, kept = np.repeat(np.arange(len(sizes)), sizes), times[codes] > 1
+        owner, codes = owner[kept], place[codes[kept]]
+        order = np.argsort(codes, kind="stable")
+        owner, codes = owner[order], codes[order]
+        shared = np.zeros((len(sizes), len(sizes)), np.float32)
+        for start in range(0, int(place[-1]) + 1 if len(place) else 0, TOKENS_AT_ONCE):
+            here = slice(*np.searchsorted(codes, (start, start + TOKENS_AT_ONCE)))
+            has = np.zeros((len(sizes), min(TOKENS_AT_ONCE, int(place[-1]) + 1 - start)), np.float32)
+            has[owner[here], codes[here] - start] = 1
+            shared += has @ has.T
+        of = blocks.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        alike = (shared >= (least_jaccard - 1e-9) * (sizes[:, None] + sizes - shared)) & (of[:, None] == of)
+        x, y = np.nonzero(np.triu(alike, 1))
+        columns = [ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(sizes[x].astype(np.int32)), pa.array(sizes[y].astype(np.int32)), blocks.take(pa.array(x)), pa.array(shared[x, y].astype(np.int32))]
+        return pa.Table.from_arrays(columns, names=schema.names)
+
+    return count, schema
+
+
 def duplicate_edges(
     classes: DataFrame, accept: Column | None = None, least_jaccard: float = RELAXED_JACCARD, min_size: int = MIN_SIZE, reach: Callable[[int], tuple[int, int]] | None = None
 ) -> DataFrame:
@@ -123,13 +157,23 @@ def duplicate_edges(
     total = F.col("size_u") + F.col("size_v")
     near = (F.col("size_u") >= least_jaccard * F.col("size_v") - 1e-9) & (F.col("size_v") >= least_jaccard * F.col("size_u") - 1e-9)
     near = near & (differ("bits") + differ("more_bits") <= (1 - least_jaccard) / (1 + least_jaccard) * total + 1e-9)
-    candidates = materialize(side("u").join(side("v"), "part").where((F.col("u") > F.col("v")) & near).select("u", "v", "size_u", "size_v").distinct(), "candidates")
-    ends = candidates.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    met = side("u").join(side("v"), "part").where((F.col("u") > F.col("v")) & near)
+    # a pair that meets in several parts is compared in one of them, beside the other pairs of that part
+    candidates = materialize(met.groupBy("u", "v").agg(F.min("part").alias("part")), "candidates")
+    placed = F.explode(F.array("u", "v")).alias("id")
+    large = candidates.select("part", placed).distinct().groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > SETS_AT_ONCE)
+    large = materialize(large.select("part", F.ceil(2 * F.col("n") / SETS_AT_ONCE).alias("shares")), "large_parts")
+    share = lambda x: F.coalesce(F.pmod(F.xxhash64(x), F.col("shares")), F.lit(0).cast("long"))
+    dealt = candidates.join(large, "part", "left").withColumns({"one": F.least(share("u"), share("v")), "other": F.greatest(share("u"), share("v"))})
+    members = materialize(dealt.select("part", "one", "other", placed).distinct(), "members")
+    # written, so that their size is known: few ends are sent to the sets then, and no set is shuffled to be left out
+    ends = materialize(members.select("id").distinct(), "ends")
     sets = materialize(firsts.join(ends, "id", "left_semi"), "sets")
-    of = lambda name: sets.select(F.col("id").alias(name), F.col("block").alias(f"block_{name}"), F.col("keys").alias(f"keys_{name}"))
-    both = candidates.join(of("u"), "u").join(of("v"), "v").where("block_u = block_v")
-    shared = F.size(F.array_intersect("keys_u", "keys_v"))
-    measured = both.withColumn("shared", shared).select(
+    count, counted = _shared(firsts.schema["id"].dataType, firsts.schema["block"].dataType, least_jaccard)
+    compared = members.join(sets, "id").select("part", "one", "other", "id", "block", "keys").groupBy("part", "one", "other").applyInArrow(count, counted).where("x <> y")
+    first = F.col("x") > F.col("y")
+    ordered = [F.when(first, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("x", "y", "u"), ("y", "x", "v"), ("size_x", "size_y", "size_u"), ("size_y", "size_x", "size_v"))]
+    measured = compared.select(*ordered, "block", "shared").distinct().select(
         "u", "v", "size_u", "size_v", (F.col("shared") / (F.col("size_u") + F.col("size_v") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("size_u", "size_v")).alias("containment")
     )
     return measured.where(accept)

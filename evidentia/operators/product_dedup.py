@@ -25,23 +25,39 @@ CROSS_LANGUAGE_SIZE = 11
 NAMES_COMPARED = 100
 
 
-def item_classes(items: DataFrame, keys: DataFrame) -> DataFrame:
-    """id, name, block, keys, class_id, size, chinese, n_links and n_placed of every item that has keys.
+def item_sets(items: DataFrame, keys: DataFrame) -> DataFrame:
+    """id, name, block, keys (sorted), n_links and n_placed of every item that has keys.
 
     items: id, name, block (brands of one group); keys: id, key, and placed (whether the link has a position).
     """
     sets = keys.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.count("*").alias("n_links"), F.count_if("placed").alias("n_placed"))
-    joined = sets.join(items.select("id", "name", "block"), "id").withColumn("size", F.size("keys"))
-    joined = joined.withColumn("class_id", F.min("id").over(Window.partitionBy("block", "keys")))
-    return joined.withColumn("chinese", has_cjk(F.col("name")))
+    return sets.join(items.select("id", "name", "block"), "id").select("id", "name", "block", "keys", "n_links", "n_placed")
 
 
-def formula_links(items: DataFrame) -> DataFrame:
+def _digest(keys: Column) -> Column:
+    """SHA-256 of a sorted set, its keys told apart by their lengths."""
+    text = F.transform(keys, lambda x: F.concat(F.length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string")))
+    return F.unhex(F.sha2(F.array_join(text, ""), 256))
+
+
+def item_classes(sets: DataFrame) -> DataFrame:
+    """`sets` (rows of item_sets with size and digest) without their keys, with class_id, the smallest id of those of one block and one set, and chinese."""
+    narrow = sets.select("id", "name", "block", "size", "digest", "n_links", "n_placed", has_cjk(F.col("name")).alias("chinese"))
+    return narrow.withColumn("class_id", F.min("id").over(Window.partitionBy("block", "digest"))).drop("digest")
+
+
+def first_sets(sets: DataFrame, classed: DataFrame) -> DataFrame:
+    """id, class_id, block, keys and size of the item that stands for each class. Sets stay where they are unless those of the others are too many to be sent out."""
+    others = materialize(classed.where("id <> class_id and block is not null").select("id", "block").distinct(), "others")
+    return sets.where("block is not null").join(others, ["id", "block"], "left_anti").select("id", F.col("id").alias("class_id"), "block", "keys", "size")
+
+
+def formula_links(firsts: DataFrame) -> DataFrame:
     """u > v, jaccard, containment, cross and same of classes whose formulas are near enough for links across languages (cross) or of one language (same)."""
     strong = (F.col("jaccard") >= JACCARD) | ((F.col("jaccard") >= RELAXED_JACCARD) & (F.col("containment") >= RELAXED_CONTAINMENT))
     cross = strong & (F.col("containment") >= CONTAINMENT) & (F.abs(F.col("size_u") - F.col("size_v")) <= MAX_SIZE_DIFF)
     same = (F.col("jaccard") >= SAME_LANGUAGE_JACCARD) & (F.least("size_u", "size_v") >= SAME_LANGUAGE_SIZE)
-    return duplicate_edges(items, cross | same, reach=strong_reach).withColumns({"cross": cross, "same": same}).select("u", "v", "jaccard", "containment", "cross", "same")
+    return duplicate_edges(firsts, cross | same, reach=strong_reach).withColumns({"cross": cross, "same": same}).select("u", "v", "jaccard", "containment", "cross", "same")
 
 
 def cross_language_links(items: DataFrame, formulas: DataFrame) -> DataFrame:
@@ -123,15 +139,19 @@ def _met_by_keys(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return once.where(same_name(F.col("name_a"), F.col("name_b"))).select("a", "b", "jaccard")
 
 
-def dedup_products(items: DataFrame, keys: DataFrame, order: list[Column] | None = None) -> DataFrame:
+def dedup_products(items: DataFrame, keys: DataFrame, order: list[Column] | None = None, sets: DataFrame | None = None) -> DataFrame:
     """id, cluster_id (the smallest id of those that are one product), place (1: the row that stays), n_cross and n_same (links by kind) of every item.
 
     items: id, name, block and own (whether it comes from the source that has positions); keys: id, key, placed. The row with the most links with a
     position stays, then with the most links, then of that source, then the smallest id. Items without keys are linked with none.
+    sets: what item_sets gives for them, where it is known without bringing keys together; `keys` aren't read then.
     """
-    classed = materialize(item_classes(items, keys), "items")
+    sets = item_sets(items, keys) if sets is None else sets
+    # sets are written once and never sorted or shuffled whole: classes are found by their digests
+    sets = materialize(sets.where("id is not null").withColumns({"size": F.size("keys"), "digest": _digest(F.col("keys"))}), "sets_of_items")
+    classed = materialize(item_classes(sets), "items")
     nodes = materialize(name_nodes(classed), "nodes")
-    formulas = materialize(formula_links(classed), "formulas")
+    formulas = materialize(formula_links(first_sets(sets, classed)), "formulas")
     cross = materialize(cross_language_links(classed, formulas), "cross")
     same = materialize(same_language_links(nodes, formulas), "same")
     latin = classed.where(~F.col("chinese") & (F.col("size") >= SAME_LANGUAGE_SIZE)).withColumn("tokens", F.array_sort(name_tokens(F.col("name"))))

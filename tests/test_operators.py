@@ -459,3 +459,32 @@ def test_lists_that_differ_in_caps_choose_among_the_same_draws(monkeypatch):
             with pytest.raises(concentration.Contradiction, match=f"^{len(want)} of 200 samples after 4000 draws$|caps"):
                 concentration.draw(listed, True, 200, 7, 0.44, 0.15)
     assert told == {True, False} and len(made) <= concentration.MAX_ROUNDS // 2
+
+
+def test_near_sets_are_sent_to_groups_and_not_along_with_pairs(spark, monkeypatch):
+    """60 near copies of each of two sets, and some of another block: each set goes to a few groups, though it has 59 partners; groups that are too large are dealt out."""
+    rng = np.random.default_rng(4)
+    sets = {(i, "a" if i < 120 else "b"): set(range(500 * (i % 2), 500 * (i % 2) + 80)) for i in range(130)}
+    for own in sets.values():
+        own -= set(rng.choice(sorted(own), 1).tolist())
+        own |= set(rng.integers(2000, 9000, rng.integers(0, 3)).tolist())
+    # equal sets are one class
+    sets = {(i, block): own for (i, block), own in sets.items() if not any(j < i and block == other and own == more for (j, other), more in sets.items())}
+    keys = spark.createDataFrame([(i, block, str(k)) for (i, block), own in sets.items() for k in own], "id long, block string, key string")
+    want = set()
+    for (i, block), own in sets.items():
+        for (j, other), more in sets.items():
+            n = len(own & more)
+            jaccard, containment = n / len(own | more), n / min(len(own), len(more))
+            if i > j and block == other and own != more and containment >= 0.93 and abs(len(own) - len(more)) <= 2 and (jaccard >= 0.9 or (jaccard >= 0.85 and containment >= 0.96)):
+                want.add((i, j, len(own), len(more), jaccard, containment))
+    materialize = dedup.materialize
+    for at_once in (512, 16):
+        written = {}
+        monkeypatch.setattr(dedup, "SETS_AT_ONCE", at_once)
+        monkeypatch.setattr(dedup, "materialize", lambda df, name: written.setdefault(name, materialize(df, name)))
+        found = dedup.duplicate_edges(dedup.set_classes(keys)).collect()
+        assert len(found) == len(want) > 1000 and {tuple(r) for r in found} == want
+        groups = written["members"].groupBy("part", "one", "other").count()
+        assert groups.agg(F.max("count")).first()[0] <= max(at_once, 40)
+        assert at_once < 512 or written["members"].count() < 6 * len(sets)
