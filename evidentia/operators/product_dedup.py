@@ -171,6 +171,12 @@ def dedup_products(items: DataFrame, keys: DataFrame, order: list[Column] | None
     return found.select("id", "cluster_id", place.alias("place"), count("n_cross"), count("n_same"))
 
 
+def in_groups(placed: DataFrame) -> DataFrame:
+    """id of the items whose clusters have several rows; placed: id, cluster_id."""
+    several = placed.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n > 1")
+    return placed.join(several, "cluster_id", "left_semi").select("id").distinct()
+
+
 def merged_links(links: DataFrame, placed: DataFrame, fill: list[str]) -> DataFrame:
     """The links of the items that stay, their nulls in `fill` filled from links of merged items with the same key, nearest place first.
 

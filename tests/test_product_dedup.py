@@ -152,3 +152,25 @@ def test_few_names_are_compared_and_many_meet_by_keys(spark, monkeypatch):
     assert ("names", 0) in written and clusters(few)
     monkeypatch.setattr(product_dedup, "NAMES_COMPARED", 0)
     assert found(spark, products) == few and max(n for name, n in written if name == "names") > 0
+
+
+def test_only_links_of_merged_documents_meet(spark, tmp_path, monkeypatch):
+    """Lone documents keep their links without meeting others; a repeated id, one without text and one without an id don't change what the merge of all links gives."""
+    from evidentia.plans import merge_queries
+
+    words = [f"w{i}" for i in range(200)]
+    texts = [(i, " ".join(words[i : i + 30]), "en") for i in range(0, 60, 3)] + [(101, " ".join(words[:30]), "en"), (100, " ".join(words[:30]), "en"), (7, None, "fr"), (None, "a b c", "de"), (9, "again", "de"), (9, "again twice", "fr")]
+    rows = spark.createDataFrame([(*row, len(row[1] or ""), "s") for row in texts], "doc_id long, text string, lang string, n_chars long, source string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    given, merged = [], product_dedup.merged_links
+    monkeypatch.setattr(product_dedup, "merged_links", lambda links, *args: given.append(links) or merged(links, *args))
+    found = sorted(map(tuple, merge_queries.dedup_product_links(spark, str(tmp_path)).collect()))
+    items = merge_queries.documents_as_items(spark, str(tmp_path))
+    keys = merge_queries.listed_keys(items)
+    placed = product_dedup.dedup_products(items, keys).select("id", "cluster_id", "place")
+    assert sorted(map(tuple, merge_queries.placed_documents(items).na.fill(-1).collect())) == sorted(map(tuple, product_dedup.dedup_products(items, keys).na.fill(-1).collect()))
+    of_all = merged(keys.select("id", "key", "position"), placed, ["position"])
+    assert found == sorted(map(tuple, of_all.groupBy("id").agg(F.count("*"), F.count("position"), F.sum("position")).collect()))
+    met = {r.id for r in given[0].select("id").distinct().collect()}
+    several = placed.groupBy("cluster_id").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1").collect()
+    assert met == {i for r in several for i in r.ids} and 9 in met and len(met) < len(texts) / 2
